@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for those queries that SQL can express.
@@ -25,3 +26,48 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = identify(docs, train=rest != 1)
+    return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(documents(spark, sf_dir)))
+
+
+@query
+def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import encode_media, media_digests
+
+    return media_digests(encode_media(documents(spark, sf_dir)))
+
+
+@query
+def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import COUNTS, judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", *COUNTS, "base_failed", "kept", "shrunk_rate")
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm import digest_documents
+
+    return digest_documents(documents(spark, sf_dir))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_repeated_lines
+
+    return drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1).drop("text")
