@@ -71,3 +71,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_repeated_lines
 
     return drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1).drop("text")
+
+
+@query
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000)
+
+
+@query
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import kd_shards
+
+    out = kd_shards(documents(spark, sf_dir), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
