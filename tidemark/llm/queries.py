@@ -86,3 +86,10 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = kd_shards(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_digests
+
+    return span_digests(documents(spark, sf_dir))
