@@ -5,7 +5,7 @@ by OR, and what two tasks have both seen is seen again. Only lines that the seco
 128-bit keys, for exact counting. So false positives cost a little shuffle and never change a result.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased. A key counts once for each row
-of the table it occurs in. Null and empty texts are one empty line, which has no key. Other columns stay as they are.
+of the table it occurs in. Null and empty texts are one empty line, which has no key; a null text stays null. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -187,7 +187,8 @@ def _rewrite(docs: DataFrame, sets, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, dropped, shas = [], [], [], []
-            for text, gone in zip(text_bytes(batch.column(at)), sets(batch, names), strict=True):
+            valid = batch.column(at).is_valid().to_pylist()
+            for text, present, gone in zip(text_bytes(batch.column(at)), valid, sets(batch, names), strict=True):
                 gone, once = gone if isinstance(gone, tuple) else (gone, None)
                 parts = text.split(b"\n")
                 keep = []
@@ -198,7 +199,7 @@ def _rewrite(docs: DataFrame, sets, min_chars: int) -> DataFrame:
                         once.discard(key)
                     keep.append(line)
                 new = b"\n".join(keep)
-                texts.append(new.decode())
+                texts.append(new.decode() if present else None)
                 lines.append(len(parts)), dropped.append(len(parts) - len(keep))
                 shas.append(hashlib.sha256(new).hexdigest())
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(names.index(c)) for c in kept_names]
