@@ -68,16 +68,20 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that fills itself by `make` and starts anew beyond `limit` entries, so that its memory is bounded."""
+    """A dict that fills itself by `make`. At `limit` entries it becomes the old generation, from which used ones return."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

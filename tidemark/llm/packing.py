@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,35 +33,68 @@ CAPACITY = 1024
 DEAL_TOKENS = 8_000_000
 ROUNDS = 3
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_PUNCTUATION = ".,;:!?"
+_PUNCTUATION = "".join(set(string.punctuation) - {"'"})
+#: White space other than blank and newline.
+_ODD_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class ByteBpe:
     """Token ids as little-endian 32-bit bytes, found by the tokenizers library and remembered by chunk.
 
     The vocabulary's pre-tokenisation always starts a token where white space follows something else, and between a
-    letter and one of `.,;:!?`; chunks cut there have the same ids alone as in the text.
+    letter and ASCII punctuation other than the apostrophe; chunks cut there have the same ids alone as in the text.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Memo(self._chunk, limit)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        core = chunk.rstrip(_PUNCTUATION)
-        if len(core) < len(chunk) and core and core[-1].isalpha():
-            return self.known[core] + self.known[chunk[len(core) :]]
-        return self._encode(chunk)
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, _CUT.split(text))) if text else b""
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, chunks: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(chunks, found, strict=True))
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Make all chunks known; beyond the limit the known ones become the old generation, from which used ones return."""
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        new, parts = [], {}
+        for c in chunks.difference(self.known):
+            if c in self.old:
+                self.known[c] = self.old[c]
+                continue
+            core = c.rstrip(_PUNCTUATION)
+            if len(core) < len(c) and core and core[-1].isalpha():
+                parts[c] = (core, c[len(core) :])
+            else:
+                new.append(c)
+        halves = {h for pair in parts.values() for h in pair}.difference(self.known, new)
+        if new or halves:
+            self._encode([*new, *halves])
+        for c, (core, tail) in parts.items():
+            self.known[c] = self.known[core] + self.known[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_chunks(t) for t in texts]
+        self._learn({c for chunks in cut for c in chunks})
+        get = self.known.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in cut]
+
+
+def _chunks(text: str) -> list[str]:
+    """The text cut before each blank or newline that follows something else than white space."""
+    if not text:
+        return []
+    if not any(c in text for c in _ODD_SPACE):
+        parts = text.replace("\n", " \n").split(" ")
+        if "" not in parts and "\n" not in parts:
+            return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+    return _CUT.split(text)
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -74,8 +109,10 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         coder = _encoders.get(path) or _encoders.setdefault(path, ByteBpe(path))
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.ids(text or "") + end
+            docs_, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            found = (x for at in range(0, len(texts), 256) for x in coder.encode(texts[at : at + 256]))
+            for doc, ids in zip(docs_, found, strict=True):
+                ids += end
                 n = len(ids) // 4
                 at = n % capacity or capacity
                 edges = [0, *range(min(at, n), n + 1, capacity)]
@@ -96,7 +133,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     if not len(size):
         return 0
     best = -(-int((size * count).sum()) // capacity)
-    for k in range(2, 21):  # u_k: rounds (k + 1) x / C down to multiples of 1 / k, exact where it is whole
+    for k in range(1, 21):  # u_k: rounds (k + 1) x / C down to multiples of 1 / k, exact where it is whole
         scaled = (k + 1) * size
         whole = scaled % capacity == 0
         value = np.where(whole, size * k, (scaled // capacity) * capacity)  # in units of 1 / (k * capacity)
