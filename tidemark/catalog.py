@@ -6,5 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import averages, oscillators, volatility  # noqa: F401  they register themselves
+from .operators.spec import OPERATORS, apply, build, rounded, to_sql
+from .sources.bars import EVENT_BARS_SQL, event_bars
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_HOURLY = EVENT_BARS_SQL.format(unit="hour")
+
+
+def _operator_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(apply(event_bars(spark, sf_dir), [build(name)]))
+
+    return run
+
+
+for _name in OPERATORS:
+    _op = build(_name)
+    QUERIES[_name] = _operator_query(_name)
+    if _op.has_sql:
+        SQL[_name] = to_sql(_op, _HOURLY)
