@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .minhash import mix
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,6 +36,16 @@ ROUNDS = 3
 _LOST = 1e-7  # probability of a letter that no piece covers
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _piece_hash(piece: str) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for code in mix(np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64)):
+        h = h * _BASE + code
+    return h[0]
+
+
 def vocabulary(path: str | None = None) -> dict[str, int]:
     """The lower-case letter pieces of the public vocabulary, numbered; a leading word mark is kept."""
     import sentencepiece
@@ -65,20 +75,24 @@ class Lattice:
     def __init__(self, pieces: dict[str, int], table: np.ndarray):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
+        hashes = np.array([_piece_hash(p) for p in pieces] or [0], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array(list(pieces.values()) or [-2], np.int32)[order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
         self.table = np.vstack([table, np.full((1, table.shape[1]), _LOST)])  # the last row: no piece
 
     def edges(self, batch: list[str]) -> np.ndarray:
         """(words, ends, lengths) piece numbers of words of one length; -1 is a lone letter without a piece, -2 nothing."""
         n, most = len(batch[0]), min(len(batch[0]), self.longest)
-        get, out = self.pieces.get, np.full((len(batch), n, most), -2, np.int32)
-        for row, w in zip(out, batch, strict=True):
-            for end in range(n):
-                for size in range(1, min(end + 1, most) + 1):
-                    k = get(w[end + 1 - size : end + 1])
-                    if k is not None:
-                        row[end, size - 1] = k
-                if row[end, 0] == -2:
-                    row[end, 0] = -1
+        letters = mix(np.frombuffer("".join(batch).encode("utf-32-le"), np.uint32).astype(np.uint64)).reshape(len(batch), n)
+        out = np.full((len(batch), n, most), -2, np.int32)
+        hashed = np.zeros((len(batch), n + 1), np.uint64)
+        for size in range(1, most + 1):  # polynomial hashes of all substrings of this size
+            hashed = hashed[:, : n - size + 1] * _BASE + letters[:, size - 1 :]
+            at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+            found = self.hashes[at] == hashed
+            out[:, size - 1 :, size - 1] = np.where(found, self.numbers[at], -1 if size == 1 else -2)
         return out
 
     def forward(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
