@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import finance
 from .operators import averages, oscillators, volatility  # noqa: F401  they register themselves
-from .operators.spec import OPERATORS, apply, build, rounded, to_sql
-from .sources.bars import EVENT_BARS_SQL, event_bars
+from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
+from .plans import align, crosssection, evaluate
+from .sources.bars import EVENT_BARS_SQL, ORDER_BARS_SQL, event_bars, order_bars, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +30,183 @@ for _name in OPERATORS:
     QUERIES[_name] = _operator_query(_name)
     if _op.has_sql:
         SQL[_name] = to_sql(_op, _HOURLY)
+
+
+def _query(name: str, sql: str | None):
+    def mark(fn):
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return mark
+
+
+def _r(expression: str) -> str:
+    """The SQL side of rounded()."""
+    return f"round(({expression})::DOUBLE + {OFF_TIE!r}, 6) + 0.0"
+
+
+_B = f"WITH bars AS ({_HOURLY})"
+_PW = "OVER (PARTITION BY series ORDER BY ts)"
+_COMMON = f"{_B}, times AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT series) = (SELECT count(DISTINCT series) FROM bars)), al AS (SELECT bars.* FROM bars JOIN times USING (ts))"
+
+
+@_query("bars_hourly", f"{_B} SELECT series, ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume FROM bars")
+def _bars_hourly(spark, sf_dir):
+    return event_bars(spark, sf_dir)
+
+
+@_query("bars_orders", f"WITH bars AS ({ORDER_BARS_SQL}) SELECT series, ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume FROM bars")
+def _bars_orders(spark, sf_dir):
+    return order_bars(spark, sf_dir)
+
+
+@_query("resample_4h", f"{_B} SELECT series, to_timestamp(floor(epoch(ts) / 14400) * 14400)::TIMESTAMP AS ts, {_r('arg_min(open, ts)')} AS open, {_r('max(high)')} AS high, {_r('min(low)')} AS low, {_r('arg_max(close, ts)')} AS close, {_r('sum(volume)')} AS volume, count(*) AS n_bars FROM bars GROUP BY 1, 2")
+def _resample(spark, sf_dir):
+    return resample(event_bars(spark, sf_dir), 4 * 3600)
+
+
+_PAIR = f"{_B}, p AS (SELECT a.ts, a.close AS ca, b.close AS cb FROM bars a JOIN bars b USING (ts) WHERE a.series = 'click' AND b.series = 'purchase'), r AS (SELECT ts, ln(ca / lag(ca) OVER o) AS ra, ln(cb / lag(cb) OVER o) AS rb FROM p WINDOW o AS (ORDER BY ts)), s AS (SELECT ts, count(ra) OVER f AS n, regr_slope(ra, rb) OVER f AS b0, avg(ra) OVER f AS ma, avg(rb) OVER f AS mb, corr(ra, rb) OVER f AS c0 FROM r WINDOW f AS (ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), t AS (SELECT ts, CASE WHEN n >= 30 THEN b0 END AS beta, CASE WHEN n >= 30 THEN ma - b0 * mb END AS alpha, CASE WHEN n >= 30 THEN c0 END AS corr FROM s)"
+
+
+@_query("pair_regression", f"{_PAIR} SELECT ts, {_r('beta')} AS beta, {_r('alpha')} AS alpha, {_r('corr')} AS corr, {_r('corr * corr')} AS r2 FROM t")
+def _pair_regression(spark, sf_dir):
+    bars = event_bars(spark, sf_dir)
+    return align.pair_regression(align.pair(bars.filter("series = 'click'"), bars.filter("series = 'purchase'")))
+
+
+@_query("as_of_join", f"WITH bars AS ({_HOURLY}), e AS (SELECT event_type AS series, ts, event_id FROM events WHERE user_id % 5 = 0) SELECT e.event_id, e.series, e.ts, {_r('b.close')} AS close FROM e ASOF LEFT JOIN bars b ON e.series = b.series AND e.ts >= b.ts")
+def _as_of(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 5 = 0").select("event_id", F.col("event_type").alias("series"), "ts")
+    return align.as_of(events, event_bars(spark, sf_dir), "close")
+
+
+@_query("correlation_matrix", f"{_COMMON}, r AS (SELECT series, ts, close / lag(close) {_PW} - 1 AS ret FROM al) SELECT a.series AS a, b.series AS b, {_r('corr(a.ret, b.ret)')} AS corr, count(*) AS n FROM r a JOIN r b USING (ts) WHERE a.series < b.series AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2")
+def _correlation(spark, sf_dir):
+    return align.correlation_matrix(event_bars(spark, sf_dir))
+
+
+@_query("relative_strength", f"{_COMMON}, r AS (SELECT series, ts, close / lag(close, 20) {_PW} - 1 AS ret FROM al), q AS (SELECT * FROM r WHERE ret IS NOT NULL) SELECT series, ts, {_r('ret')} AS ret, rank() OVER (PARTITION BY ts ORDER BY ret DESC) AS place, {_r('percent_rank() OVER (PARTITION BY ts ORDER BY ret)')} AS share FROM q")
+def _strength(spark, sf_dir):
+    return crosssection.relative_strength(event_bars(spark, sf_dir))
+
+
+@_query("market_breadth", f"{_B}, m AS (SELECT series, ts, close, avg(close) OVER (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING) AS mean, lag(close) {_PW} AS pc, row_number() {_PW} AS i FROM bars), g AS (SELECT ts, count(*) AS members, sum((close > mean)::INT)::BIGINT AS above, sum((close > pc)::INT)::BIGINT AS advancing, sum((close < pc)::INT)::BIGINT AS declining FROM m WHERE i >= 20 GROUP BY ts) SELECT *, {_r('above / members')} AS share_above FROM g")
+def _breadth(spark, sf_dir):
+    return crosssection.market_breadth(event_bars(spark, sf_dir))
+
+
+@_query("drawdown", f"{_B}, d AS (SELECT series, close, max(close) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM bars), e AS (SELECT series, (peak - close) / peak AS dd FROM d) SELECT series, {_r('max(dd)')} AS max_drawdown, {_r('avg(dd)')} AS mean_drawdown, sum((dd > 0)::INT)::BIGINT AS bars_under_water FROM e GROUP BY 1")
+def _drawdown(spark, sf_dir):
+    return crosssection.drawdown(event_bars(spark, sf_dir))
+
+
+_SCALE = repr(252.0**0.5)
+
+
+@_query("return_metrics", f"{_B}, r AS (SELECT series, ln(close / lag(close) {_PW}) AS r FROM bars), m AS (SELECT series, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS dev, sqrt(avg(least(r, 0) * least(r, 0))) AS down FROM r WHERE r IS NOT NULL GROUP BY 1) SELECT series, n, {_r('mean')} AS mean, {_r('dev')} AS dev, {_r('CASE WHEN dev <= 1e-12 THEN 0 ELSE mean / dev * ' + _SCALE + ' END')} AS sharpe, {_r('CASE WHEN down <= 1e-12 THEN 0 ELSE mean / down * ' + _SCALE + ' END')} AS sortino FROM m")
+def _returns(spark, sf_dir):
+    return crosssection.return_metrics(event_bars(spark, sf_dir))
+
+
+@_query("value_at_risk", f"{_B}, r AS (SELECT series, close / lag(close) {_PW} - 1 AS r FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY r) AS k, count(*) OVER (PARTITION BY series) AS n FROM r WHERE r IS NOT NULL) SELECT series, {_r('greatest(0, -max(r))')} AS var, {_r('avg(greatest(0, -r))')} AS es, count(*) AS tail FROM k WHERE k <= greatest(1, least(n, ceil({1 - 0.95!r}::DOUBLE * n))) GROUP BY 1")
+def _var(spark, sf_dir):
+    return crosssection.value_at_risk(event_bars(spark, sf_dir))
+
+
+@_query("seasonality_monthly", f"WITH bars AS ({ORDER_BARS_SQL}), r AS (SELECT series, month(ts)::INT AS month, close / lag(close) {_PW} - 1 AS r FROM bars) SELECT series, month, {_r('avg(r)')} AS mean, {_r('stddev_samp(r)')} AS dev, {_r('avg((r > 0)::INT)')} AS share_up, count(*) AS n FROM r WHERE r IS NOT NULL GROUP BY 1, 2")
+def _season(spark, sf_dir):
+    return crosssection.seasonality(order_bars(spark, sf_dir), F.month("ts"), "month")
+
+
+@_query("price_stats", f"{_B} SELECT series, count(close) AS n, {_r('avg(close)')} AS mean, {_r('stddev_samp(close)')} AS dev, {_r('min(close)')} AS low, {_r('max(close)')} AS high, {_r('quantile_cont(close, 0.25)')} AS q1, {_r('quantile_cont(close, 0.5)')} AS median, {_r('quantile_cont(close, 0.75)')} AS q3 FROM bars GROUP BY 1")
+def _stats(spark, sf_dir):
+    return crosssection.price_stats(event_bars(spark, sf_dir))
+
+
+@_query("longest_run", f"{_B}, u AS (SELECT series, ts, coalesce(close > lag(close) {_PW}, false) AS up FROM bars), g AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) {_PW} AS island FROM u), n AS (SELECT series, island, count(*) FILTER (WHERE up) AS n FROM g GROUP BY 1, 2) SELECT series, max(n)::BIGINT AS longest FROM n GROUP BY 1")
+def _run(spark, sf_dir):
+    return crosssection.longest_run(event_bars(spark, sf_dir))
+
+
+_AHEAD = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+_A10 = _AHEAD.format(n=10)
+_FWD = f"fwd AS (SELECT series, ts, CASE WHEN count(*) {_A10} = 10 THEN lead(close, 10) {_PW} / close - 1 END AS ret, CASE WHEN count(*) {_A10} = 10 THEN max(high) {_A10} / close - 1 END AS best, CASE WHEN count(*) {_A10} = 10 THEN min(low) {_A10} / close - 1 END AS worst FROM bars)"
+
+
+@_query("forward_move", f"{_B}, {_FWD} SELECT series, ts, {_r('ret')} AS ret, {_r('best')} AS best, {_r('worst')} AS worst FROM fwd")
+def _forward(spark, sf_dir):
+    return evaluate.forward_move(event_bars(spark, sf_dir), 10)
+
+
+_PASS = f"n AS (SELECT *, row_number() {_PW} AS i FROM bars), hit AS (SELECT a.series, a.i, min(b.i) AS at FROM n a JOIN n b ON a.series = b.series AND b.i BETWEEN a.i + 1 AND a.i + 10 WHERE b.high >= a.close * 1.5 OR b.low <= a.close * 0.5 GROUP BY 1, 2), pass AS (SELECT a.series, a.ts, CASE WHEN h.at IS NULL THEN 'none' WHEN b.low <= a.close * 0.5 THEN 'lower' ELSE 'upper' END AS side, (h.at - a.i)::BIGINT AS bars FROM n a LEFT JOIN hit h USING (series, i) LEFT JOIN n b ON b.series = a.series AND b.i = h.at)"
+
+
+@_query("first_passage", f"{_B}, {_PASS} SELECT * FROM pass")
+def _passage(spark, sf_dir):
+    return evaluate.first_passage(event_bars(spark, sf_dir))
+
+
+_Z2 = repr(1.96 * 1.96)
+
+
+@_query(
+    "passage_summary",
+    f"{_B}, {_PASS}, g AS (SELECT series, count(*) AS n, sum((side = 'upper')::INT)::BIGINT AS upper, sum((side = 'lower')::INT)::BIGINT AS lower, avg(bars) AS mean_bars FROM pass GROUP BY 1), h AS (SELECT *, upper / n AS p FROM g) "
+    f"SELECT series, n, upper, lower, {_r('mean_bars')} AS mean_bars, {_r('p')} AS share, {_r(f'((p + {_Z2} / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + {_Z2} / (4 * n * n))) / (1 + {_Z2} / n)')} AS share_low, {_r(f'((p + {_Z2} / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + {_Z2} / (4 * n * n))) / (1 + {_Z2} / n)')} AS share_high FROM h",
+)
+def _summary(spark, sf_dir):
+    return evaluate.passage_summary(evaluate.first_passage(event_bars(spark, sf_dir)))
+
+
+@_query(
+    "signal_outcomes",
+    f"{_B}, {_FWD}, m AS (SELECT series, ts, avg(close) OVER (PARTITION BY series ORDER BY ts ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING) AS gap, row_number() {_PW} AS i FROM bars), c AS (SELECT *, lag(gap) {_PW} AS before FROM m), s AS (SELECT series, ts, CASE WHEN before <= 0 AND gap > 0 THEN 1 WHEN before >= 0 AND gap < 0 THEN -1 END AS direction FROM c WHERE i > 20) "
+    f"SELECT series, direction, count(*) AS n, {_r('avg((ret * direction > 0)::INT)')} AS hit_rate, {_r('avg(ret * direction)')} AS mean FROM s JOIN fwd USING (series, ts) WHERE direction IS NOT NULL AND ret IS NOT NULL GROUP BY 1, 2",
+)
+def _outcomes(spark, sf_dir):
+    return evaluate.signal_outcomes(event_bars(spark, sf_dir))
+
+
+@_query(
+    "calibration",
+    f"{_B}, s AS (SELECT (close - min(low) OVER f) / (max(high) OVER f - min(low) OVER f) AS p, row_number() OVER (PARTITION BY series ORDER BY ts) AS i, lead(close, 5) OVER (PARTITION BY series ORDER BY ts) > close AS rose FROM bars WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING)) "
+    f"SELECT least(floor(p * 5), 4)::INT AS bucket, count(*) AS n, {_r('avg(p)')} AS forecast, {_r('avg(rose::INT)')} AS rate, {_r('avg((p - rose::INT) * (p - rose::INT))')} AS brier FROM s WHERE i >= 20 AND rose IS NOT NULL GROUP BY 1",
+)
+def _calibration(spark, sf_dir):
+    return evaluate.calibration(event_bars(spark, sf_dir))
+
+
+@_query("phase_survival", None)
+def _survival(spark, sf_dir):
+    return evaluate.phase_survival(event_bars(spark, sf_dir))
+
+
+@_query("forward_fill", None)
+def _fill(spark, sf_dir):
+    return align.forward_fill(event_bars(spark, sf_dir), 3600, 3)
+
+
+@_query(
+    "bond_values",
+    "WITH b AS (SELECT p_partkey, 100.0::DOUBLE AS face, 0.01 + p_size / 1000 AS coupon, 0.02 + (p_partkey % 50) / 1000 AS y, 1 + p_size % 30 AS years FROM part), c AS (SELECT *, years * 2 AS n, face * coupon / 2 AS c, y / 2 AS h FROM b) "
+    f"SELECT p_partkey, {_r('c * (1 - pow(1 + h, -n)) / h + face * pow(1 + h, -n)')} AS price, {_r('((1 + h) / h - (1 + h + n * (coupon / 2 - h)) / (coupon / 2 * (pow(1 + h, n) - 1) + h)) / 2')} AS duration FROM c",
+)
+def _bonds(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    face, coupon, y, years = F.lit(100.0), 0.01 + F.col("p_size") / 1000, 0.02 + (F.col("p_partkey") % 50) / 1000, 1 + F.col("p_size") % 30
+    return part.select("p_partkey", finance.bond_price(face, coupon, y, years).alias("price"), finance.bond_duration(face, coupon, y, years).alias("duration"))
+
+
+@_query("option_values", None)
+def _options(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    call, put = finance.option_value(F.col("p_retailprice"), F.col("p_retailprice") * (0.8 + F.col("p_size") / 125), 0.03, 0.03, 0.1 + F.col("p_size") / 200, F.lit(0.5))
+    return part.select("p_partkey", call.alias("call"), put.alias("put"))
+
+
+@_query("trend_bundle", None)
+def _bundle(spark, sf_dir):
+    """Several operators over the same bars in one plan: shared exchange and sort, one grouped call for each fold stage."""
+    return apply(event_bars(spark, sf_dir), [build(n) for n in ("sma", "bollinger", "macd", "rsi", "adx", "supertrend")])
