@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from .align import complete_times
 
-_P = Window.partitionBy("series").orderBy("ts")
-_CUM = _P.rowsBetween(Window.unboundedPreceding, 0)
+def _ordered():
+    return Window.partitionBy("series").orderBy("ts")
+
+
+def _running():
+    return _ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def relative_strength(bars: DataFrame, lookback: int = 20) -> DataFrame:
     """At each common time: the return over `lookback` bars, its rank and percentile among the series."""
-    r = complete_times(bars).select("series", "ts", (F.col("close") / F.lag("close", lookback).over(_P) - 1).alias("ret")).filter("ret is not null")
+    r = complete_times(bars).select("series", "ts", (F.col("close") / F.lag("close", lookback).over(_ordered()) - 1).alias("ret")).filter("ret is not null")
     w = Window.partitionBy("ts")
     return r.withColumn("place", F.rank().over(w.orderBy(F.desc("ret")))).withColumn("share", F.percent_rank().over(w.orderBy("ret")))
 
 
 def market_breadth(bars: DataFrame, lookback: int = 20) -> DataFrame:
     """At each time: members above their mean, advancing, declining, and the shares."""
-    m = bars.select("series", "ts", "close", F.avg("close").over(_P.rowsBetween(-(lookback - 1), 0)).alias("mean"), F.lag("close").over(_P).alias("pc"), F.row_number().over(_P).alias("i")).filter(F.col("i") >= lookback)
+    m = bars.select("series", "ts", "close", F.avg("close").over(_ordered().rowsBetween(-(lookback - 1), 0)).alias("mean"), F.lag("close").over(_ordered()).alias("pc"), F.row_number().over(_ordered()).alias("i")).filter(F.col("i") >= lookback)
     count = lambda c: F.sum(c.cast("long"))
     out = m.groupBy("ts").agg(F.count(F.lit(1)).alias("members"), count(F.col("close") > F.col("mean")).alias("above"), count(F.col("close") > F.col("pc")).alias("advancing"), count(F.col("close") < F.col("pc")).alias("declining"))
     return out.withColumn("share_above", F.col("above") / F.col("members"))
@@ -28,13 +32,13 @@ def market_breadth(bars: DataFrame, lookback: int = 20) -> DataFrame:
 
 def drawdown(bars: DataFrame) -> DataFrame:
     """For each series: the deepest fall of the close from its running peak, as a share, and the bars under water."""
-    d = bars.select("series", "close", F.max("close").over(_CUM).alias("peak")).withColumn("dd", (F.col("peak") - F.col("close")) / F.col("peak"))
+    d = bars.select("series", "close", F.max("close").over(_running()).alias("peak")).withColumn("dd", (F.col("peak") - F.col("close")) / F.col("peak"))
     return d.groupBy("series").agg(F.max("dd").alias("max_drawdown"), F.avg("dd").alias("mean_drawdown"), F.sum((F.col("dd") > 0).cast("long")).alias("bars_under_water"))
 
 
 def return_metrics(bars: DataFrame, risk_free: float = 0.0, periods_per_year: float = 252.0) -> DataFrame:
     """For each series: mean and sample deviation of log returns, Sharpe and Sortino, annualised; 0 where the deviation is."""
-    r = bars.select("series", F.log(F.col("close") / F.lag("close").over(_P)).alias("r")).filter("r is not null")
+    r = bars.select("series", F.log(F.col("close") / F.lag("close").over(_ordered())).alias("r")).filter("r is not null")
     target = risk_free / periods_per_year
     below = F.least(F.col("r") - target, F.lit(0.0))
     m = r.groupBy("series").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("dev"), F.sqrt(F.avg(below * below)).alias("down"))
@@ -45,7 +49,7 @@ def return_metrics(bars: DataFrame, risk_free: float = 0.0, periods_per_year: fl
 
 def value_at_risk(bars: DataFrame, confidence: float = 0.95) -> DataFrame:
     """For each series: historical VaR and expected shortfall of simple returns over the worst ceil((1-c) n)."""
-    r = bars.select("series", (F.col("close") / F.lag("close").over(_P) - 1).alias("r")).filter("r is not null")
+    r = bars.select("series", (F.col("close") / F.lag("close").over(_ordered()) - 1).alias("r")).filter("r is not null")
     n = F.count(F.lit(1)).over(Window.partitionBy("series"))
     ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("r"))).withColumn("tail", F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(1 - confidence) * n))))
     worst = ranked.filter("k <= tail")
@@ -54,7 +58,7 @@ def value_at_risk(bars: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 def seasonality(bars: DataFrame, unit: Column, name: str) -> DataFrame:
     """Mean, sample deviation, share of gains and count of bar returns by a calendar unit."""
-    r = bars.select("series", unit.alias(name), (F.col("close") / F.lag("close").over(_P) - 1).alias("r")).filter("r is not null")
+    r = bars.select("series", unit.alias(name), (F.col("close") / F.lag("close").over(_ordered()) - 1).alias("r")).filter("r is not null")
     return r.groupBy("series", name).agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("dev"), F.avg((F.col("r") > 0).cast("double")).alias("share_up"), F.count(F.lit(1)).alias("n"))
 
 
@@ -73,7 +77,7 @@ def wilson(successes: Column, trials: Column, z: float = 1.96) -> tuple[Column,
 
 def longest_run(bars: DataFrame) -> DataFrame:
     """For each series the longest run of rising closes (gaps and islands)."""
-    up = bars.select("series", "ts", (F.col("close") > F.lag("close").over(_P)).alias("up"))
-    island = up.withColumn("island", F.sum(F.when(F.coalesce("up", F.lit(False)), 0).otherwise(1)).over(_CUM))
+    up = bars.select("series", "ts", (F.col("close") > F.lag("close").over(_ordered())).alias("up"))
+    island = up.withColumn("island", F.sum(F.when(F.coalesce("up", F.lit(False)), 0).otherwise(1)).over(_running()))
     runs = island.filter("up").groupBy("series", "island").agg(F.count(F.lit(1)).alias("n"))
     return bars.select("series").distinct().join(runs.groupBy("series").agg(F.max("n").alias("m")), "series", "left").select("series", F.coalesce("m", F.lit(0)).alias("longest"))

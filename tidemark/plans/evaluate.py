@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from .crosssection import wilson
 
-_P = Window.partitionBy("series").orderBy("ts")
+def _ordered():
+    return Window.partitionBy("series").orderBy("ts")
 
 
 def forward_move(bars: DataFrame, horizon: int = 10) -> DataFrame:
     """From each close: the return, best and worst excursion over the next `horizon` bars; NULL where fewer follow."""
-    ahead = _P.rowsBetween(1, horizon)
+    ahead = _ordered().rowsBetween(1, horizon)
     full = F.count(F.lit(1)).over(ahead) == horizon
     return bars.select(
         "series", "ts",
-        F.when(full, F.lead("close", horizon).over(_P) / F.col("close") - 1).alias("ret"),
+        F.when(full, F.lead("close", horizon).over(_ordered()) / F.col("close") - 1).alias("ret"),
         F.when(full, F.max("high").over(ahead) / F.col("close") - 1).alias("best"),
         F.when(full, F.min("low").over(ahead) / F.col("close") - 1).alias("worst"),
     )
@@ -27,7 +28,7 @@ def first_passage(bars: DataFrame, up: float = 0.5, down: float = 0.5, horizon:
 
     One frame of at most `horizon` rows is searched for each bar, so the cost is rows x horizon whatever the series' length.
     """
-    ahead = F.collect_list(F.struct("high", "low")).over(_P.rowsBetween(1, horizon))
+    ahead = F.collect_list(F.struct("high", "low")).over(_ordered().rowsBetween(1, horizon))
     rows = bars.select("series", "ts", (F.col("close") * (1 + up)).alias("upper"), (F.col("close") * (1 - down)).alias("lower"), ahead.alias("a"))
     at = rows.withColumn("k", F.array_min(F.transform("a", lambda x, i: F.when((x["high"] >= F.col("upper")) | (x["low"] <= F.col("lower")), i + 1))))
     side = F.when(F.col("k").isNull(), "none").when(F.element_at("a", F.col("k").cast("int"))["low"] <= F.col("lower"), "lower").otherwise("upper")
@@ -43,8 +44,8 @@ def passage_summary(passages: DataFrame) -> DataFrame:
 
 def cross_signals(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     """Rows where the fast mean crosses the slow one, with direction 1 or -1."""
-    mean = lambda n: F.avg("close").over(_P.rowsBetween(-(n - 1), 0))
-    m = bars.select("series", "ts", "close", (mean(fast) - mean(slow)).alias("gap"), F.row_number().over(_P).alias("i")).withColumn("before", F.lag("gap").over(_P))
+    mean = lambda n: F.avg("close").over(_ordered().rowsBetween(-(n - 1), 0))
+    m = bars.select("series", "ts", "close", (mean(fast) - mean(slow)).alias("gap"), F.row_number().over(_ordered()).alias("i")).withColumn("before", F.lag("gap").over(_ordered()))
     side = F.when((F.col("before") <= 0) & (F.col("gap") > 0), 1).when((F.col("before") >= 0) & (F.col("gap") < 0), -1)
     return m.filter(F.col("i") > slow).withColumn("direction", side).filter("direction is not null").select("series", "ts", "close", "direction")
 
@@ -58,19 +59,19 @@ def signal_outcomes(bars: DataFrame, horizon: int = 10) -> DataFrame:
 
 def calibration(bars: DataFrame, buckets: int = 5, horizon: int = 5) -> DataFrame:
     """Reliability table: the percentile of the close in its last 20 bars as a forecast of a rise, by bucket."""
-    w20 = _P.rowsBetween(-19, 0)
+    w20 = _ordered().rowsBetween(-19, 0)
     score = (F.col("close") - F.min("low").over(w20)) / (F.max("high").over(w20) - F.min("low").over(w20))
-    rows = bars.select("series", "ts", score.alias("p"), F.row_number().over(_P).alias("i"), (F.lead("close", horizon).over(_P) > F.col("close")).alias("rose")).filter("i >= 20 and rose is not null")
+    rows = bars.select("series", "ts", score.alias("p"), F.row_number().over(_ordered()).alias("i"), (F.lead("close", horizon).over(_ordered()) > F.col("close")).alias("rose")).filter("i >= 20 and rose is not null")
     bucket = F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1)).cast("int")
     return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("forecast"), F.avg(F.col("rose").cast("double")).alias("rate"), F.avg((F.col("p") - F.col("rose").cast("double")) * (F.col("p") - F.col("rose").cast("double"))).alias("brier"))
 
 
 def phase_survival(bars: DataFrame) -> DataFrame:
     """Kaplan-Meier survival of runs above or below the 20-bar mean; each series' last run is censored."""
-    mean = F.avg("close").over(_P.rowsBetween(-19, 0))
-    side = bars.select("series", "ts", (F.col("close") > mean).alias("above"), F.row_number().over(_P).alias("i")).filter("i >= 20")
-    edge = side.withColumn("turn", F.coalesce((F.col("above") != F.lag("above").over(_P)).cast("int"), F.lit(1)))
-    runs = edge.withColumn("run", F.sum("turn").over(_P.rowsBetween(Window.unboundedPreceding, 0))).groupBy("series", "run").agg(F.count(F.lit(1)).alias("age"))
+    mean = F.avg("close").over(_ordered().rowsBetween(-19, 0))
+    side = bars.select("series", "ts", (F.col("close") > mean).alias("above"), F.row_number().over(_ordered()).alias("i")).filter("i >= 20")
+    edge = side.withColumn("turn", F.coalesce((F.col("above") != F.lag("above").over(_ordered())).cast("int"), F.lit(1)))
+    runs = edge.withColumn("run", F.sum("turn").over(_ordered().rowsBetween(Window.unboundedPreceding, 0))).groupBy("series", "run").agg(F.count(F.lit(1)).alias("age"))
     last = runs.withColumn("ended", (F.col("run") < F.max("run").over(Window.partitionBy("series"))).cast("long"))
     table = last.groupBy("age").agg(F.sum("ended").alias("ends"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("age")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each age at most
