@@ -76,18 +76,83 @@ def super_smoother(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def mcginley(x: np.ndarray, n: int) -> np.ndarray:
-    """McGinley's dynamic line; where a price jump would throw it out of the positive numbers, it starts anew."""
+    """McGinley's dynamic line from the first value on, with floors of 1e-8 on the line and 1e-6 on the divisor."""
     state = [NAN]
 
     def step(v):
         s = state[0]
-        new = v if math.isnan(s) or v <= 0 else s + (v - s) / (n * (v / s) ** 4)
-        state[0] = new if 0 < new < float("inf") else v
+        state[0] = v if math.isnan(s) else s + (v - s) / max(n * (v / max(s, 1e-8)) ** 4, 1e-6)
         return state[0]
 
     return _over(x, step)
 
 
+def fisher(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Fisher transform of a place in the range (-0.5 to 0.5); both recursions start at 0."""
+    out, value, fish = np.full(len(place), NAN), 0.0, 0.0
+    for k in range(len(place)):
+        if not math.isnan(place[k]):
+            value = min(0.999, max(-0.999, 0.66 * place[k] + 0.67 * value))
+            fish = 0.5 * math.log((1 + value) / (1 - value)) + 0.5 * fish
+            out[k] = fish
+    return out
+
+
+def trailing_percent(x: np.ndarray, percent: float, want: str) -> np.ndarray:
+    """A stop that trails a line by a percentage and only tightens; direction 0 until the first decision."""
+    out, up, down, side = np.full(len(x), NAN), NAN, NAN, 0.0
+    for k in range(len(x)):
+        v = x[k]
+        if math.isnan(v):
+            continue
+        a, b = v * (1 - percent / 100), v * (1 + percent / 100)
+        if not math.isnan(up):
+            side = 1.0 if v > down else -1.0 if v < up else side
+            a = max(a, up) if v >= up else a
+            b = min(b, down) if v <= down else b
+        up, down = a, b
+        out[k] = side if want == "direction" else up if side >= 0 else down
+    return out
+
+
+def cusum(x: np.ndarray, n: int, slack: float, want: str) -> np.ndarray:
+    """Two-sided sums of standardised values beyond a slack, calibrated on the first n."""
+    out, first, up, down = np.full(len(x), NAN), [], 0.0, 0.0
+    for k in range(len(x)):
+        if math.isnan(x[k]):
+            continue
+        if len(first) < n:
+            first.append(x[k])
+            continue
+        mean, dev = float(np.mean(first)), float(np.std(first))
+        z = (x[k] - mean) / dev if dev > 0 else 0.0
+        up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
+        out[k] = up if want == "upper" else down
+    return out
+
+
+def high_pass(x: np.ndarray, n: int) -> np.ndarray:
+    """Two-pole high-pass; 0 for the first two values."""
+    a = math.cos(0.707 * 2 * math.pi / n)
+    alpha = (a + math.sin(0.707 * 2 * math.pi / n) - 1) / a
+    out = np.zeros(len(x))
+    for k in range(2, len(x)):
+        out[k] = (1 - alpha / 2) ** 2 * (x[k] - 2 * x[k - 1] + x[k - 2]) + 2 * (1 - alpha) * out[k - 1] - (1 - alpha) ** 2 * out[k - 2]
+    return out
+
+
+def held_stop(extreme: np.ndarray, close: np.ndarray, side: float) -> np.ndarray:
+    """A stop that only tightens while the last close stayed on its side; side 1 for stops under the price."""
+    out, held = np.full(len(extreme), NAN), NAN
+    for k in range(len(extreme)):
+        if math.isnan(extreme[k]):
+            continue
+        inside = not math.isnan(held) and k and (close[k - 1] - held) * side > 0
+        held = (max(extreme[k], held) if side > 0 else min(extreme[k], held)) if inside else extreme[k]
+        out[k] = held
+    return out
+
+
 def vidya(x: np.ndarray, cmo_len: int, n: int) -> np.ndarray:
     out, state = np.full(len(x), NAN), NAN
     for k in range(cmo_len, len(x)):
@@ -157,7 +222,7 @@ def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float, most: float, w
     return out
 
 
-KERNELS = {f.__name__: f for f in (alpha_ema, ema, rma, kama, super_smoother, mcginley, vidya, laguerre_rsi, supertrend, parabolic_sar)}
+KERNELS = {f.__name__: f for f in (alpha_ema, ema, rma, kama, super_smoother, mcginley, vidya, fisher, trailing_percent, cusum, high_pass, held_stop, laguerre_rsi, supertrend, parabolic_sar)}
 
 _CUM = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
