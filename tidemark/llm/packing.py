@@ -38,6 +38,16 @@ _PUNCTUATION = "".join(set(string.punctuation) - {"'"})
 _ODD_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class ByteBpe:
     """Token ids as little-endian 32-bit bytes, found by the tokenizers library and remembered by chunk.
 
@@ -56,8 +66,15 @@ class ByteBpe:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(chunks, found, strict=True))
+        """Words of Latin letters, which are one pre-token each, go to the library's BPE model itself; the rest through it all."""
+        merge, rest = self.tokenizer.model.tokenize, []
+        for c in chunks:
+            if (c.isalpha() or c[0] == " " and c[1:].isalpha()) and max(c) < "\u0250":
+                self.known[c] = array("I", [t.id for t in merge(c.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            else:
+                rest.append(c)
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, found, strict=True))
 
     def _learn(self, chunks: set[str]) -> None:
         """Make all chunks known; beyond the limit the known ones become the old generation, from which used ones return."""
