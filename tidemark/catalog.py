@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import finance
-from .operators import averages, oscillators, recursive, structure, volatility  # noqa: F401  they register themselves
+from .operators import adaptive, averages, oscillators, recursive, structure, volatility  # noqa: F401  they register themselves
 from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
 from .plans import align, crosssection, evaluate
 from .sources.bars import EVENT_BARS_SQL, ORDER_BARS_SQL, event_bars, order_bars, resample

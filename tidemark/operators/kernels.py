@@ -222,7 +222,136 @@ def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float, most: float, w
     return out
 
 
-KERNELS = {f.__name__: f for f in (alpha_ema, ema, rma, kama, super_smoother, mcginley, vidya, fisher, trailing_percent, cusum, high_pass, held_stop, laguerre_rsi, supertrend, parabolic_sar)}
+def ultimate_smoother(x: np.ndarray, n: int) -> np.ndarray:
+    """Ehlers' unity-gain two-pole smoother; the first three outputs are the inputs."""
+    a = math.exp(-1.414 * math.pi / n)
+    c2, c3 = 2 * a * math.cos(1.414 * math.pi / n), -a * a
+    c1, out = (1 + c2 - c3) / 4, np.array(x, float)
+    for k in range(3, len(x)):
+        out[k] = (1 - c1) * x[k] + (2 * c1 - c2) * x[k - 1] - (c1 + c3) * x[k - 2] + c2 * out[k - 1] + c3 * out[k - 2]
+    return out
+
+
+def cyber_cycle(x: np.ndarray, alpha: float) -> np.ndarray:
+    """Ehlers' cycle of a four-tap smooth; a plain second difference for the first six values."""
+    out, n = np.zeros(len(x)), len(x)
+    smooth = np.array(x, float)
+    for k in range(3, n):
+        smooth[k] = (x[k] + 2 * x[k - 1] + 2 * x[k - 2] + x[k - 3]) / 6
+    for k in range(2, n):
+        if k < 6:
+            out[k] = (x[k] - 2 * x[k - 1] + x[k - 2]) / 4
+        else:
+            out[k] = (1 - alpha / 2) ** 2 * (smooth[k] - 2 * smooth[k - 1] + smooth[k - 2]) + 2 * (1 - alpha) * out[k - 1] - (1 - alpha) ** 2 * out[k - 2]
+    return out
+
+
+def reflex(x: np.ndarray, n: int, slope: bool) -> np.ndarray:
+    """Mean deviation of a smoothed line from its chord (or from its present value), over its running size."""
+    line, out, square = super_smoother(x, max(2, n // 2)), np.full(len(x), NAN), 0.0
+    steps = np.arange(1, n + 1)
+    for k in range(n, len(x)):
+        tilt = (line[k - n] - line[k]) / n if slope else 0.0
+        total = float((line[k] + steps * tilt - line[k - n : k][::-1]).sum() / n)
+        square = 0.04 * total * total + 0.96 * square
+        out[k] = total / math.sqrt(square) if square > 0 else 0.0
+    return out
+
+
+def frama(price: np.ndarray, high: np.ndarray, low: np.ndarray, n: int, want: str) -> np.ndarray:
+    """Fractal adaptive mean: the weight follows the dimension of the last n bars' ranges and their halves'."""
+    out, state, half = np.full(len(price), NAN), NAN, n // 2
+    for k in range(n, len(price)):
+        h, l = high[k - n + 1 : k + 1], low[k - n + 1 : k + 1]
+        parts = [(a.max() - b.min()) / s for a, b, s in ((h[:half], l[:half], half), (h[half:], l[half:], half), (h, l, n))]
+        dimension = (math.log(parts[0] + parts[1]) - math.log(parts[2])) / math.log(2) if min(parts[0] + parts[1], parts[2]) > 0 else 1.0
+        alpha = min(1.0, max(0.01, math.exp(-4.6 * (dimension - 1))))
+        state = price[k] if math.isnan(state) else state + alpha * (price[k] - state)
+        out[k] = state if want == "line" else dimension
+    return out
+
+
+def rank_correlation(x: np.ndarray, n: int) -> np.ndarray:
+    """100 times the correlation of average-tie ranks with time over the last n; 0 if flat."""
+    out, time = np.full(len(x), NAN), np.arange(n) - (n - 1) / 2
+    for k in range(n - 1, len(x)):
+        part = x[k - n + 1 : k + 1]
+        ranks = (part[:, None] > part[None, :]).sum(axis=1) + (part[:, None] == part[None, :]).sum(axis=1) / 2
+        ranks = ranks - ranks.mean()
+        size = math.sqrt((ranks**2).sum() * (time**2).sum())
+        out[k] = 100 * float((ranks * time).sum()) / size if size > 0 else 0.0
+    return out
+
+
+def hurst(x: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Slope of log R/S against log chunk size over chunks that double from `least`, in the last n returns."""
+    out, sizes = np.full(len(x), NAN), []
+    s = least
+    while s <= n:
+        sizes.append(s)
+        s *= 2
+    for k in range(len(x)):
+        r = x[max(0, k - n + 1) : k + 1]
+        if len(r) < n or np.isnan(r).any():
+            continue
+        points = []
+        for s in sizes:
+            c = r[: n // s * s].reshape(-1, s)
+            walk = np.cumsum(c - c.mean(axis=1, keepdims=True), axis=1)
+            dev = c.std(axis=1)
+            ok = dev > 0
+            if ok.any():
+                points.append((math.log(s), math.log(((walk.max(axis=1) - walk.min(axis=1))[ok] / dev[ok]).mean())))
+        if len(points) > 1:
+            a, b = np.array(points).T
+            out[k] = ((a - a.mean()) * (b - b.mean())).sum() / ((a - a.mean()) ** 2).sum()
+    return out
+
+
+def range_filter(x: np.ndarray, band: np.ndarray, want: str) -> np.ndarray:
+    """A line that moves only when the price leaves its band; direction of its last move."""
+    out, line, side = np.full(len(x), NAN), NAN, 0.0
+    for k in range(len(x)):
+        if math.isnan(band[k]):
+            continue
+        old = line
+        line = x[k] if math.isnan(line) else max(line, x[k] - band[k]) if x[k] > line else min(line, x[k] + band[k])
+        tolerance = 1e-9 * max(1.0, abs(line))
+        if not math.isnan(old) and abs(line - old) > tolerance:
+            side = 1.0 if line > old else -1.0
+        out[k] = line if want == "line" else side
+    return out
+
+
+def volume_profile(high: np.ndarray, low: np.ndarray, volume: np.ndarray, n: int, bins: int, want: str) -> np.ndarray:
+    """Volume by price over the last n bars, each spread evenly over its range: point of control, or a bound of the 70 % value area."""
+    out = np.full(len(high), NAN)
+    for k in range(n - 1, len(high)):
+        h, l, v = high[k - n + 1 : k + 1], low[k - n + 1 : k + 1], volume[k - n + 1 : k + 1]
+        bottom, top = l.min(), h.max()
+        if not top > bottom:
+            continue
+        edges = np.linspace(bottom, top, bins + 1)
+        overlap = np.minimum(h[:, None], edges[None, 1:]) - np.maximum(l[:, None], edges[None, :-1])
+        share = np.where((h > l)[:, None], np.clip(overlap, 0, None) / np.where(h > l, h - l, 1)[:, None], ((l[:, None] >= edges[None, :-1]) & ((l[:, None] < edges[None, 1:]) | (np.arange(bins) == bins - 1))))
+        held = (share * v[:, None]).sum(axis=0)
+        a = b = int(np.argmax(held))
+        width = (top - bottom) / bins
+        if want == "poc":
+            out[k] = edges[a] + width / 2
+            continue
+        inside = held[a]
+        while inside < 0.7 * held.sum() and (a > 0 or b < bins - 1):
+            up, down = held[b + 1] if b < bins - 1 else -1.0, held[a - 1] if a > 0 else -1.0
+            if up >= down:
+                b, inside = b + 1, inside + up
+            else:
+                a, inside = a - 1, inside + down
+        out[k] = edges[b + 1] if want == "high" else edges[a]
+    return out
+
+
+KERNELS = {f.__name__: f for f in (alpha_ema, ema, rma, kama, super_smoother, mcginley, vidya, fisher, trailing_percent, cusum, high_pass, held_stop, ultimate_smoother, cyber_cycle, reflex, frama, rank_correlation, hurst, range_filter, volume_profile, laguerre_rsi, supertrend, parabolic_sar)}
 
 _CUM = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
