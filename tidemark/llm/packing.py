@@ -32,6 +32,8 @@ CAPACITY = 1024
 #: Tokens dealt to one packing partition: about 8000 bins, so what the last bin of each wastes is about 0.01 %.
 DEAL_TOKENS = 8_000_000
 ROUNDS = 3
+#: More bins than one deal can need; sequence numbers are (deal, bin, round) in one integer.
+_DEAL_BINS = 1 << 24
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _PUNCTUATION = "".join(set(string.punctuation) - {"'"})
 #: White space other than blank and newline.
@@ -202,9 +204,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, deal_tokens: int = DEAL_TO
     """`pieces` (with a column length, 1 to capacity) with sequence_id and offset added; each sequence is gapless from 0."""
     spark = pieces.sparkSession
     table = settle(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    whole = table.filter(F.col("length") == capacity).select("row", F.concat(F.lit("w"), F.col("row").cast("string")).alias("seq"), F.lit(0).cast("long").alias("offset"))
+    whole = table.filter(F.col("length") == capacity).select("row", (F.col("row") * (rounds + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = table.filter(F.col("length") < capacity).select("row", "length")
-    placed, used = [whole], []
+    placed = [whole]
     for k in range(rounds):
         tokens = rest.agg(F.sum("length")).first()[0] or 0
         if not tokens:
@@ -212,17 +214,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, deal_tokens: int = DEAL_TO
         deals = max(1, round(tokens / deal_tokens))
         dealt = rest.withColumn("deal", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(deals)))
         packed = settle(dealt.groupBy("deal").applyInPandas(_pack(capacity), "row long, length long, deal long, bin long, offset long, stands boolean, bins long"), "packed")
-        used.append(packed)
         last = k == rounds - 1 or deals == 1
         done = packed if last else packed.filter("stands")
-        placed.append(done.select("row", F.concat_ws(".", F.lit(f"r{k}"), "deal", "bin").alias("seq"), "offset"))
+        placed.append(done.select("row", ((F.col("deal") * _DEAL_BINS + F.col("bin")) * (rounds + 1) + (k + 1)).alias("sequence_id"), "offset"))
         if last:
             break
         rest = packed.filter("not stands").select("row", "length")
     every = placed[0]
     for part in placed[1:]:
         every = every.union(part)
-    return table.join(every, "row").withColumn("sequence_id", F.xxhash64("seq")).drop("row", "seq")
+    return table.join(every, "row").drop("row")
 
 
 def bound_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
