@@ -99,19 +99,23 @@ def fisher(x: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def trailing_percent(x: np.ndarray, percent: float, want: str) -> np.ndarray:
-    """A stop that trails a line by a percentage and only tightens; direction 0 until the first decision."""
-    out, up, down, side = np.full(len(x), NAN), NAN, NAN, 0.0
+    """A stop that trails a line by a percentage and tightens while the line stays beyond it; nothing before the first decision."""
+    out, under, over, side = np.full(len(x), NAN), NAN, NAN, 0.0
     for k in range(len(x)):
         v = x[k]
         if math.isnan(v):
             continue
-        a, b = v * (1 - percent / 100), v * (1 + percent / 100)
-        if not math.isnan(up):
-            side = 1.0 if v > down else -1.0 if v < up else side
-            a = max(a, up) if v >= up else a
-            b = min(b, down) if v <= down else b
-        up, down = a, b
-        out[k] = side if want == "direction" else up if side >= 0 else down
+        low, high = v * (1 - percent / 100), v * (1 + percent / 100)
+        if not math.isnan(under):
+            if side < 1 and v > over:
+                side = 1.0
+            elif side > -1 and v < under:
+                side = -1.0
+            low = max(low, under) if v > under else low
+            high = min(high, over) if v < over else high
+        under, over = low, high
+        if side:
+            out[k] = side if want == "direction" else under if side > 0 else over
     return out
 
 

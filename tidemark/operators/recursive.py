@@ -34,7 +34,7 @@ def most(length=3, percent=2.0):
 
 @operator()
 def cusum(len=20, k=0.5):
-    return op([{"r": "ln(close / pc)"}, {"value": Fold("cusum", "r", (len, k, "upper")), "lower": Fold("cusum", "r", (len, k, "lower"))}], ["value", "lower"], len + 2)
+    return op([{"r": "close / pc - 1"}, {"value": Fold("cusum", "r", (len, k, "upper")), "lower": Fold("cusum", "r", (len, k, "lower"))}], ["value", "lower"], len + 2)
 
 
 @operator()
