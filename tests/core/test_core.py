@@ -10,13 +10,16 @@ from tidemark import catalog
 from tidemark.operators import kernels
 from tidemark.operators.spec import OPERATORS, apply, build
 
+#: Bars of each series; more than any operator needs before its first value.
+BARS = 280
+
 
 @pytest.fixture(scope="module")
 def bars(spark):
     r = np.random.default_rng(1)
     rows = []
     for s in "ab":
-        close = 100 * np.exp(np.cumsum(r.normal(0, 0.01, 160)))
+        close = 100 * np.exp(np.cumsum(r.normal(0, 0.01, BARS)))
         for k, c in enumerate(close):
             o = c * (1 + r.normal(0, 0.003))
             rows.append((s, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=k), o, max(o, c) * 1.004, min(o, c) * 0.995, c, float(r.integers(1, 100))))
@@ -57,7 +60,7 @@ def test_every_operator_runs_and_warms_up(bars):
     for at in range(0, len(small), 12):
         ops = [build(n) for n in small[at : at + 12]]
         out = apply(df, ops).toPandas()
-        assert len(out) == 320
+        assert len(out) == 2 * BARS
         for op in ops:
             for c in op.outputs:
                 x = out[f"{op.name}_{c}"]
