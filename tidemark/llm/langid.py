@@ -60,6 +60,10 @@ def words(text: str) -> Counter:
     """Counts of the word parts of a text."""
     out: Counter = Counter()
     for w, n in Counter(_WORD.findall(text.lower())).items():
+        if not w.isalpha():  # numerals such as fractions are no letters
+            w = "".join(filter(str.isalpha, w))
+            if not w:
+                continue
         if len(w) <= PART:
             out[MARK + w] += n
         else:
