@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path
+from tidemark.llm.common import settle, shared_path
 from tidemark.llm.langid import identify
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
@@ -32,8 +32,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; every document stays."""
-    return _measured(drop_repeated_lines(docs).select(*docs.columns))
+    """Lines found in ten documents or more go, near copies counting as one; every document stays.
+
+    So the lines of a text with many copies stay for the next stage, as does a text made of nothing but such lines.
+    """
+    copies = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("group")).filter(F.col("group") != F.col("doc_id"))
+    return _measured(drop_repeated_lines(docs, groups=settle(copies, "copies"), spare_whole=True).select(*docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -23,3 +25,28 @@ def test_pipeline(spark, tmp_path):
     assert 101 not in seen["near_dedup"] and 100 in seen["near_dedup"] and set(range(30)) <= set(seen["near_dedup"])
     assert "[EMAIL]" in seen["pii"][200].text and set(seen["pii"]) == set(seen["near_dedup"]) and seen["pii"][200].n_chars == len(seen["pii"][200].text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["pii"])
+
+
+def words_of(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8))) for _ in range(n)]
+
+
+def staged(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.line_stage(spark, docs, "").cache()
+    kept = corpus_pipeline.near_duplicate_stage(spark, lines, "")
+    return [{r.doc_id: r.text for r in x.collect()} for x in (lines, kept)]
+
+
+def test_many_copies_leave_one_whole_document(spark):
+    exact = "\n".join(" ".join(words_of(i, 12)) for i in range(5))
+    body = [" ".join(words_of(100 + i, 12)) for i in range(20)]
+    near = ["\n".join([*body, f"edition {i}"]) for i in range(12)]
+    pool = ["all rights reserved", "terms of use"]
+    mixed = ["\n".join([" ".join(words_of(200 + i, 12)), *pool]) for i in range(12)]
+    lines, kept = staged(spark, [exact] * 12 + near + mixed + ["\n".join(pool)])
+    assert kept[0] == exact and not set(range(1, 12)) & set(kept)
+    assert kept[12] == near[0] and not set(range(13, 24)) & set(kept)
+    assert all(lines[24 + i] == mixed[i].split("\n")[0] for i in range(12))
+    assert kept[36] == "\n".join(pool)

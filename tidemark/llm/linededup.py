@@ -103,15 +103,16 @@ def seen_twice(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
 
 
 def _suspects(docs: DataFrame, bloom, min_chars: int) -> DataFrame:
-    """(key): one row for each row of `docs` and suspected key of it."""
+    """(doc_id, key): one row for each row of `docs` (doc_id, text) and suspected key of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k for text in text_bytes(batch.column(0)) for k in dict.fromkeys(key_digests(text, min_chars)) if k]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(pa.array(_test(bloom.value, keys)))], ["key"])
+            found = [(row, k) for row, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for k in dict.fromkeys(key_digests(text, min_chars)) if k]
+            if found:
+                ids, keys = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"]).filter(pa.array(_test(bloom.value, list(keys))))
 
-    return docs.select("text").mapInArrow(run, "key binary")
+    return docs.mapInArrow(run, "doc_id long, key binary")
 
 
 def filter_bits(docs: DataFrame) -> int:
@@ -120,28 +121,36 @@ def filter_bits(docs: DataFrame) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(lines * BITS_PER_KEY))))
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(key, n): exact row counts of the keys found in at least `min_docs` rows (two or more)."""
+def repeated_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, groups: DataFrame | None = None) -> DataFrame:
+    """(key, n): exact row counts of the keys found in at least `min_docs` rows (two or more).
+
+    With `groups` (doc_id, group; doc_id unique) the rows of a group count as one, as do rows of one doc_id or of none.
+    """
     spark = docs.sparkSession
     bloom = spark.sparkContext.broadcast(seen_twice(docs, filter_bits(docs), min_chars))
-    counts = _suspects(docs, bloom, min_chars).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ids = F.lit(None).cast("long") if groups is None else F.col("doc_id").cast("long")
+    found = _suspects(docs.select(ids.alias("doc_id"), "text"), bloom, min_chars)
+    if groups is not None:
+        found = found.join(groups, "doc_id", "left").select("key", F.coalesce("group", "doc_id").alias("group")).distinct()
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") >= max(2, min_docs))
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS, keep_first: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS, keep_first: bool = False, groups: DataFrame | None = None, spare_whole: bool = False) -> DataFrame:
     """`docs` with repeated lines removed from text, and n_lines, n_dropped, kept_sha256 added.
 
     keep_first leaves each key its first occurrence: the first line with it in the row of the smallest doc_id (equal
-    doc_ids all keep theirs).
+    doc_ids all keep theirs). `groups` is that of repeated_keys(). spare_whole leaves a text as it is if nothing but
+    white space would remain.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    keys = settle(repeated_keys(docs, min_docs, min_chars), "line-keys")
+    keys = settle(repeated_keys(docs, min_docs, min_chars, groups), "line-keys")
     first = _first_rows(docs, keys, min_chars) if keep_first else None
     if first is None and keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
         gone = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in keys.select("key").toLocalIterator()))
-        return _rewrite(docs, lambda batch, names: [gone.value] * batch.num_rows, min_chars)
-    return _by_join(docs, keys, first, min_chars)
+        return _rewrite(docs, lambda batch, names: [gone.value] * batch.num_rows, min_chars, spare_whole)
+    return _by_join(docs, keys, first, min_chars, spare_whole)
 
 
 def _first_rows(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
@@ -160,7 +169,7 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, key binary")
 
 
-def _by_join(docs: DataFrame, keys: DataFrame, first: DataFrame | None, min_chars: int) -> DataFrame:
+def _by_join(docs: DataFrame, keys: DataFrame, first: DataFrame | None, min_chars: int, spare_whole: bool = False) -> DataFrame:
     """The way beyond the broadcast bound: each row gets the list of its keys that go (and of those it keeps once)."""
     table = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "lines")
     held = _lines(table.select("_row", "text"), min_chars).join(keys.select("key"), "key").withColumnRenamed("row", "_row")
@@ -175,10 +184,10 @@ def _by_join(docs: DataFrame, keys: DataFrame, first: DataFrame | None, min_char
         gone, once = (batch.column(names.index(c)).to_pylist() for c in ("_gone", "_once"))
         return [(frozenset(g or ()), set(o or ())) for g, o in zip(gone, once, strict=True)]
 
-    return _rewrite(joined, sets, min_chars)
+    return _rewrite(joined, sets, min_chars, spare_whole)
 
 
-def _rewrite(docs: DataFrame, sets, min_chars: int) -> DataFrame:
+def _rewrite(docs: DataFrame, sets, min_chars: int, spare_whole: bool = False) -> DataFrame:
     names = docs.columns
     kept_names = [c for c in names if c not in ("_gone", "_once", "n_lines", "n_dropped", "kept_sha256")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept_names)
@@ -198,6 +207,8 @@ def _rewrite(docs: DataFrame, sets, min_chars: int) -> DataFrame:
                             continue
                         once.discard(key)
                     keep.append(line)
+                if spare_whole and not b"".join(keep).strip(ASCII_SPACE):
+                    keep = parts
                 new = b"\n".join(keep)
                 texts.append(new.decode() if present else None)
                 lines.append(len(parts)), dropped.append(len(parts) - len(keep))
