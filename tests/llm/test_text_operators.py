@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -72,6 +73,46 @@ def test_disclosing_terms(spark):
     assert sanitise(frame(spark, [])).count() == 0 and sanitise(frame(spark, [None])).first().text is None
 
 
+def term_rule(texts, generalise=0.7, remove=0.9):
+    """The terms of each text by plain counting, with their actions."""
+    plain = [blank(t) for t in texts]
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in plain]
+    with_term = Counter(w for t in texts for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+    entities = [{m.group().lower() for m in re.finditer(PATTERNS["email"], t)} for t in texts]
+    with_entity, both = Counter(e for x in entities for e in x), Counter((e, w) for x, ws in zip(entities, terms) for e in x for w in ws)
+    n, out = len(texts), []
+    for x, t in zip(entities, plain):
+        spans = set()
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            w = m.group().lower()
+            shares = [math.log(n * (both[e, w] + 0.5) / ((with_entity[e] + 0.5) * (with_term[w] + 0.5))) / math.log(n / (with_entity[e] + 0.5)) + 1e-12 for e in x]
+            if shares and max(shares) >= generalise:
+                spans.add((m.start(), m.end(), 2 if max(shares) >= remove else 1))
+        out.append(sorted(spans))
+    return out
+
+
+def blank(text):
+    return re.sub(PATTERNS["email"], lambda m: " " * len(m.group()), text)
+
+
+def test_terms_of_rare_entities_in_whole_texts(spark):
+    from tidemark.llm.pii import detect, sanitise
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghijklmnoprstuvwxyz", k=r.randint(3, 7))) for _ in range(300)]
+    texts = [" ".join(r.choices(vocabulary, weights=range(300, 0, -1), k=60)) for _ in range(150)]
+    for i in range(40):
+        texts[i] += f" \U0001f600 mail p{i % 17}@x.org or q{i}@y.org"
+    texts[0] = "(Zanzibar) office " + texts[0] + " and zanzibar again"
+    texts[1] = "“Łódź-Mombasa” " + "the road goes on " * 40 + texts[1]
+    want = term_rule(texts)
+    got = {x.doc_id: [tuple(s) for s in x._term] for x in detect(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(want)) and {a for x in want for _, _, a in x} == {1, 2}
+    clean = {x.doc_id: x.text for x in sanitise(frame(spark, texts)).collect()}
+    assert "anzibar" not in clean[0] and "Mombasa" not in clean[1] and clean[60] == texts[60]
+
+
 # lines
 
 

@@ -1,10 +1,14 @@
 """Personal data: base spans by pattern, disclosing terms by corpus co-occurrence, and sanitised texts. SQL functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each span's value is a protected entity.
-A term (a word of letters within `REACH` characters of an entity) discloses it by their pointwise mutual information over
-the corpus' documents, as a share of the entity's own information: log(N * both / (entity * term)) / log(N / entity). Terms
-that occur near an entity in at least `support` documents are generalised from the share `generalise` on, and removed from
-`remove` on, near that entity. Term counts are over all documents and whole texts.
+A term (a run of three or more letters outside base spans, anywhere in a text with an entity) discloses it by their pointwise
+mutual information over the corpus' documents, as a share of the entity's own information:
+log(N * both / (entity * term)) / log(N / entity), each of the three counts with `SMOOTHING` added. Terms are generalised
+from the share `generalise` on, and removed from `remove` on, wherever they occur in a text with that entity. Term counts are
+over all documents and whole texts.
+
+Pairs are pruned without loss: as no pair occurs together in more documents than its entity, a term's own count alone bounds
+its share. Entities of one document share their pairs' counts, so one of them stands for all in that document.
 
 Patterns find leftmost matches that do not overlap within a kind; matches that fail their test are dropped without another
 try. Where a pattern could only start inside a run of its own characters after failing at the run's first one, a look-behind
@@ -15,12 +19,10 @@ A null text counts as empty and stays null in sanitised output. doc_id may be nu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, settle
+from .common import drop_settled, lookup_join, settle
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -33,9 +35,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Characters on either side of an entity in which terms are looked for.
-REACH = 64
-_TERM = r"(?<=[\x20\x09-\x0D])\p{L}{3,}(?=[.,;:!?]?[\x20\x09-\x0D])"
+#: Added to each document count.
+SMOOTHING = 0.5
+_TERM = r"\p{L}{3,}"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -43,9 +45,9 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, in code points; what lies between gives the positions."""
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -78,59 +80,76 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(value) if kind in ("email", "ip") else _digits(value))
 
 
-def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A settled table: the columns `keep`, _row, one array of spans for each kind, and _near with each entity's surroundings."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(*keep, text.alias("_text")).withColumns({f"_{k}": base_spans(F.col("_text"), k) for k in KINDS})
-
-    def near(kind: str) -> Callable[[Column], Column]:
-        def one(s: Column) -> Column:
-            begin = F.greatest(s["start"] - (REACH + 1), F.lit(0))
-            before = F.concat(F.when(begin == 0, F.lit(" ")).otherwise(F.lit("")), F.substring(F.col("_text"), begin + 1, s["start"] - begin))
-            after = F.substring(F.col("_text"), s["end"] + 1, F.lit(REACH + 1))
-            after = F.concat(after, F.when(F.length(after) <= REACH, F.lit(" ")).otherwise(F.lit("")))
-            return F.struct(_entity(kind, s["value"]).alias("entity"), F.when(begin == 0, F.lit(-1)).otherwise(begin).alias("before_at"), before.alias("before"), s["end"].alias("after_at"), after.alias("after"))
-
-        return one
-
-    around = F.concat(*[F.transform(F.col(f"_{k}"), near(k)) for k in KINDS])
-    return settle(found.select(*keep, F.monotonically_increasing_id().alias("_row"), *[f"_{k}" for k in KINDS], around.alias("_near")), "spans")
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with white space in place of the spans (sorted by start); positions stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        begin, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))).alias("out"))
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(_row, entity, term, start, end): the terms around each entity."""
-    each = found.select("_row", F.explode("_near").alias("n")).select("_row", "n.*")
-    sides = each.select("_row", "entity", F.explode(F.array(F.struct(F.col("before_at").alias("at"), F.col("before").alias("side")), F.struct(F.col("after_at").alias("at"), F.col("after").alias("side")))).alias("s"))
-    terms = sides.select("_row", "entity", F.col("s.at").alias("at"), F.explode(matches(F.col("s.side"), _TERM)).alias("m"))
-    return terms.select("_row", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
-    """(entity, term, share, action) of the terms whose disclosure reaches a threshold; action 1 generalises, 2 removes."""
-    together = terms.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    together = settle(together, "together")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    entities = found.select("_row", F.explode("_near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    n = F.lit(float(found.count()))
-    own = F.log(n / F.col("with_entity"))
-    share = F.when(own > 0, F.log(n * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / own).otherwise(F.lit(0.0))
-    rated = together.join(counts, "term").join(entities, "entity").withColumn("share", share).filter(F.col("share") >= generalise)
-    return rated.select("entity", "term", "share", F.when(F.col("share") >= remove, F.lit(2)).otherwise(F.lit(1)).alias("action"))
+def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """A settled table: the columns `keep`, _row, one array of spans for each kind, _entities, and _rest, the text without
+    its spans (null where there is no entity)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(*keep, text.alias("_text")).withColumns({f"_{k}": base_spans(F.col("_text"), k) for k in KINDS})
+    named = lambda kind: F.transform(F.col(f"_{kind}"), lambda s: _entity(kind, s["value"]))
+    entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+    spans = F.array_sort(F.concat(*[F.transform(F.col(f"_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    rest = F.when(F.size("_entities") > 0, _blanked(F.col("_text"), spans))
+    found = found.withColumn("_entities", entities)
+    return settle(found.select(*keep, F.monotonically_increasing_id().alias("_row"), *[f"_{k}" for k in KINDS], "_entities", rest.alias("_rest")), "spans")
+
+
+def entity_rows(found: DataFrame) -> DataFrame:
+    """(_row, entity, with_entity): the entities of each row and the number of rows with them."""
+    each = found.select("_row", F.explode("_entities").alias("entity"))
+    return lookup_join(each, each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entity", salt=F.col("_row"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+    """(_row, term, action) of the terms that disclose an entity of their row; action 1 generalises, 2 removes."""
+    n = float(found.count())
+    entities = settle(entity_rows(found), "entities")
+    bound = lambda both: (both + SMOOTHING) * F.pow(F.lit(n) / (F.col("with_entity") + SMOOTHING), F.lit(1 - generalise)) * (1 + 1e-9)  # noqa: E731  of with_term + SMOOTHING
+    widest = F.lit(entities.agg(F.max(bound(F.col("with_entity")))).first()[0] or 0.0)
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).filter(F.col("with_term") + SMOOTHING <= widest)
+    per_row = entities.groupBy("_row").agg(F.max(bound(F.col("with_entity"))).alias("_bound"))
+    inside = found.filter("_rest is not null").select("_row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_rest", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+    rare = settle(inside.join(counts, "term").join(per_row, "_row").filter(F.col("with_term") + SMOOTHING <= F.col("_bound")).drop("_bound"), "terms")
+
+    lone = entities.filter("with_entity = 1").select("_row", F.lit(None).cast("string").alias("entity"), "with_entity").distinct()
+    pairs = rare.join(entities.filter("with_entity > 1").unionByName(lone), "_row").filter(F.col("with_term") + SMOOTHING <= bound(F.col("with_entity")))
+    pairs = settle(pairs, "pairs")
+    own = F.log(F.lit(n) / (F.col("with_entity") + SMOOTHING))
+    share = F.log(F.lit(n) * (F.col("both") + SMOOTHING) / ((F.col("with_entity") + SMOOTHING) * (F.col("with_term") + SMOOTHING))) / own
+    # shares of exactly 1 may come out a few ulp lower
+    rate = lambda df: df.withColumn("share", F.when(own > 0, share + 1e-12).otherwise(0.0)).filter(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, F.lit(2)).otherwise(F.lit(1)))
+    single = rate(pairs.filter("entity is null").withColumn("both", F.lit(1))).select("_row", "term", "action")
+    several = pairs.filter("entity is not null")
+    rated = settle(rate(several.groupBy("entity", "term", "with_entity", "with_term").agg(F.count(F.lit(1)).alias("both"))).select("entity", "term", "action"), "disclosing")
+    marked = several.select("_row", "entity", "term").join(rated, ["entity", "term"]).select("_row", "term", "action")
+    out = settle(single.unionByName(marked).groupBy("_row", "term").agg(F.max("action").alias("action")), "row-terms")
+    drop_settled(docs.sparkSession, entities, rare, pairs)
+    return out
 
 
 def detect(docs: DataFrame, keep: list[str] | None = None, **thresholds) -> DataFrame:
     """The columns `keep`, arrays email, ip, card, phone of spans, and term of (start, end, action)."""
     keep = docs.columns if keep is None else keep
     found = find_spans(docs, keep)
-    terms = settle(near_terms(found), "terms")
-    bad = settle(disclosing_terms(docs, found, terms, **thresholds), "disclosing")
-    marked = terms.join(bad.select("entity", "term", "action"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("action").alias("action"))
-    per_row = marked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("_term"))
+    bad = disclosing_terms(docs, found, **thresholds).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_bad"))
+    out = found.drop("_entities").join(bad, "_row", "left")
+    # the forms in which the row writes its terms, as one pattern
+    forms = F.filter(F.array_distinct(F.regexp_extract_all("_rest", F.lit(_TERM), F.lit(0))), lambda w: F.map_contains_key("_bad", F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    spans = F.transform(matches(F.col("_rest"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at("_bad", F.lower(m["value"])).alias("action")))
     empty = F.array().cast("array<struct<start:int,end:int,action:int>>")
-    out = found.drop("_near").join(settle(per_row, "term-spans"), "_row", "left")
-    drop_settled(docs.sparkSession, terms)
-    return out.select(*keep, *[f"_{k}" for k in KINDS], F.coalesce("_term", empty).alias("_term"))
+    return out.select(*keep, *[f"_{k}" for k in KINDS], F.when(F.col("_bad").isNotNull(), spans).otherwise(empty).alias("_term"))
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
