@@ -17,6 +17,8 @@ from tidemark.llm.pii import sanitise
 
 #: A document stays if its language's posterior reaches this; `und` never does.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Texts are near copies from this Jaccard similarity of their word shingles on.
+COPY_PERCENT = 80
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -36,13 +38,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     So the lines of a text with many copies stay for the next stage, as does a text made of nothing but such lines.
     """
-    copies = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("group")).filter(F.col("group") != F.col("doc_id"))
+    copies = near_duplicates(docs, percent=COPY_PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("group")).filter(F.col("group") != F.col("doc_id"))
     return _measured(drop_repeated_lines(docs, groups=settle(copies, "copies"), spare_whole=True).select(*docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    copies = near_duplicates(docs).filter("not kept").select("doc_id")
+    copies = near_duplicates(docs, percent=COPY_PERCENT).filter("not kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -50,3 +50,11 @@ def test_many_copies_leave_one_whole_document(spark):
     assert kept[12] == near[0] and not set(range(13, 24)) & set(kept)
     assert all(lines[24 + i] == mixed[i].split("\n")[0] for i in range(12))
     assert kept[36] == "\n".join(pool)
+
+
+def test_near_copies_start_at_four_fifths(spark):
+    a = words_of(7, 104)
+    b = [*a[:95], *words_of(8, 9)]  # 91 of 109 shingles are common
+    c = [*a[:90], *words_of(9, 14)]  # 86 of 114
+    _, kept = staged(spark, [" ".join(a), " ".join(b), " ".join(c)])
+    assert set(kept) == {0, 2}
