@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: the stages in order, each written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of `documents`; rows leave only by a stage's own decision.
+Every stage but the last returns the columns of `documents`; rows leave only by a stage's own decision. Null and empty texts
+have no language and go in the first stage. Rows with a null doc_id, repeated rows and repeated doc_ids are carried along: rows
+that share a doc_id are one document, whose group of near copies they join together. An empty table gives an empty result.
+Long texts pass whole. Extra columns stay as they are, whatever their names; only n_chars follows a changed text.
 """
 
 from __future__ import annotations
@@ -8,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, shared_path
+from tidemark.llm.common import settle, shared_path, sheltered
 from tidemark.llm.langid import identify
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
@@ -29,8 +32,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or with no clear language, go."""
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    found = identify(docs, train=third != 1)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    narrow, restore = sheltered(docs, ("doc_id", "text", "lang"))
+    found = identify(narrow, train=third != 1)
+    return restore(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     So the lines of a text with many copies stay for the next stage, as does a text made of nothing but such lines.
     """
     copies = near_duplicates(docs, percent=COPY_PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("group")).filter(F.col("group") != F.col("doc_id"))
-    return _measured(drop_repeated_lines(docs, groups=settle(copies, "copies"), spare_whole=True).select(*docs.columns))
+    narrow, restore = sheltered(docs, ("doc_id", "text"))
+    return _measured(restore(drop_repeated_lines(narrow, groups=settle(copies, "copies"), spare_whole=True)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL: segmentation sums, token ids and packing are beyond it; tests compare the run with brute force.
+#: No SQL: segmentation sums, token ids and packing are beyond it; tests compare the stages' rows with a plain version.
 ORACLE_SQL = None
 
 

@@ -58,3 +58,19 @@ def test_near_copies_start_at_four_fifths(spark):
     c = [*a[:90], *words_of(9, 14)]  # 86 of 114
     _, kept = staged(spark, [" ".join(a), " ".join(b), " ".join(c)])
     assert set(kept) == {0, 2}
+
+
+def test_odd_tables_pass_every_stage(spark, tmp_path):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, score double, _row string, kept__ int, n_lines string"
+    good = [" ".join(words_of(500 + i, 30)) for i in range(20)]
+    rows = [(i, t, "en", "s", len(t), 77.0, "r", 1, "L") for i, t in enumerate(good)]
+    rows += [(None, good[0], "en", "s", 1, 77.0, "r", 1, "L"), rows[3], (900, "", "en", "s", 0, 77.0, "r", 1, "L"), (901, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, fields)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == [f.strip().split(" ")[0] for f in fields.split(",")]
+        found = docs.collect()
+        assert all((r.score, r._row, r.kept__, r.n_lines) == (77.0, "r", 1, "L") for r in found)
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in found) == sorted([-1, 3, *range(20)])
+    spark.createDataFrame([], fields).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file:///tmp/tidemark-checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -50,6 +52,20 @@ def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sheltered(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` with the columns not needed under names that no step uses, and a function that gives them their names back.
+
+    The function returns the columns of `docs` in their order, then the extra ones it is told; an extra column takes the
+    place of one of `docs` with its name.
+    """
+    own = {c: c if c in needed else f"kept{i}__" for i, c in enumerate(docs.columns)}
+
+    def restore(df: DataFrame, *extra: str) -> DataFrame:
+        return df.select(*[F.col(own[c]).alias(c) for c in docs.columns if c not in extra], *extra)
+
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), restore
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -68,13 +84,18 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that fills itself by `make`. At `limit` entries it becomes the old generation, from which used ones return."""
+    """A dict that fills itself by `make`. At `limit` entries it becomes the old generation, from which used ones return.
+
+    Keys over `longest` are made anew each time, so that memory stays bounded.
+    """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, longest: int | None = None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
