@@ -7,8 +7,10 @@ maximisation: expected piece counts by forward and backward sums, added up over
 table pieces x languages, bounded by the vocabulary, reaches the driver.
 
 The score is the posterior under equal priors with the log-likelihoods averaged per word and weighted by `sharpness`, so it
-does not saturate with length. A null text, or one without letters, is `und` with score 0. Training rows with null text or
-null lang are ignored; without any, every text is `und`. Other columns are never looked at.
+does not saturate with length. A null or empty text, or one without letters, is `und` with score 0. Between equal
+posteriors the language that sorts first wins. Training rows with null text or null lang are ignored; without any, every
+text is `und`; an empty table stays empty. Repeated rows are scored each by itself. Long texts take time in proportion, and
+so do long words, which are never cut. Other columns are never looked at; those named lang_pred or score give way.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from .minhash import mix
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word scored in one recursion; longer runs are scored in parts of this length.
-PART = 24
+#: Words of more letters are summed in logarithms, letter by letter, so that nothing underflows.
+LONG = 24
+#: Letters of a long word whose pieces are looked up together.
+STRETCH = 4096
 #: The classifier is fitted on about so many labelled texts of each language, chosen by a hash of the text; every text is scored.
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
@@ -57,19 +61,14 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 
 def words(text: str) -> Counter:
-    """Counts of the word parts of a text."""
+    """Counts of the words of a text."""
     out: Counter = Counter()
     for w, n in Counter(_WORD.findall(text.lower())).items():
         if not w.isalpha():  # numerals such as fractions are no letters
             w = "".join(filter(str.isalpha, w))
             if not w:
                 continue
-        if len(w) <= PART:
-            out[MARK + w] += n
-        else:
-            out[MARK + w[:PART]] += n
-            for at in range(PART, len(w), PART):
-                out[w[at : at + PART]] += n
+        out[MARK + w] += n
     return out
 
 
@@ -114,13 +113,60 @@ class Lattice:
         """Log-probabilities (words, languages) of words of any lengths."""
         out = np.empty((len(batch), self.table.shape[1]))
         for rows, part in _by_length(batch):
-            out[rows] = np.log(self.forward(self.edges(part))[0][:, -1])
+            if len(part[0]) > LONG:
+                for row, word in zip(rows, part, strict=True):
+                    out[row] = self.long_forward(word)[-1]
+            else:
+                out[rows] = np.log(self.forward(self.edges(part))[0][:, -1])
         return out
 
+    def stretches(self, word: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(first end, pieces by end and length) of a long word, some ends at a time."""
+        for at in range(0, len(word), STRETCH):
+            low = max(0, at - self.longest + 1)
+            found = self.edges([word[low : at + STRETCH]])[0][at - low :]
+            full = np.full((len(found), self.longest), -2, np.int32)
+            full[:, : found.shape[1]] = found
+            yield at, full
+
+    def _logs(self, edges: np.ndarray) -> np.ndarray:
+        return np.where((edges > -2)[..., None], np.log(self.table)[edges], -np.inf)
+
+    def long_forward(self, word: str) -> np.ndarray:
+        """(letters + 1, languages) logarithms of the sums over all segmentations of each prefix."""
+        out = np.full((len(word) + 1, self.table.shape[1]), -np.inf)
+        out[0] = 0
+        for at, edges in self.stretches(word):
+            for end, p in enumerate(self._logs(edges), start=at):
+                most = min(end + 1, self.longest)
+                out[end + 1] = np.logaddexp.reduce(out[end + 1 - most : end + 1][::-1] + p[:most], axis=0)
+        return out
+
+    def _expect_long(self, word: str, weight: float, language: int, out: np.ndarray) -> None:
+        alpha = self.long_forward(word)[:, language]
+        beta = np.full(len(word) + 1, -np.inf)
+        beta[-1] = 0
+        parts = list(self.stretches(word))
+        for at, edges in reversed(parts):
+            p = self._logs(edges)[..., language]
+            for end in range(at + len(p) - 1, at - 1, -1):
+                most = min(end + 1, self.longest)
+                low = end + 1 - most
+                beta[low : end + 1] = np.logaddexp(beta[low : end + 1], (p[end - at, :most] + beta[end + 1])[::-1])
+        for at, edges in parts:
+            p = self._logs(edges)[..., language]
+            ends, sizes = np.nonzero(edges >= 0)
+            use = np.exp(alpha[at + ends - sizes] + p[ends, sizes] + beta[at + ends + 1] - alpha[-1])
+            np.add.at(out, edges[ends, sizes], weight * use)
+
     def expect(self, batch: list[str], weights: np.ndarray, language: int) -> np.ndarray:
         """Expected counts of each piece under one language."""
         out = np.zeros(len(self.pieces) + 1)
         for rows, part in _by_length(batch):
+            if len(part[0]) > LONG:
+                for row, word in zip(rows, part, strict=True):
+                    self._expect_long(word, float(weights[row]), language, out)
+                continue
             edges = self.edges(part)
             alpha, p = self.forward(edges)
             alpha, p = alpha[..., language], p[..., language]
@@ -150,12 +196,15 @@ def _by_length(batch: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray,
 
 
 def training_sample(docs: DataFrame, train: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[DataFrame, list[str]]:
-    """About `per_language` labelled texts of each language by a hash of the text, and the languages."""
+    """About `per_language` different labelled texts of each language, drawn by a hash of the text, and the languages.
+
+    Copies of a text count once, so a large group of them neither floods nor empties a language's sample.
+    """
     labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sizes.items()]) if sizes else F.lit(0.0)
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / max(n, 1)))) for k, n in sizes.items()]) if sizes else F.lit(0.0)
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    return labelled.filter(draw < share), sorted(sizes)
+    return labelled.filter(draw < share).dropDuplicates(["lang", "text"]), sorted(sizes)
 
 
 def fit(sample: DataFrame, languages: list[str], pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
