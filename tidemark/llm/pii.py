@@ -14,15 +14,19 @@ Patterns find leftmost matches that do not overlap within a kind; matches that f
 try. Where a pattern could only start inside a run of its own characters after failing at the run's first one, a look-behind
 spares the attempt, and possessive quantifiers stand where backtracking cannot help, so long runs stay linear.
 
-A null text counts as empty and stays null in sanitised output. doc_id may be null or repeated. Other columns stay.
+A null text counts as empty and stays null in sanitised output; empty texts and empty tables give no spans. doc_id may be
+null or repeated: rows are judged each by itself, and copies count as often as they occur. Spans that overlap become one
+replacement, that of the span that starts first. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, lookup_join, settle
+from .common import drop_settled, lookup_join, settle, sheltered
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -45,16 +49,22 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, value>> of the pattern's matches, in code points; what lies between gives the positions."""
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
+def matches(text: Column, pattern: str | Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, end, value>> of the pattern's matches whose value is wanted, in code points.
+
+    What lies between the matches gives the positions. Matches that are not wanted are never appended, so a text with
+    very many of them stays cheap.
+    """
+    every = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, every, F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
         found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
+        keep = x["value"].isNotNull() if wanted is None else x["value"].isNotNull() & wanted(x["value"])
+        return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
@@ -72,8 +82,8 @@ def _passes(kind: str, value: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """The spans of one kind in a text."""
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    found = F.when(hint, matches(text, PATTERNS[kind])).otherwise(F.array().cast(_SPANS))
-    return found if kind == "email" else F.filter(found, lambda s: _passes(kind, s["value"]))
+    wanted = None if kind == "email" else lambda value: _passes(kind, value)
+    return F.when(hint, matches(text, PATTERNS[kind], wanted)).otherwise(F.array().cast(_SPANS))
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -169,6 +179,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """`docs` with each base span replaced by its kind, disclosing terms by `[TERM]` or nothing; overlapping spans become one."""
+    docs, restore = sheltered(docs, ("text",))
     found = detect(docs, **thresholds)
     label = lambda kind: F.transform(F.col(f"_{kind}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("label")))
     terms = F.transform("_term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == 2, F.lit("")).otherwise(F.lit("[TERM]")).alias("label")))
@@ -182,4 +193,4 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     touched = F.size("_email") + F.size("_ip") + F.size("_card") + F.size("_phone") + F.size("_term") > 0
-    return found.select(*[F.when(touched, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return restore(found.withColumn("text", F.when(touched, clean).otherwise(F.col("text"))))
