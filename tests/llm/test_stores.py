@@ -16,7 +16,7 @@ def frame(spark, texts):
 
 def texts(n=150, seed=8):
     r = random.Random(seed)
-    parts = ["the", " ", "\n", "Word", "don't", "word.", " x1", "éß", "\U0001f600", "  ", "\t", "2024", "!?", "あい", "▁", "<s>", "\r\n", "a" * 30]
+    parts = ["the", " ", "\n", "Word", "don't", "word.", " x1", "éß", "\U0001f600", "  ", "\t", "2024", "!?", "あい", "▁", "<s>", "\r\n", "a" * 30, "<|endoftext|>"]
     return ["".join(r.choices(parts, k=r.randint(0, 60))) for _ in range(n)] + [None, "", " ", "z" * 20_000, "word " * 3000]
 
 
@@ -32,7 +32,6 @@ def test_packing_is_whole_and_exact(spark):
     out = pack(token_pieces(frame(spark, rows)))
     got = out.collect()
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     for i, t in enumerate(rows):
         ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 2], np.uint32)
         pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
@@ -48,6 +47,7 @@ def test_packing_is_whole_and_exact(spark):
         assert at <= 1024
     report = bound_report(out).first()
     assert report.lower_bound <= report.sequences <= report.lower_bound + 1
+    assert all(r.bound <= r.bins for r in got)
     assert pack(token_pieces(frame(spark, []))).count() == 0
 
 
@@ -56,12 +56,14 @@ def test_gaps_exchange_documents(spark):
 
     r = random.Random(9)
     rows = [(i, r.choice([400, 350, 300, 640, 1024, 10])) for i in range(400)]
-    out = pack(spark.createDataFrame(rows, "doc_id long, length long"), deal_tokens=20_000).collect()
+    out = pack(spark.createDataFrame(rows, "doc_id long, length long"), deal_tokens=4_000).collect()
     assert sorted((x.doc_id, x.length) for x in out) == sorted(rows)
     by = {}
     for x in out:
         by.setdefault(x.sequence_id, []).append(x)
     assert all(sum(x.length for x in b) <= 1024 for b in by.values())
+    once = pack(spark.createDataFrame(rows, "doc_id long, length long"), deal_tokens=4_000, rounds=1).collect()
+    assert len(by) < len({x.sequence_id for x in once})  # exchange and rerun save bins
 
 
 def test_lower_bounds_hold():
@@ -88,10 +90,30 @@ def test_sentencepiece_is_the_library(spark):
         ids = m.encode(rows[r.doc_id] or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(m.decode(ids).encode()).hexdigest()
+    assert digest_documents(frame(spark, [])).count() == 0 and encode_documents(frame(spark, [])).count() == 0
     one = encode_documents(frame(spark, ["Hello  wörld"])).first()
     assert one.ids == m.encode("Hello  wörld") and one.decoded == "Hello  wörld"
 
 
+def test_pair_rule_is_the_encoding():
+    from tidemark.llm.spm import HashTable, PrefixTable
+
+    table = PrefixTable(public_tokenizers.path("piece_bpe_32k.model"), words=200, pairs=5000)
+    r = random.Random(3)
+    tokens = list(table.pieces)
+    for _ in range(3000):
+        a, b = r.choice(tokens), r.choice(tokens)
+        pair = [table.pieces[a], table.pieces[b]]
+        assert table._compatible(a << 20 | b) == (table.merge("".join(pair)) == pair)
+    found = table.encode_batch([t or "" for t in texts(400, 9)])  # with memories that overflow
+    assert found == table.model.encode([t or "" for t in texts(400, 9)])
+    numbers = HashTable()
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 50, 9000))
+    for at in range(0, len(keys), 1000):
+        numbers.add(keys[at : at + 1000], np.arange(at, min(at + 1000, len(keys)), dtype=np.int32))
+    assert (numbers.get(keys) == np.arange(len(keys))).all() and (numbers.get(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+
+
 # media
 
 

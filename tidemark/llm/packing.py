@@ -6,7 +6,9 @@ count. Each runs best-fit decreasing and compares its bins with dual-feasible-fu
 met, the partition is certified and its bins stand. Partitions with a gap keep their full bins, exchange the documents of
 the others in a new deal, and run again, for a few rounds.
 
-Null, empty: a null or empty text is the end id alone. Repeated rows are packed each by itself; other columns are ignored.
+Null, empty: a null or empty text is the end id alone, and an empty table gives no rows. Repeated rows and doc_ids are
+packed each by itself; a long text becomes many full pieces. Of bins with equal room the one filled last is used, and equal
+lengths keep their order. Columns other than doc_id and text are ignored and never returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,7 +64,12 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take their surroundings are not supported")
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.tokenizer.encode_special_tokens = True  # chunks hold none; their literals in a text are cut out before
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -98,9 +105,17 @@ class ByteBpe:
         for c, (core, tail) in parts.items():
             self.known[c] = self.known[core] + self.known[tail]
 
+    def _cut(self, text: str) -> list[str]:
+        """Chunks of a text; the literal of an added token is a chunk of its own, and what lies around it is cut by itself."""
+        if not any(s in text for s in self.special):
+            return _chunks(text)
+        self.known.update(self.special)
+        return [c for k, part in enumerate(self.at_special.split(text)) for c in ([part] if k % 2 else _chunks(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_chunks(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         self._learn({c for chunks in cut for c in chunks})
+        self.known.update(self.special)
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
@@ -143,12 +158,12 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of the bounds by dual feasible functions: two classic families and the plain sum.
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """The best of the bounds by dual feasible functions: two classic families and the plain sum; `times` counts each length.
 
     Each function u keeps sum(u(x)) <= 1 for any lengths that fit one bin, so the rounded-up total of u is a lower bound.
     """
-    size, count = np.unique(lengths, return_counts=True)
+    size, count = np.unique(lengths, return_counts=True) if times is None else (lengths, times)
     if not len(size):
         return 0
     best = -(-int((size * count).sum()) // capacity)
@@ -194,29 +209,33 @@ def _pack(capacity: int):
         lengths = frame.length.to_numpy()
         bins, offsets, made = best_fit_decreasing(lengths, capacity)
         filled = np.bincount(bins, lengths, made)
-        sure = made == lower_bound(lengths, capacity)
-        return pd.DataFrame({"row": frame.row, "length": lengths, "deal": keys[0], "bin": bins, "offset": offsets, "stands": sure | (filled[bins] == capacity), "bins": made})
+        bound = lower_bound(lengths, capacity)
+        return pd.DataFrame({"row": frame.row, "length": lengths, "deal": keys[0], "bin": bins, "offset": offsets, "stands": (made == bound) | (filled[bins] == capacity), "bins": made, "bound": bound})
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, deal_tokens: int = DEAL_TOKENS, rounds: int = ROUNDS) -> DataFrame:
-    """`pieces` (with a column length, 1 to capacity) with sequence_id and offset added; each sequence is gapless from 0."""
+    """`pieces` (with a column length, 1 to capacity) with sequence_id, offset, bins and bound added; each sequence is gapless from 0.
+
+    bins and bound are the bins and the lower bound of the packing partition that the sequence stands in; where they are
+    equal, no packing of that partition's pieces needs fewer. A full piece is its own partition (1 and 1).
+    """
     spark = pieces.sparkSession
     table = settle(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    whole = table.filter(F.col("length") == capacity).select("row", (F.col("row") * (rounds + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = table.filter(F.col("length") == capacity).select("row", (F.col("row") * (rounds + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bins"), F.lit(1).cast("long").alias("bound"))
     rest = table.filter(F.col("length") < capacity).select("row", "length")
     placed = [whole]
     for k in range(rounds):
         tokens = rest.agg(F.sum("length")).first()[0] or 0
         if not tokens:
             break
-        deals = max(1, round(tokens / deal_tokens))
+        last = k == rounds - 1
+        deals = max(1 if last else 2, round(tokens / deal_tokens))
         dealt = rest.withColumn("deal", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(deals)))
-        packed = settle(dealt.groupBy("deal").applyInPandas(_pack(capacity), "row long, length long, deal long, bin long, offset long, stands boolean, bins long"), "packed")
-        last = k == rounds - 1 or deals == 1
+        packed = settle(dealt.groupBy("deal").applyInPandas(_pack(capacity), "row long, length long, deal long, bin long, offset long, stands boolean, bins long, bound long"), "packed")
         done = packed if last else packed.filter("stands")
-        placed.append(done.select("row", ((F.col("deal") * _DEAL_BINS + F.col("bin")) * (rounds + 1) + (k + 1)).alias("sequence_id"), "offset"))
+        placed.append(done.select("row", ((F.col("deal") * _DEAL_BINS + F.col("bin")) * (rounds + 1) + (k + 1)).alias("sequence_id"), "offset", "bins", "bound"))
         if last:
             break
         rest = packed.filter("not stands").select("row", "length")
@@ -229,5 +248,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, deal_tokens: int = DEAL_TO
 def bound_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: sequences used and the lower bound of the whole table, from its length counts (at most `capacity` rows)."""
     counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    bound = lower_bound(np.repeat([r.length for r in counts], [r.n for r in counts]), capacity) if counts else 0
+    bound = lower_bound(np.array([r.length for r in counts], np.int64), capacity, np.array([r.n for r in counts], np.int64))
     return packed.agg(F.count_distinct("sequence_id").alias("sequences")).withColumn("lower_bound", F.lit(bound))
