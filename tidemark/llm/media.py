@@ -7,7 +7,7 @@ reader finds frames by the index alone.
 
 Shots: the grey histograms of neighbouring frames are compared, and a cut is where the difference exceeds the mean plus
 `rise` deviations of the last `window` differences. Null and empty texts are one frame of padding. Equal texts give equal
-bytes and features. One clip must stay below the 2 GB that a binary cell can hold.
+bytes and features. Repeated rows and doc_ids come out each by itself, an empty table stays empty. One clip must stay below the 2 GB that a binary cell can hold.
 """
 
 from __future__ import annotations
@@ -188,23 +188,26 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes of each row hold, read back: digests of payload and media, and the shots as a feature."""
+    """What the stored bytes of each row hold, read back: digests of payload and media, the shots as a feature, and their times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             stored = batch.column(2).to_pylist()
             for at, end in _spans([len(x) for x in stored]):
-                files = [read_avi(x)[0] for x in stored[at:end]]
+                opened = [read_avi(x) for x in stored[at:end]]
+                files = [frames for frames, _ in opened]
                 samples = decode_frames([f for frames in files for f in frames])
                 edges = np.concatenate([[0], np.cumsum([len(f) for f in files])]).tolist()
-                for data, a, b in zip(stored[at:end], edges[:-1], edges[1:], strict=True):
+                for data, (_, rate), a, b in zip(stored[at:end], opened, edges[:-1], edges[1:], strict=True):
                     back, shots = samples[a:b].tobytes(), cuts(samples[a:b])
                     feature = f"frames={b - a};shots={len(shots) + 1};cuts={'|'.join(map(str, shots))}"
-                    out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    timed = [0, *shots, b - a]
+                    timed = "|".join(f"{p / rate:.3f}-{q / rate:.3f}" for p, q in zip(timed, timed[1:]))
+                    out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, timed))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
