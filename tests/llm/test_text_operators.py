@@ -178,6 +178,38 @@ def test_quality_counts(spark):
         assert rows[i].base_failed == (len(words) < 10 or 100 * len(hit) > 20 * len(words))
 
 
+def test_soft_rules_of_strict_hosts(spark):
+    from tidemark.llm.quality import judge
+
+    plain = "one two three four five six seven eight nine ten eleven"
+    table = "| ".join(plain.split()) + " ||"
+    rows = [(i, table if i < 60 else plain, "x", "tables", "k") for i in range(100)] + [(1000 + i, table if i == 0 else plain, "x", f"h{i % 10}", "k") for i in range(500)]
+    out = {r.doc_id: r for r in judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(not out[i].kept and not out[i].base_failed for i in range(60)) and all(out[i].kept for i in range(60, 100))
+    assert out[1000].kept and out[0].symbol_rate > out[1000].symbol_rate  # the same rule, a host like the others
+
+
+CLASHES = ("_row", "_email", "_text", "_term", "_bad", "_gone", "_once", "_salt", "key", "row", "hit", "segment", "n_lines", "score", "lang_pred", "kept0__", "group")
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_clashing_columns_stay(spark, broadcast):
+    from tidemark.llm.langid import identify
+    from tidemark.llm.linededup import drop_repeated_lines
+    from tidemark.llm.pii import sanitise
+
+    fields = ", ".join(f"`{c}` int" for c in CLASHES)
+    rows = [(i, "mail a@b.org\nshared line", "xx", *range(len(CLASHES))) for i in range(12)] + [(99, None, "xx", *range(len(CLASHES)))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {fields}")
+    clean = sanitise(docs)
+    assert clean.columns == docs.columns and all(tuple(r)[3:] == tuple(range(len(CLASHES))) for r in clean.collect())
+    lines = drop_repeated_lines(docs, broadcast_keys=broadcast)
+    others = [c for c in CLASHES if c != "n_lines"]
+    assert all([r[c] for c in others] == [CLASHES.index(c) for c in others] and r.text in (None, "") for r in lines.collect())
+    named = identify(docs, train=F.lit(True)).collect()
+    assert len(named) == 13 and all(r._row == 0 and r.group == len(CLASHES) - 1 for r in named)
+
+
 def test_host_verdicts(spark):
     from tidemark.llm.common import lookup_join
     from tidemark.llm.quality import host_verdicts, judge
@@ -210,6 +242,7 @@ def test_language_held_out(spark):
     assert all(out[i].lang_pred == k for i, _, k, *_ in rows[:240])
     assert (out[900].lang_pred, out[900].score, out[901].lang_pred) == ("und", 0.0, "und")
     assert out[903].lang_pred == "de" and 0 <= out[902].score <= 1 and out[903].key == "k"
+    assert identify(spark.createDataFrame([], SCHEMA), train=F.lit(True)).count() == 0
     nothing = identify(spark.createDataFrame(rows[:3], SCHEMA), train=F.lit(False)).collect()
     assert {x.lang_pred for x in nothing} == {"und"}
 
@@ -227,6 +260,25 @@ def test_forward_sums_all_segmentations():
 
     words = ["a", "ab", "abab", "babaab"]
     assert np.allclose(np.exp(Lattice(pieces, p).score(words))[:, 0], [total(w) for w in words])
+    long = ["abba" * 9, "ba" * 3000]
+    direct = Lattice(pieces, p).forward(Lattice(pieces, p).edges(long[:1]))[0][0, -1, 0]
+    assert np.allclose(Lattice(pieces, p).score(long)[0, 0], math.log(direct))
+    alpha = [0.0, math.log(p[1, 0])]  # by hand, letter by letter, for a word whose sums would underflow
+    for k in range(2, len(long[1]) + 1):
+        terms = [(long[1][k - n : k], alpha[k - n]) for n in (1, 2, 3) if k >= n]
+        terms = [a + math.log(p[pieces[w], 0]) for w, a in terms if w in pieces]
+        alpha.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+    assert np.allclose(Lattice(pieces, p).score(long)[1, 0], alpha[-1])
+    lattice = Lattice(pieces, p)
+    whole, short = lattice.expect(["abba" * 9], np.array([1.0]), 0), np.zeros(5)
+    spread = np.exp(lattice.long_forward("abba" * 9))
+    for size in (1, 2, 3):  # expected counts by forward sums of the word and of its reverse
+        for k in range(36 - size + 1):
+            w = ("abba" * 9)[k : k + size]
+            if w in pieces:
+                tail = np.exp(lattice.long_forward(("abba" * 9)[k + size :])[-1, 0])
+                short[pieces[w]] += spread[k, 0] * p[pieces[w], 0] * tail / spread[-1, 0]
+    assert np.allclose(whole, short)
     counts = Lattice(pieces, p).expect(["ab"], np.array([2.0]), 0)
     split, whole = 0.3 * 0.2, 0.1
     assert np.allclose(counts[:3], [2 * split / (split + whole), 2 * split / (split + whole), 2 * whole / (split + whole)])

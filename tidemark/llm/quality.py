@@ -1,10 +1,16 @@
 """Document quality rules, and verdicts on hosts from shrunk failure rates.
 
-Each document is measured and judged by two rules of its own. Failures are then summed by host; a host's failure rate is
-shrunk towards all hosts' by an empirical beta prior (fitted by moments, so a host with few documents says little), and
-documents of hosts whose shrunk rate exceeds a limit are rejected too.
+Each document is measured and judged by two rules of its own (few words, repeated windows). Failures of these and of two
+soft rules (symbols, repeated lines) are summed by host. A host's rate of each rule is shrunk towards all hosts' by an
+empirical beta prior (fitted by moments, so a host with few documents says little), and the verdicts are joined back:
 
-Null and empty texts have no words and fail. Rows with a null host get no host verdict. Other columns are ignored.
+* where the shrunk rate of own failures exceeds `limit`, every document of the host is rejected;
+* where the shrunk rate of a soft rule exceeds the prior's mean, the host is strict in it, and its documents that fail
+  the rule are rejected. Other hosts' stay: alone, a table or a list is no reason.
+
+Null and empty texts have no words and fail. Rows with a null host get no host verdict. Repeated rows count each by itself; a
+host exactly at a limit passes; an empty table stays empty; long texts take memory in proportion. Other columns are ignored
+and never returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from .common import ASCII_SPACE, Memo, lookup_join, map_batches, settle, text_by
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-_words: Memo = Memo(xxhash.xxh3_64_intdigest, 400_000)
+_words: Memo = Memo(xxhash.xxh3_64_intdigest, 400_000, 64)
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int]:
@@ -78,17 +84,29 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * size, (1 - mean) * size
 
 
+#: The rules that hosts are judged by; `own` is a document's own failure, the others are soft.
+RULES = {"own": "base_failed", "symbols": "10 * n_symbols > word_chars", "lines": "5 * n_dup_lines > n_words"}
+
+
 def host_verdicts(stats: DataFrame, limit: float = 0.9, prior: tuple[float, float] | None = None) -> DataFrame:
-    """host, n, failed by rule, shrunk_rate, host_rejected."""
-    few, repeats = F.col("n_words") < 10, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")
-    hosts = stats.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"), F.sum(few.cast("long")).alias("failed_few_words"), F.sum(repeats.cast("long")).alias("failed_repeats"))
-    a, b = prior or beta_prior(hosts)
-    return hosts.withColumn("shrunk_rate", (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))).withColumn("host_rejected", F.col("shrunk_rate") > limit)
+    """host, n, and for each rule its failures and shrunk rate; host_rejected, strict_symbols, strict_lines."""
+    hosts = stats.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(F.expr(test).cast("long"), F.lit(0))).alias(f"failed_{k}") for k, test in RULES.items()])
+    hosts = settle(hosts, "hosts")
+    for k in RULES:
+        a, b = prior or beta_prior(hosts.withColumn("failed", F.col(f"failed_{k}")))
+        hosts = hosts.withColumn(f"rate_{k}", (F.col(f"failed_{k}") + F.lit(a)) / (F.col("n") + F.lit(a + b)))
+        above = F.lit(limit) if k == "own" else F.lit(a / (a + b))
+        hosts = hosts.withColumn("host_rejected" if k == "own" else f"strict_{k}", F.col(f"rate_{k}") > above)
+    return hosts
 
 
 def judge(docs: DataFrame, host: str = "source", limit: float = 0.9) -> DataFrame:
-    """Per row: doc_id, host, the counts, base_failed, shrunk_rate, kept."""
+    """Per row: doc_id, host, the counts, base_failed, the host's shrunk_rate, symbol_rate and line_rate, kept."""
     stats = settle(document_stats(docs, host), "quality")
-    hosts = settle(host_verdicts(stats, limit), "hosts").select("host", "shrunk_rate", "host_rejected")
+    hosts = settle(host_verdicts(stats, limit), "hosts").select("host", F.col("rate_own").alias("shrunk_rate"), F.col("rate_symbols").alias("symbol_rate"), F.col("rate_lines").alias("line_rate"), "host_rejected", "strict_symbols", "strict_lines")
     out = lookup_join(stats, hosts, "host", salt=F.col("doc_id"))
-    return out.withColumn("kept", ~(F.col("base_failed") | F.coalesce("host_rejected", F.lit(False)))).drop("host_rejected")
+    soft = [F.col(f"strict_{k}") & F.expr(RULES[k]) for k in ("symbols", "lines")]
+    rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
+    for test in soft:
+        rejected = rejected | F.coalesce(test, F.lit(False))
+    return out.withColumn("kept", ~(F.col("base_failed") | rejected)).drop("host_rejected", "strict_symbols", "strict_lines")

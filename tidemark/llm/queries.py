@@ -56,7 +56,8 @@ def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import COUNTS, judge
 
-    return judge(documents(spark, sf_dir)).select("doc_id", *COUNTS, "base_failed", "kept", "shrunk_rate")
+    rates = [F.round(c, 9).alias(c) for c in ("shrunk_rate", "symbol_rate", "line_rate")]
+    return judge(documents(spark, sf_dir)).select("doc_id", *COUNTS, "base_failed", "kept", *rates)
 
 
 @query
@@ -93,3 +94,56 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import span_digests
 
     return span_digests(documents(spark, sf_dir))
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = r"[^ \t\n\x0B\f\r]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op4_warc_normaliser"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+r AS (SELECT *, strlen(html) >= 1000 AND page_id <> top AS again FROM m)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM r
+"""
+
+SQL["op9_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT r, unnest(range(len(parts))) AS k, unnest(parts) AS line FROM d),
+x AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+bad AS (SELECT key FROM (SELECT DISTINCT r, key FROM x WHERE key <> '') GROUP BY key HAVING count(*) >= 10),
+y AS (SELECT x.*, bad.key IS NOT NULL AS gone FROM x LEFT JOIN bad USING (key)),
+g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS rest FROM y GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(rest) AS kept_sha256 FROM g JOIN d USING (r)
+"""
+
+
+def _rate(rule: str) -> str:
+    """Mean and shrunk rate of one rule by host: the moments of a beta prior, weighted by documents."""
+    return f"""
+m_{rule} AS (SELECT sum(n) AS n, count(*) AS hosts, least(greatest(sum(f_{rule}) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(f_{rule} * f_{rule} / n) / sum(n) AS square FROM h),
+b_{rule} AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * hosts / n, 1e-6) - 1, 2.0), 1e4) AS size FROM m_{rule}),
+r_{rule} AS (SELECT host, (f_{rule} + mean * size) / (n + (mean * size + (1 - mean) * size)) AS rate_{rule}, (f_{rule} + mean * size) / (n + (mean * size + (1 - mean) * size)) > mean AS strict_{rule} FROM h, b_{rule})"""
+
+
+SQL["op7_host_quality"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+win AS (SELECT r, unnest(range(1, len(words) - 3)) AS k, words FROM w WHERE len(words) >= 5),
+key AS (SELECT r, k, array_to_string(words[k:k+4], ' ') AS five FROM win),
+rep AS (SELECT r, unnest(range(k, k + 5)) AS place FROM (SELECT *, count(*) OVER (PARTITION BY r, five) AS times FROM key) WHERE times > 1),
+rw AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM rep GROUP BY r),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dl AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '{_WORD}') GROUP BY r),
+c AS (SELECT d.r, doc_id, host, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN rw USING (r) LEFT JOIN dl USING (r)),
+t AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 10 * n_symbols > word_chars AS symbols, 5 * n_dup_lines > n_words AS lines FROM c),
+h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f_own, sum(symbols::INT) AS f_symbols, sum(lines::INT) AS f_lines FROM t WHERE host IS NOT NULL GROUP BY host),
+{_rate("own")}, {_rate("symbols")}, {_rate("lines")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(rate_own > 0.9, false) OR coalesce(symbols AND strict_symbols, false) OR coalesce(lines AND strict_lines, false)) AS kept,
+  round(rate_own, 9) AS shrunk_rate, round(rate_symbols, 9) AS symbol_rate, round(rate_lines, 9) AS line_rate
+FROM t LEFT JOIN r_own USING (host) LEFT JOIN r_symbols USING (host) LEFT JOIN r_lines USING (host)
+"""
