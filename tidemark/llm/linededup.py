@@ -5,7 +5,9 @@ by OR, and what two tasks have both seen is seen again. Only lines that the seco
 128-bit keys, for exact counting. So false positives cost a little shuffle and never change a result.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased. A key counts once for each row
-of the table it occurs in. Null and empty texts are one empty line, which has no key; a null text stays null. Other columns stay as they are.
+of the table it occurs in. Null and empty texts are one empty line, which has no key; a null text stays null. Repeated rows
+count each by itself, as do null doc_ids; an empty table stays empty; long texts take memory in proportion. Other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, settle, shared_dir, text_bytes
+from .common import ASCII_SPACE, lookup_join, settle, shared_dir, sheltered, text_bytes
 
 HASHES = 4
 #: Bits for each expected key, and the bounds of a filter: 128 KB to 32 MB. A filter that more keys fill up suspects more lines; the result stays exact.
 BITS_PER_KEY, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 #: Filters travel in segments of so many bits, empty ones not at all.
 SEGMENT = 1 << 15
-#: At most so many tasks fill filters, so that what they send stays bounded.
-FILTER_TASKS = 4096
+#: Filters of more tasks than this are merged in two steps. What a task sends follows the lines it has read.
+MERGED = 256
 #: Removed keys are broadcast (16 bytes each) after a count shows at most so many; beyond, a join finds the lines.
 BROADCAST_KEYS = 500_000
 
@@ -89,12 +91,13 @@ def seen_twice(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
             a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
             twice |= b | (once & a)
             once |= a
-        return pd.DataFrame({"segment": [keys[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
+        return pd.DataFrame({"segment": [keys[0]], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
-    tasks = docs.select("text")
-    tasks = tasks.coalesce(FILTER_TASKS)
-    parts = tasks.mapInArrow(fill, "segment long, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInPandas(merge, "segment long, twice binary")
+    parts = docs.select("text").mapInArrow(fill, "segment long, once binary, twice binary")
+    if docs.rdd.getNumPartitions() > MERGED:  # a first merge among parts of the tasks keeps every group small
+        some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(docs.rdd.getNumPartitions())))
+        parts = parts.groupBy("segment", some.alias("part")).applyInPandas(merge, "segment long, once binary, twice binary")
+    merged = parts.groupBy("segment").applyInPandas(merge, "segment long, once binary, twice binary").select("segment", "twice")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
         at = row.segment * (SEGMENT // 8)
@@ -141,16 +144,19 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     keep_first leaves each key its first occurrence: the first line with it in the row of the smallest doc_id (equal
     doc_ids all keep theirs). `groups` is that of repeated_keys(). spare_whole leaves a text as it is if nothing but
-    white space would remain.
+    white space would remain. Columns of `docs` named n_lines, n_dropped or kept_sha256 give way to the new ones.
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    docs, restore = sheltered(docs, ("doc_id", "text"))
     keys = settle(repeated_keys(docs, min_docs, min_chars, groups), "line-keys")
     first = _first_rows(docs, keys, min_chars) if keep_first else None
     if first is None and keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
         gone = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in keys.select("key").toLocalIterator()))
-        return _rewrite(docs, lambda batch, names: [gone.value] * batch.num_rows, min_chars, spare_whole)
-    return _by_join(docs, keys, first, min_chars, spare_whole)
+        out = _rewrite(docs, lambda batch, names: [gone.value] * batch.num_rows, min_chars, spare_whole)
+    else:
+        out = _by_join(docs, keys, first, min_chars, spare_whole)
+    return restore(out, "n_lines", "n_dropped", "kept_sha256")
 
 
 def _first_rows(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
@@ -172,7 +178,8 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 def _by_join(docs: DataFrame, keys: DataFrame, first: DataFrame | None, min_chars: int, spare_whole: bool = False) -> DataFrame:
     """The way beyond the broadcast bound: each row gets the list of its keys that go (and of those it keeps once)."""
     table = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "lines")
-    held = _lines(table.select("_row", "text"), min_chars).join(keys.select("key"), "key").withColumnRenamed("row", "_row")
+    hits = lookup_join(_lines(table.select("_row", "text"), min_chars), keys.select("key", F.lit(True).alias("hit")), "key", max_rows=0, salt=F.col("row"))
+    held = hits.filter("hit").select("key", F.col("row").alias("_row"))
     if first is not None:
         own = table.select("_row", "doc_id").join(held, "_row").join(first, "key").withColumn("mine", F.coalesce(F.col("doc_id") == F.col("owner"), F.lit(False)))
         lists = own.groupBy("_row").agg(F.collect_list("key").alias("_gone"), F.collect_list(F.when(F.col("mine"), F.col("key"))).alias("_once"))
