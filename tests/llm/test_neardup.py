@@ -68,6 +68,16 @@ def test_nulls_repeats_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, "x", 1), (5, b, "x", 1), (6, b + " more", "x", 1), (3, a + " more", "x", 1)]
+    for order in itertools.permutations(rows):
+        got = near_duplicates(spark.createDataFrame(list(order), SCHEMA)).collect()
+        assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 3, False), (6, 3, False), (3, 3, True)}
+        if order[0][0] == 5 and order[1][0] == 6:
+            break
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(0, 20)] + [(100, 101), (7, 7)]
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

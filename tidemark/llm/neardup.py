@@ -25,13 +25,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash as M
-from .common import drop_settled, map_batches, settle, text_bytes
+from .common import drop_settled, lookup_join, map_batches, settle, text_bytes
 from .components import connected_components
 
+#: A bucket is dealt to one more task for every so many members; bucket keys are dealt over SALTS tasks while sizes are unknown.
+HOT, SALTS = 1024, 8
 #: Members outside the largest component, and members of any kind, that one task compares.
 OWN_BLOCK, ALL_BLOCK = 256, 512
 _NONE = b""
@@ -64,7 +66,7 @@ def flips(a: str, b: str):
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, bits): the shingle sets, as bytes, of the wanted (rep, set_hash)."""
+    """(rep, bits): the shingle sets, as bytes, of the wanted (rep, set_hash, doc_id)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         reps, sets = [], []
@@ -74,7 +76,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 reps.append(rep), sets.append(data)
         return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "bits"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("rep", "set_hash", "text")
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("rep", "set_hash", "text")
     return map_batches(joined, run, "rep long, bits binary").dropDuplicates(["rep"])
 
 
@@ -94,6 +96,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b"), run, "a long, b long")
 
 
+def _block_near(most: int):
+    """The members of one block that have a candidate among the others of it."""
+
+    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.own.to_numpy()
+        sketches, comps = np.array(frame.sketch.tolist(), np.int64).view(np.uint64).reshape(len(frame), -1), frame.comp.to_numpy()
+        hit = np.zeros(len(frame), bool)
+        rest = np.flatnonzero(~own)
+        for i in np.flatnonzero(own):
+            near = (np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= most) & (comps[rest] != comps[i])
+            hit[rest[near]] = True
+            hit[i] = near.any()
+        return frame[hit]
+
+    return run
+
+
 def _block_links(percent: int, most: int):
     """Links between members of different components in one block of one bucket."""
 
@@ -140,20 +159,42 @@ def _block_links(percent: int, most: int):
 
 def _left_over(members: DataFrame, reps: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, most: int) -> DataFrame:
     """Links (between component ids) that buckets with several components still hold."""
-    placed = members.drop("n").join(comps.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = _dealt(members).join(comps.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     shares = placed.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_ = shares.groupBy("bkey").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n")).filter("parts > 1 and n > 2")
     block = lambda size, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), size).cast("int")
     rows = (
-        placed.join(open_, "bkey")
+        placed.drop("n").join(_spread(open_), ["bkey", "salt"])
         .withColumn("outside", F.col("comp") != F.col("top.comp"))
         .withColumn("nb", F.ceil((F.col("n") - F.col("top.m")) / OWN_BLOCK).cast("int"))
         .withColumn("na", F.ceil(F.col("n") / ALL_BLOCK).cast("int"))
     )
     own = rows.filter("outside").select("bkey", block(F.col("nb"), 1).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("bj"), "rep", "comp", F.lit(True).alias("own"))
     rest = rows.select("bkey", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi"), block(F.col("na"), 2).alias("bj"), "rep", "comp", F.lit(False).alias("own"))
-    full = own.union(rest).join(reps.select("rep", "sketch"), "rep").join(sets, "rep")
-    return full.groupBy("bkey", "bi", "bj").applyInPandas(_block_links(percent, most), "a long, b long").distinct()
+    narrow = own.union(rest).join(reps.select("rep", "sketch"), "rep").select("bkey", "bi", "bj", "rep", "comp", "own", "sketch")
+    near = narrow.groupBy("bkey", "bi", "bj").applyInPandas(_block_near(most), narrow.schema)
+    return near.join(sets, "rep").groupBy("bkey", "bi", "bj").applyInPandas(_block_links(percent, most), "a long, b long").distinct()
+
+
+def _ways() -> Column:
+    return F.ceil(F.col("n") / HOT).cast("int")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members with the part of their bucket that they fall into."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep"), _ways()).cast("int"))
+
+
+def _spread(buckets: DataFrame) -> DataFrame:
+    """One row of a bucket for each of its parts."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), _ways() - 1)))
+
+
+def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes that the rows of one doc_id belong to."""
+    several = known.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).filter("low <> high").select("doc_id")
+    held = known.join(several, "doc_id").select("doc_id", "set_hash").distinct().join(classes.select("set_hash", "rep"), "set_hash").select("doc_id", "rep")
+    return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -166,28 +207,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     most = M.most_flips(percent / 100)
     table = settle(signatures(docs), "signatures")
     known = table.filter("doc_id is not null and set_hash is not null")
-    classes = settle(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = settle(known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"]).select(F.col("doc_id").alias("rep"), "set_hash", "sketch", "bands"), "reps")
+    classes = settle(known.groupBy("set_hash").agg(F.min("doc_id").alias("class_id")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = classes.withColumnRenamed("class_id", "doc_id")
+    reps = settle(known.join(named, ["set_hash", "doc_id"]).dropDuplicates(["rep"]).select("rep", "set_hash", "doc_id", "sketch", "bands"), "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("bkey"))
     who = F.xxhash64("rep")
     buckets = banded.groupBy("bkey").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(who).alias("x"), F.sum(F.shiftright(who, 20)).alias("y")).filter("n > 1")
     single = buckets.groupBy("n", "x", "y").agg(F.min("bkey").alias("bkey"))
-    members = settle(banded.join(single.select("bkey", "n"), "bkey"), "members")
+    salted = single.select("bkey", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = settle(banded.withColumn("salt", F.pmod(who, F.lit(SALTS)).cast("int")).join(salted, ["bkey", "salt"]).select("bkey", "rep", "n"), "members")
 
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    leaders = members.join(company, "rep").groupBy("bkey").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("top")).select("bkey", (-F.col("top.minus")).alias("leader"))
-    pairs = members.join(leaders, "bkey").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    leaders = members.join(company, "rep").groupBy("bkey", "n").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("top")).select("bkey", "n", (-F.col("top.minus")).alias("leader"))
+    pairs = _dealt(members).join(_spread(leaders).drop("n"), ["bkey", "salt"]).filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     sketch = reps.select("rep", "sketch")
     pairs = pairs.join(sketch.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}), "a").join(sketch.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b")
     pairs = pairs.filter(flips("sketch_a", "sketch_b") <= most).select("a", "b")
-    in_buckets = reps.select("rep", "set_hash").join(members.select("rep").distinct(), "rep", "left_semi")
+    in_buckets = reps.select("rep", "set_hash", "doc_id").join(members.select("rep").distinct(), "rep", "left_semi")
     sets = settle(_full_sets(docs, in_buckets), "sets")
-    links = settle(_confirm(pairs, sets, percent), "links")
+    links = settle(_confirm(pairs, sets, percent).union(_shared_ids(known, classes)), "links")
     comps = connected_components(links)
     more = settle(_left_over(members, reps, sets, comps, percent, most), "links")
     merged = connected_components(more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    final = settle(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(merged, "comp", "left").select("set_hash", F.col("rep").alias("class_id"), F.coalesce("whole", "comp").alias("component_id")), "components")
+    placed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("linked", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "rep"))
+    placed = placed.join(merged, "comp", "left").select("set_hash", "class_id", "rep", (F.col("linked") | F.col("whole").isNotNull()).alias("linked"), F.coalesce("whole", "comp").alias("whole"))
+    names = settle(placed.filter("linked").groupBy("whole").agg(F.min("class_id").alias("component_id")), "names")
+    final = lookup_join(placed, names, "whole", salt=F.col("rep"), salts=SALTS).select("set_hash", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    final = settle(final, "components")
     drop_settled(docs.sparkSession, reps, members, sets, links, more)
     out = table.select("doc_id", "n_shingles", "set_hash").join(final, "set_hash", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
