@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import finance
-from .operators import adaptive, averages, oscillators, recursive, structure, volatility  # noqa: F401  they register themselves
+from .operators import adaptive, averages, oscillators, recursive, structure, swings, volatility  # noqa: F401  they register themselves
 from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
 from .plans import align, crosssection, evaluate
 from .sources.bars import EVENT_BARS_SQL, ORDER_BARS_SQL, event_bars, order_bars, resample
@@ -67,18 +67,47 @@ def _resample(spark, sf_dir):
     return resample(event_bars(spark, sf_dir), 4 * 3600)
 
 
-_PAIR = f"{_B}, p AS (SELECT a.ts, a.close AS ca, b.close AS cb FROM bars a JOIN bars b USING (ts) WHERE a.series = 'click' AND b.series = 'purchase'), r AS (SELECT ts, ln(ca / lag(ca) OVER o) AS ra, ln(cb / lag(cb) OVER o) AS rb FROM p WINDOW o AS (ORDER BY ts)), s AS (SELECT ts, count(ra) OVER f AS n, regr_slope(ra, rb) OVER f AS b0, avg(ra) OVER f AS ma, avg(rb) OVER f AS mb, corr(ra, rb) OVER f AS c0 FROM r WINDOW f AS (ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), t AS (SELECT ts, CASE WHEN n >= 30 THEN b0 END AS beta, CASE WHEN n >= 30 THEN ma - b0 * mb END AS alpha, CASE WHEN n >= 30 THEN c0 END AS corr FROM s)"
+_PAIRS = f"{_B}, p AS (SELECT a.series AS a, b.series AS b, a.ts, a.close AS ca, b.close AS cb FROM bars a JOIN bars b USING (ts) WHERE a.series < b.series)"
+_LOGS = f"{_PAIRS}, r AS (SELECT a, b, ts, ln(ca / lag(ca) OVER o) AS ra, ln(cb / lag(cb) OVER o) AS rb FROM p WINDOW o AS (PARTITION BY a, b ORDER BY ts)), s AS (SELECT a, b, ts, count(ra) OVER f AS n, regr_slope(ra, rb) OVER f AS b0, avg(ra) OVER f AS ma, avg(rb) OVER f AS mb, corr(ra, rb) OVER f AS c0 FROM r WINDOW f AS (PARTITION BY a, b ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), t AS (SELECT a, b, ts, CASE WHEN n >= 30 THEN b0 END AS beta, CASE WHEN n >= 30 THEN ma - b0 * mb END AS alpha, CASE WHEN n >= 30 THEN c0 END AS corr FROM s)"
 
 
-@_query("pair_regression", f"{_PAIR} SELECT ts, {_r('beta')} AS beta, {_r('alpha')} AS alpha, {_r('corr')} AS corr, {_r('corr * corr')} AS r2 FROM t")
+@_query("pair_regression", f"{_LOGS} SELECT a, b, ts, {_r('beta')} AS beta, {_r('alpha')} AS alpha, {_r('corr')} AS corr, {_r('corr * corr')} AS r2 FROM t")
 def _pair_regression(spark, sf_dir):
-    bars = event_bars(spark, sf_dir)
-    return align.pair_regression(align.pair(bars.filter("series = 'click'"), bars.filter("series = 'purchase'")))
+    return align.pair_regression(align.series_pairs(event_bars(spark, sf_dir)))
 
 
-@_query("as_of_join", f"WITH bars AS ({_HOURLY}), e AS (SELECT event_type AS series, ts, event_id FROM events WHERE user_id % 5 = 0) SELECT e.event_id, e.series, e.ts, {_r('b.close')} AS close FROM e ASOF LEFT JOIN bars b ON e.series = b.series AND e.ts >= b.ts")
+def _window_lists(source: str, length: int) -> str:
+    """The last `length` pairs as lists, so that the check sums deviations from the window's means one by one."""
+    frame = f"OVER (PARTITION BY a, b ORDER BY ts ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
+    return (
+        f"l AS (SELECT a, b, ts, list(x) {frame} AS xs, list(y) {frame} AS ys FROM {source}), "
+        f"m AS (SELECT *, list_avg(xs) AS mx, list_avg(ys) AS my FROM l WHERE len(xs) = {length}), "
+        "d AS (SELECT *, list_sum(list_transform(range(1, len(xs) + 1), lambda i: (xs[i] - mx) * (ys[i] - my))) AS sxy, list_sum(list_transform(xs, lambda v: (v - mx) * (v - mx))) AS sxx, list_sum(list_transform(ys, lambda v: (v - my) * (v - my))) AS syy FROM m)"
+    )
+
+
+@_query(
+    "rolling_beta",
+    f"{_PAIRS}, q AS (SELECT a, b, ts, ca / lag(ca) OVER o - 1 AS x, cb / lag(cb) OVER o - 1 AS y FROM p WINDOW o AS (PARTITION BY a, b ORDER BY ts)), z AS (SELECT * FROM q WHERE x IS NOT NULL), {_window_lists('z', 60)} "
+    f"SELECT a, b, ts, {_r('sxy / syy')} AS beta, {_r('mx - sxy / syy * my')} AS alpha, {_r('greatest(-1, least(1, sxy / sqrt(sxx * syy)))')} AS correlation, {_r('sxy * sxy / (sxx * syy)')} AS r_squared FROM d WHERE syy > 1e-14",
+)
+def _rolling_beta(spark, sf_dir):
+    return align.rolling_beta(align.series_pairs(event_bars(spark, sf_dir)))
+
+
+@_query(
+    "pair_spread",
+    f"{_PAIRS}, z AS (SELECT a, b, ts, ca AS x, cb AS y FROM p), {_window_lists('z', 60)}, h AS (SELECT *, sxy / syy AS g FROM d WHERE syy > 1e-14), "
+    "e AS (SELECT *, list_transform(range(1, 61), lambda i: xs[i] - g * ys[i]) AS spreads FROM h), f AS (SELECT *, spreads[60] AS spread, list_avg(spreads) AS mean_spread, list_stddev_pop(spreads) AS std_spread FROM e) "
+    f"SELECT a, b, ts, {_r('CASE WHEN std_spread > 1e-14 THEN (spread - mean_spread) / std_spread ELSE 0 END')} AS z, {_r('g')} AS hedge_ratio, {_r('spread')} AS spread, {_r('mean_spread')} AS mean_spread, {_r('std_spread')} AS std_spread FROM f",
+)
+def _pair_spread(spark, sf_dir):
+    return align.pair_spread(align.series_pairs(event_bars(spark, sf_dir)))
+
+
+@_query("as_of_join", f"WITH bars AS ({_HOURLY}), e AS (SELECT event_type AS series, ts, event_id FROM events) SELECT e.event_id, e.series, e.ts, {_r('b.close')} AS close FROM e ASOF LEFT JOIN bars b ON e.series = b.series AND e.ts >= b.ts")
 def _as_of(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 5 = 0").select("event_id", F.col("event_type").alias("series"), "ts")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("series"), "ts")
     return align.as_of(events, event_bars(spark, sf_dir), "close")
 
 
