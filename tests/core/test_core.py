@@ -112,6 +112,9 @@ def test_alignment_and_evaluation(spark):
     right = spark.createDataFrame([("a", t(0), 1.0), ("a", t(4), 2.0)], "series string, ts timestamp_ntz, v double")
     left = spark.createDataFrame([("a", t(-1)), ("a", t(0)), ("a", t(3)), ("a", t(9)), ("b", t(1))], "series string, ts timestamp_ntz")
     assert [r.v for r in align.as_of(left, right, "v").orderBy("series", "ts").collect()] == [None, 1.0, 1.0, 2.0, None]
+    long = spark.createDataFrame([("a", t(30 * k), float(k)) for k in range(40)], "series string, ts timestamp_ntz, v double")
+    when = spark.createDataFrame([("a", t(7 * k)) for k in range(-3, 190)], "series string, ts timestamp_ntz")
+    assert [r.v for r in align.as_of(when, long, "v").orderBy("ts").collect()] == [None if k < 0 else float(min(39, 7 * k // 30)) for k in range(-3, 190)]
     path = [10.0, 11.0, 12.5, 9.0, 4.0]
     bars = spark.createDataFrame([("a", t(k), p, p, p, p, 1.0) for k, p in enumerate(path)], "series string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
     got = evaluate.first_passage(bars, up=0.2, down=0.2, horizon=3).orderBy("ts").collect()

@@ -45,14 +45,16 @@ def roofing_filter(hp_period=48, lp_period=10):
 @operator("ce")
 def chandelier_exit(length=22, atr_mult=3.0):
     n = length
+    state = ("stop_side", "close,long_stop,short_stop", ())
     return op(
         [
             {"hh": f"max(high) {w(n)}", "ll": f"min(low) {w(n)}"},
             {"atr": Fold("rma", "tr", (n,))},
             {"a": f"hh - {atr_mult!r} * atr", "b": f"ll + {atr_mult!r} * atr"},
             {"long_stop": Fold("held_stop", "a,close", (1.0,)), "short_stop": Fold("held_stop", "b,close", (-1.0,))},
+            {"direction": Fold(*state, 0), "value": Fold(*state, 1), "secondary": Fold(*state, 2)},
         ],
-        ["long_stop", "short_stop"],
+        ["value", "secondary", "direction", "long_stop", "short_stop"],
         n,
     )
 
@@ -107,26 +109,29 @@ def pmo(length_1=35, length_2=20, signal_len=10):
 
 @operator()
 def alligator():
+    """Three Wilder means of the middle price, each as it was some bars ago; the shifts grow from none at the first output."""
+    shifted = lambda x, n: since(f"CASE WHEN i >= {13 + n} THEN lag({x}, {n}) {P} ELSE max(CASE WHEN i = 13 THEN {x} END) {CUM} END", 13)
     return op(
         [
             {"j": Fold("rma", "hl2", (13,)), "t": Fold("rma", "hl2", (8,)), "l": Fold("rma", "hl2", (5,))},
-            {"jaw": f"lag(j, 8) {P}", "teeth": f"lag(t, 5) {P}", "lips": f"lag(l, 3) {P}"},
+            {"jaw": shifted("j", 8), "teeth": shifted("t", 5), "lips": shifted("l", 3)},
+            {"value": "lips"},
         ],
-        ["jaw", "teeth", "lips"],
+        ["value", "jaw", "teeth", "lips"],
         13,
     )
 
 
 @operator("trmf")
 def true_range_money_flow(period=21, volume_cap=2.5):
-    """Range-located volume over volume, both capped at a multiple of the volume's mean and smoothed."""
+    """Range-located volume over volume, both capped at a multiple of the volume's mean before and smoothed."""
     return op(
         [
-            {"m": Fold("rma", "volume", (period,))},
-            {"cap": f"least(volume, {volume_cap!r} * coalesce(lag(m, 1) {P}, volume))", "top": "CASE WHEN pc IS NOT NULL THEN greatest(high, pc) END", "bottom": "CASE WHEN pc IS NOT NULL THEN least(low, pc) END"},
+            {"m": Fold("alpha_ema", "volume", (1 / period,))},
+            {"cap": f"least(volume, {volume_cap!r} * lag(m, 1) {P})" if volume_cap else "volume", "top": "CASE WHEN pc IS NOT NULL THEN greatest(high, pc) END", "bottom": "CASE WHEN pc IS NOT NULL THEN least(low, pc) END"},
             {"x": "CASE WHEN pc IS NULL THEN NULL WHEN top = bottom THEN 0.0 ELSE cap * (2 * (close - bottom) / nullif(top - bottom, 0) - 1) END", "v": "CASE WHEN pc IS NOT NULL THEN cap END"},
             {"a": Fold("rma", "x", (period,)), "b": Fold("rma", "v", (period,))},
-            {"value": "CASE WHEN b IS NOT NULL THEN " + ratio("100 * a", "b", "0.0") + " END"},
+            {"value": "CASE WHEN b > 0 THEN a / b END"},
         ],
         warmup=period + 1,
     )
@@ -134,38 +139,50 @@ def true_range_money_flow(period=21, volume_cap=2.5):
 
 @operator("kvo")
 def klinger(fast_len=34, slow_len=55, signal_len=13):
-    """Volume force by the trend of the typical sum, between two means."""
+    """Volume force by the trend of the typical sum, between two means.
+
+    Ranges add up while the trend holds; a turn starts with the last bar's range and this one's. Equal sums keep the trend,
+    and the first bar counts as rising.
+    """
+    island = "OVER (PARTITION BY series, {} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return op(
         [
-            {"dm": "high - low", "hlc": "high + low + close"},
-            {"up": f"CASE WHEN hlc > lag(hlc, 1) {P} THEN 1 WHEN lag(hlc, 1) {P} IS NULL THEN NULL ELSE -1 END"},
-            {"turn": f"CASE WHEN up <> lag(up, 1) {P} THEN 1 ELSE 0 END", "pdm": f"lag(dm, 1) {P}"},
-            {"island": f"sum(turn) {CUM}"},
-            {"cm": "sum(dm) OVER (PARTITION BY series, island ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
-            {"vf": "CASE WHEN up IS NULL THEN NULL WHEN cm = 0 THEN 0.0 ELSE 100 * volume * up * abs(2 * (dm / nullif(cm, 0) - 1)) END"},
+            {"dm": "high - low", "hlc": "high + low + close", "pdm": f"lag(high - low, 1) {P}"},
+            {"before": f"lag(hlc, 1) {P}"},
+            {"moved": "CASE WHEN before IS NULL THEN 1 WHEN hlc > before THEN 1 WHEN hlc < before THEN -1 END"},
+            {"moves": f"count(moved) {CUM}"},
+            {"trend": f"max(moved) {island.format('moves')}"},
+            {"turn": f"CASE WHEN trend <> lag(trend, 1) {P} THEN 1 ELSE 0 END"},
+            {"leg": f"sum(turn) {CUM}"},
+            {"cm": f"sum(CASE WHEN turn = 1 THEN dm + pdm ELSE dm END) {island.format('leg')}"},
+            {"vf": "100 * volume * trend * abs(2 * CASE WHEN cm > 2.220446049250313e-16 THEN dm / cm ELSE 0.0 END - 1)"},
             {"f": Fold("ema", "vf", (fast_len,)), "s": Fold("ema", "vf", (slow_len,))},
-            {"value": since("f - s", slow_len)},
+            {"value": since("f - s", slow_len), "volume_force": since("vf", slow_len)},
             {"signal": Fold("ema", "value", (signal_len,))},
+            {"hist": "value - signal"},
         ],
-        ["value", "signal"],
+        ["value", "signal", "hist", "volume_force"],
         slow_len,
     )
 
 
 @operator()
-def qqe(rsi_len=14, smoothing=5):
-    """The smoothed RSI and the doubly smoothed size of its moves."""
+def qqe(rsi_len=14, smoothing=5, factor=4.236):
+    """The smoothed RSI and its trail between bands of the doubly smoothed size of its moves."""
     n = 2 * rsi_len - 1
+    state = ("band_trail", "m,width", ())
     return op(
         [
             *_gains(rsi_len),
-            {"value": Fold("ema", "raw", (smoothing,))},
-            {"move": f"abs(value - lag(value, 1) {P})"},
+            {"m": Fold("ema", "raw", (smoothing,))},
+            {"move": f"abs(m - lag(m, 1) {P})"},
             {"m1": Fold("ema", "move", (n,))},
             {"m2": Fold("ema", "m1", (n,))},
-            {"band": "4.236 * m2"},
+            {"width": f"{factor!r} * m2"},
+            {"trail": Fold(*state, 0), "trend": Fold(*state, 1)},
+            {"value": since("m", rsi_len + 2), "band": since("width", rsi_len + 2)},
         ],
-        ["value", "band"],
+        ["value", "band", "trail", "trend"],
         rsi_len + 2,
     )
 

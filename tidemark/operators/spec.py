@@ -2,7 +2,8 @@
 
 An expression stage is a set of columns in the common part of Spark SQL and DuckDB SQL. A fold stage is a set of columns
 made by ordered recurrences of infinite memory, which Spark runs as one grouped Arrow function over each series. All
-windows share one partitioning and order, so a stage chain needs one exchange and one sort however many columns it has.
+windows share one partitioning and order, so expressions need one exchange and one sort however many columns they make;
+each further grouped call whose result windows or folds read again costs one more.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, states
 
 P = "OVER (PARTITION BY series ORDER BY ts)"
 CUM = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -37,6 +38,8 @@ class Fold:
     kernel: str
     source: str
     args: tuple = ()
+    #: Which of the kernel's lines, where it returns several; they are made once for all columns that differ in this only.
+    line: int | None = None
 
 
 @dataclass
@@ -100,35 +103,35 @@ def run_fold(frame: DataFrame, folds: dict[str, Fold]) -> DataFrame:
 
     def each(pdf):
         pdf = pdf.sort_values("ts", kind="stable")
+        made: dict[tuple, list] = {}
         for name, fold in folds.items():
-            pdf[name] = kernels.KERNELS[fold.kernel](*[pdf[c].to_numpy("float64") for c in fold.source.split(",")], *fold.args)
+            inputs = lambda f=fold: [pdf[c].to_numpy("float64") for c in f.source.split(",")]
+            if fold.line is None:
+                pdf[name] = kernels.KERNELS[fold.kernel](*inputs(), *fold.args)
+                continue
+            key = (fold.kernel, fold.source, str(fold.args))
+            if key not in made:
+                made[key] = states.KERNELS[fold.kernel](*inputs(), *fold.args)
+            pdf[name] = made[key][fold.line]
         return pdf
 
     return frame.groupBy("series").applyInPandas(each, f"{fields}, {', '.join(f'`{n}` double' for n in folds)}").select(*columns, *folds)
 
 
 def apply(bars: DataFrame, ops: list[Operator], keep: list[str] | None = None) -> DataFrame:
-    """Add the outputs of several operators to bars, stage by stage.
+    """Add the outputs of several operators to bars.
 
-    Same-numbered stages of all operators run together: one projection of window expressions or one grouped call. With one
-    operator its outputs keep their names; with several they are prefixed by the operator's name.
+    Columns are put into as few rounds as their dependencies allow, over all operators: a round is some projections of
+    window expressions and then one grouped call with every fold that they feed, folds of folds included. With one operator
+    its outputs keep their names; with several they are prefixed by the operator's name.
     """
     frame = bars
     for stage in (BASE, BASE2):
         frame = frame.select("*", *[F.expr(_spark(e)).alias(k) for k, e in stage.items()])
     prefix = lambda op, c: c if len(ops) == 1 else f"{op.name}__{c}"
-    for depth in range(max(len(op.stages) for op in ops)):
-        expressions: dict[str, str] = {}
-        folds: dict[str, Fold] = {}
-        for op in ops:
-            own = {c for s in op.stages[:depth] for c in s} if len(ops) > 1 else set()
-            for c, e in (op.stages[depth] if depth < len(op.stages) else {}).items():
-                if isinstance(e, Fold):
-                    folds[prefix(op, c)] = Fold(e.kernel, ",".join(prefix(op, s) if s in own else s for s in e.source.split(",")), e.args)
-                else:
-                    expressions[prefix(op, c)] = _renamed(e, {c: prefix(op, c) for c in own})
-        if expressions:
-            frame = frame.select("*", *[F.expr(_spark(e)).alias(k) for k, e in expressions.items()])
+    for steps, folds in _rounds(ops, prefix):
+        for step in steps:
+            frame = frame.select("*", *[F.expr(_spark(e)).alias(k) for k, e in step.items()])
         if folds:
             frame = run_fold(frame, folds)
     outputs = [(c if len(ops) == 1 else f"{op.name}_{c}", prefix(op, c)) for op in ops for c in op.outputs]
@@ -136,6 +139,30 @@ def apply(bars: DataFrame, ops: list[Operator], keep: list[str] | None = None) -
     return frame.select(*keep, *[F.col(c).cast("double").alias(name) for name, c in outputs])
 
 
+def _rounds(ops: list[Operator], prefix: Callable[[Operator, str], str]) -> list[tuple[list[dict[str, str]], dict[str, Fold]]]:
+    """Rounds of (projections one after another, folds in order), each column in the earliest round that it can be in."""
+    rounds: list[tuple[dict[int, dict[str, str]], dict[str, Fold]]] = []
+    for op in ops:
+        place: dict[str, int] = {}  # the round in which a column is there for expressions
+        folded: dict[str, int] = {}  # and for other folds
+        for depth, stage in enumerate(op.stages):
+            known = set(place)
+            for c, e in stage.items():
+                isfold = isinstance(e, Fold)
+                used = known.intersection(e.source.split(",") if isfold else re.findall(r"[A-Za-z_]\w*", e))
+                at = max([(folded if isfold else place)[u] for u in used], default=0)
+                while len(rounds) <= at:
+                    rounds.append(({}, {}))
+                if isfold:
+                    source = ",".join(prefix(op, s) if s in known else s for s in e.source.split(","))
+                    rounds[at][1][prefix(op, c)] = Fold(e.kernel, source, e.args, e.line)
+                    place[c], folded[c] = at + 1, at
+                else:
+                    rounds[at][0].setdefault(depth, {})[prefix(op, c)] = _renamed(e, {u: prefix(op, u) for u in used})
+                    place[c] = folded[c] = at
+    return [([steps[d] for d in sorted(steps)], folds) for steps, folds in rounds]
+
+
 def _spark(expression: str) -> str:
     """The Spark form: literals with a point are doubles, rows are structs."""
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", expression).replace("ROWOF(", "struct(")

@@ -114,14 +114,16 @@ def mass_index(period=25):
 
 @operator("wvf")
 def vix_fix(pd=22, bband_len=20, mult=2.0):
-    first = pd + bband_len - 2
+    """How far lows lie below the highest close, and highs above the lowest, each with a band; before `pd` closes the bar's own."""
+    first = 2 * bband_len - 1
+    band = lambda x: since(f"avg({x}) {w(bband_len)} + {mult!r} * stddev_pop({x}) {w(bband_len)}", first)
     return op(
         [
-            {"hh": f"max(close) {w(pd)}", "ll": f"min(close) {w(pd)}"},
-            {"x": since("100 * (hh - low) / hh", pd), "y": since("100 * (high - ll) / ll", pd)},
-            {"value": since("x", pd + bband_len - 1), "band": since(f"avg(x) {w(bband_len)} + {mult!r} * stddev_pop(x) {w(bband_len)}", pd + bband_len - 1)},
+            {"hh": f"CASE WHEN i >= {pd} THEN max(close) {w(pd)} ELSE close END", "ll": f"CASE WHEN i >= {pd} THEN min(close) {w(pd)} ELSE close END"},
+            {"x": "100 * (hh - low) / hh", "y": "100 * (high - ll) / high"},
+            {"value": since("x", first), "band": band("x"), "inverse": since("y", first), "inverse_band": band("y")},
         ],
-        ["value", "band"],
+        ["value", "band", "inverse", "inverse_band"],
         first,
     )
 
