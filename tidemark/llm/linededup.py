@@ -94,8 +94,9 @@ def seen_twice(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
         return pd.DataFrame({"segment": [keys[0]], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
     parts = docs.select("text").mapInArrow(fill, "segment long, once binary, twice binary")
-    if docs.rdd.getNumPartitions() > MERGED:  # a first merge among parts of the tasks keeps every group small
-        some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(docs.rdd.getNumPartitions())))
+    tasks = docs.select("text").rdd.getNumPartitions()
+    if tasks > MERGED:  # a first merge among parts of the tasks keeps every group small
+        some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))
         parts = parts.groupBy("segment", some.alias("part")).applyInPandas(merge, "segment long, once binary, twice binary")
     merged = parts.groupBy("segment").applyInPandas(merge, "segment long, once binary, twice binary").select("segment", "twice")
     out = np.zeros(bits // 8, np.uint8)
