@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import finance
 from .operators import adaptive, averages, oscillators, recursive, structure, swings, volatility  # noqa: F401  they register themselves
 from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
-from .plans import align, crosssection, evaluate
+from .plans import align, crosssection, evaluate, statistics
 from .sources.bars import EVENT_BARS_SQL, ORDER_BARS_SQL, event_bars, order_bars, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +228,128 @@ def _bonds(spark, sf_dir):
     return part.select("p_partkey", finance.bond_price(face, coupon, y, years).alias("price"), finance.bond_duration(face, coupon, y, years).alias("duration"))
 
 
+_TWENTY = f"{_B}, v AS (SELECT series, ts, list(close) OVER (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING) AS xs FROM bars), f AS (SELECT * FROM v WHERE len(xs) = 20)"
+
+
+@_query("rolling_quantiles", f"{_TWENTY} SELECT series, ts, {_r('list_aggregate(xs, $$quantile_cont$$, 0.25)')} AS lower, {_r('list_aggregate(xs, $$quantile_cont$$, 0.5)')} AS median, {_r('list_aggregate(xs, $$quantile_cont$$, 0.75)')} AS upper FROM f")
+def _quantiles(spark, sf_dir):
+    return statistics.rolling_quantiles(event_bars(spark, sf_dir))
+
+
+@_query(
+    "robust_band",
+    f"{_TWENTY}, m AS (SELECT *, list_aggregate(xs, $$median$$) AS med FROM f), d AS (SELECT *, 1.4826::DOUBLE * list_aggregate(list_transform(xs, lambda x: abs(x - med)), $$median$$) AS dev FROM m) SELECT series, ts, {_r('med')} AS median, {_r('dev')} AS mad, {_r('med + 3 * dev')} AS upper, {_r('med - 3 * dev')} AS lower FROM d",
+)
+def _robust(spark, sf_dir):
+    return statistics.robust_band(event_bars(spark, sf_dir))
+
+
+@_query("nearest_rank", f"{_B}, l AS (SELECT series, list_sort(list(close)) AS xs FROM bars GROUP BY series) SELECT series, {_r('xs[round((len(xs) - 1) * 0.9)::INT + 1]')} AS value FROM l")
+def _nearest(spark, sf_dir):
+    return statistics.nearest_rank(event_bars(spark, sf_dir))
+
+
+_RETURNS = f"{_B}, x AS (SELECT series, ts, close / lag(close) {_PW} - 1 AS x FROM bars), y AS (SELECT series, ts::DATE AS day, x, avg(x) OVER (PARTITION BY series) AS m, count(x) OVER (PARTITION BY series) AS n FROM x WHERE x IS NOT NULL)"
+
+
+@_query(
+    "block_mean",
+    f"{_RETURNS}, g AS (SELECT series, day, any_value(m) AS m, any_value(n) AS n, sum(x - m) AS off FROM y GROUP BY series, day) SELECT series, {_r('any_value(m)')} AS mean, {_r('sqrt(sum(off * off)) / any_value(n) * sqrt(count(*) / (count(*) - 1))')} AS std_error, count(*) AS blocks FROM g GROUP BY series",
+)
+def _block_mean(spark, sf_dir):
+    return statistics.block_mean(statistics.simple_returns(event_bars(spark, sf_dir)))
+
+
+@_query(
+    "block_difference",
+    f"{_RETURNS}, g AS (SELECT series, day, any_value(m) AS m, sum(x - m) / any_value(n) AS off FROM y GROUP BY series, day), days AS (SELECT DISTINCT day FROM g), q AS (SELECT DISTINCT a.series AS a, b.series AS b, a.m - b.m AS difference FROM g a JOIN g b ON a.series < b.series), "
+    f"j AS (SELECT q.*, coalesce(u.off, 0) - coalesce(v.off, 0) AS s FROM q CROSS JOIN days LEFT JOIN g u ON u.series = q.a AND u.day = days.day LEFT JOIN g v ON v.series = q.b AND v.day = days.day WHERE u.off IS NOT NULL OR v.off IS NOT NULL) SELECT a, b, {_r('any_value(difference)')} AS difference, {_r('sqrt(sum(s * s) * count(*) / (count(*) - 1))')} AS std_error FROM j GROUP BY a, b",
+)
+def _block_difference(spark, sf_dir):
+    return statistics.block_difference(statistics.simple_returns(event_bars(spark, sf_dir)))
+
+
+@_query("deflated_sharpe", None)
+def _deflated(spark, sf_dir):
+    return statistics.deflated_sharpe(statistics.simple_returns(event_bars(spark, sf_dir)))
+
+
+def _trades(spark, sf_dir):
+    """Crossing signals held for ten bars: series, ts, direction, r."""
+    bars = event_bars(spark, sf_dir)
+    joined = evaluate.cross_signals(bars).select("series", "ts", "direction").join(evaluate.forward_move(bars, 10), ["series", "ts"]).filter("ret is not null")
+    return joined.select("series", "ts", "direction", (F.col("ret") * F.col("direction")).alias("r"))
+
+
+_TRADES = f"{_B}, {_FWD}, m AS (SELECT series, ts, avg(close) OVER (PARTITION BY series ORDER BY ts ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING) AS gap, row_number() {_PW} AS i FROM bars), c AS (SELECT *, lag(gap) {_PW} AS before FROM m), s AS (SELECT series, ts, CASE WHEN before <= 0 AND gap > 0 THEN 1 WHEN before >= 0 AND gap < 0 THEN -1 END AS direction FROM c WHERE i > 20), tr AS (SELECT series, ts, direction, ret * direction AS r FROM s JOIN fwd USING (series, ts) WHERE direction IS NOT NULL AND ret IS NOT NULL)"
+
+
+def _trade_sql(by: str) -> str:
+    path = f"e AS (SELECT *, sum(r) OVER (PARTITION BY {by} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM tr), k AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY {by} ORDER BY ts ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM e)"
+    return f"{_TRADES}, {path} SELECT {by}, count(*) AS n, {_r('count(*) FILTER (r > 0) / count(*)')} AS win_rate, {_r('sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0)')} AS profit_factor, {_r('avg(r)')} AS expectancy, {_r('max(fall)')} AS max_drawdown FROM k GROUP BY {by}"
+
+
+@_query("trade_stats", _trade_sql("series"))
+def _trade_stats(spark, sf_dir):
+    return statistics.trade_stats(_trades(spark, sf_dir), "series")
+
+
+@_query("trade_cohorts", _trade_sql("series, direction"))
+def _trade_cohorts(spark, sf_dir):
+    return statistics.trade_stats(_trades(spark, sf_dir), "series", "direction")
+
+
+@_query("outcome_stats", f"{_B}, {_FWD} SELECT series, count(*) AS closed, count(*) FILTER (ret > 0) AS wins, {_r('count(*) FILTER (ret > 0) / count(*)')} AS win_rate, {_r('avg(ret)')} AS mean, {_r('sum(ret)')} AS total FROM fwd GROUP BY series")
+def _outcome_stats(spark, sf_dir):
+    return statistics.outcome_stats(evaluate.forward_move(event_bars(spark, sf_dir), 10).select("series", F.col("ret").alias("x")), "series")
+
+
+@_query(
+    "band_coverage",
+    f"{_B}, v AS (SELECT series, list(close) OVER o AS xs, lead(close) OVER (PARTITION BY series ORDER BY ts) AS after FROM bars WINDOW o AS (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING)) SELECT series, count(*) AS n, {_r('avg((after BETWEEN list_aggregate(xs, $$quantile_cont$$, 0.1) AND list_aggregate(xs, $$quantile_cont$$, 0.9))::INT)')} AS share FROM v WHERE len(xs) = 20 AND after IS NOT NULL GROUP BY series",
+)
+def _coverage(spark, sf_dir):
+    return statistics.band_coverage(event_bars(spark, sf_dir))
+
+
+@_query("round_levels", f"{_B}, l AS (SELECT series, floor(arg_max(close, ts) / 10) * 10 AS base FROM bars GROUP BY series) SELECT series, {_r('base + 10 * unnest(range(-3, 5))')} AS level FROM l")
+def _round_levels(spark, sf_dir):
+    return statistics.round_levels(statistics.last_bars(event_bars(spark, sf_dir)))
+
+
+@_query(
+    "fibonacci_levels",
+    f"{_B}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS k FROM bars), t AS (SELECT series, max(high) AS top, min(low) AS bottom FROM k WHERE k <= 50 GROUP BY series), a AS (SELECT t.*, (SELECT max(k) FROM k WHERE k.series = t.series AND k <= 50 AND high = top) AS ta, (SELECT min(k) FROM k WHERE k.series = t.series AND k <= 50 AND low = bottom) AS ba FROM t), e AS (SELECT *, unnest([0.236, 0.382, 0.5, 0.618, 0.786, 1.0, 1.272, 1.618]::DOUBLE[]) AS ratio FROM a) "
+    f"SELECT series, {_r('ratio')} AS ratio, {_r('CASE WHEN ta < ba THEN top - (top - bottom) * ratio ELSE bottom + (top - bottom) * ratio END')} AS level FROM e",
+)
+def _fibonacci(spark, sf_dir):
+    return statistics.fibonacci_levels(event_bars(spark, sf_dir))
+
+
+@_query(
+    "purged_split",
+    f"{_TRADES}, n AS (SELECT series, ts, row_number() {_PW} - 1 AS first FROM bars), sp AS (SELECT series, ts, first, first + 10 AS last FROM tr JOIN n USING (series, ts)) SELECT series, ts, first, last, CASE WHEN first >= 400 THEN 'test' WHEN last >= 400 THEN 'purged' ELSE 'train' END AS part FROM sp WHERE first < 395 OR first BETWEEN 400 AND 599",
+)
+def _split(spark, sf_dir):
+    place = event_bars(spark, sf_dir).select("series", "ts", (F.row_number().over(evaluate._ordered()) - 1).cast("long").alias("first"))
+    spans = _trades(spark, sf_dir).join(place, ["series", "ts"]).select("series", "ts", "first", (F.col("first") + 10).alias("last"))
+    return statistics.purged_split(spans, (0, 395), (400, 600), embargo=5)
+
+
+@_query(
+    "exposure",
+    f"{_B}, r AS (SELECT *, ln(close / lag(close) {_PW}) AS r, greatest(high, lag(close) {_PW}) - least(low, lag(close) {_PW}) AS tr FROM bars), v AS (SELECT *, stddev_samp(r) OVER f AS vol, avg(tr) OVER f AS atr, lag(close, 10) OVER (PARTITION BY series ORDER BY ts) AS entry, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM r WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING)) "
+    f"SELECT series, ts, {_r('CASE WHEN vol > 0 THEN least(0.2::DOUBLE / vol, 3) ELSE 1 END')} AS scale, {_r('CASE WHEN atr > 0 THEN abs(close - entry) / atr END')} AS distance, {_r('(close - entry - 5) / (entry + 0.5 * 5)')} AS period_return FROM v WHERE i > 20",
+)
+def _exposure(spark, sf_dir):
+    """Exposure by volatility, distance from the close of ten bars before in true ranges, and a return with a cash flow of 5."""
+    o, last = evaluate._ordered(), evaluate._ordered().rowsBetween(-19, 0)
+    before = F.lag("close").over(o)
+    r = event_bars(spark, sf_dir).withColumns({"r": F.log(F.col("close") / before), "tr": F.when(before.isNotNull(), F.greatest("high", before) - F.least("low", before)).otherwise(F.col("high") - F.col("low"))})
+    v = r.withColumns({"vol": F.stddev_samp("r").over(last), "atr": F.avg("tr").over(last), "entry": F.lag("close", 10).over(o), "i": F.row_number().over(o)}).filter("i > 20")
+    return v.select("series", "ts", finance.volatility_scale(F.col("vol"), 0.2, 3.0).alias("scale"), finance.range_distance(F.col("entry"), F.col("close"), F.col("atr")).alias("distance"), finance.period_return(F.col("entry"), F.col("close"), F.lit(5.0), 0.5).alias("period_return"))
+
+
 @_query("option_values", None)
 def _options(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")

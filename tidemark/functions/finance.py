@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +29,35 @@ def bond_duration(face: Column, coupon: Column, yield_: Column, years: Column, f
     return ((1 + y) / y - top / (c * (F.pow(1 + y, n) - 1) + y)) / frequency
 
 
+#: Hart's rational approximation of the normal distribution for |x| below 10 / sqrt 2 (fixed values, highest power first).
+_HART_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_HART_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution, absolute error below 7.5e-8 (Abramowitz and Stegun 26.2.17)."""
-    # fixed values of the published approximation
-    p, b = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = 1 / (1 + p * F.abs(x))
-    poly = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
-    tail = 0.3989422804014327 * F.exp(-x * x / 2) * poly
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
+    """Standard normal distribution to about 1e-15: Hart's approximation, and a continued fraction in the tails."""
+    a = F.abs(x)
+    density = F.exp(-a * a / 2)
+    poly = lambda terms: functools.reduce(lambda acc, c: acc * a + F.lit(c), terms[1:], F.lit(terms[0]))
+    fraction = functools.reduce(lambda acc, k: a + F.lit(float(k)) / acc, (4, 3, 2, 1), a + F.lit(0.65))
+    tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, density * poly(_HART_TOP) / poly(_HART_BOTTOM)).otherwise(density / fraction / math.sqrt(2 * math.pi))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
+def volatility_scale(volatility: Column, target: float, most: float) -> Column:
+    """Exposure that brings a volatility to the target, at most `most`; 1 where it is unknown or zero."""
+    return F.when(volatility > 0, F.least(F.lit(target) / volatility, F.lit(most))).otherwise(1.0)
+
+
+def period_return(start: Column, end: Column, cashflow: Column, weight: float) -> Column:
+    """Return of a period adjusted for money that came in, weighted by its share of the period; null without capital."""
+    capital = start + weight * cashflow
+    return F.when(capital > 0, (end - start - cashflow) / capital)
+
+
+def range_distance(entry: Column, current: Column, true_range: Column) -> Column:
+    """Distance of two prices in true ranges; null without range."""
+    return F.when(true_range > 0, F.abs(current - entry) / true_range)
 
 
 def option_value(spot: Column, strike: Column, rate: float, carry: float, vol: Column, years: Column) -> tuple[Column, Column]:
