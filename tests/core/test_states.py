@@ -251,6 +251,43 @@ def test_ott_and_halftrend(walk):
     same(run(df, "halftrend").value, want)
 
 
+def test_adaptive_chandelier_and_gap_fills(walk):
+    f, df = walk
+    tr = [max(f.high[k], f.close[k - 1]) - min(f.low[k], f.close[k - 1]) if k else f.high[0] - f.low[0] for k in range(N)]
+    atr, mean = wilder(tr, 30), exponential(f.close, 5)
+    side, stops, value, risk = 1, None, [], []
+    for k in range(N):
+        if k < 29:
+            value.append(None), risk.append(None)
+            continue
+        last = f.close[k - 29 : k + 1]
+        raw = {1: max(last) - 1.5 * atr[k], -1: min(last) + 1.5 * atr[k]}
+        before = stops or raw
+        stops = {1: max(raw[1], before[1]) if side == 1 else raw[1], -1: min(raw[-1], before[-1]) if side == -1 else raw[-1]}
+        if (f.close[k] > before[-1]) ^ (f.close[k] < before[1]):
+            side = 1 if f.close[k] > before[-1] else -1
+        away = abs(f.close[k] - before[side]) / atr[k]
+        wrong = f.close[k] < mean[k] if side == 1 else f.close[k] > mean[k]
+        value.append(stops[side]), risk.append(side * (1 if away < 0.35 else 2 if away < 0.75 or wrong else 3))
+    got = run(df, "adaptive_chandelier", atr_mult=1.5, body_filter_atr=0.0)
+    same(got.value, value), same(got.risk_state, risk)
+    assert {-1, 1} <= set(np.sign([r for r in risk if r]))
+
+    zones, opened, filled = [], [], []
+    for k in range(N):
+        hit = [z for z in zones if (f.low[k] <= z[1] if z[0] == "up" else f.high[k] >= z[1])]
+        zones = [z for z in zones if z not in hit]
+        if k >= 2 and f.low[k] > f.high[k - 2]:
+            zones.append(("up", f.low[k], k))
+        if k >= 2 and f.high[k] < f.low[k - 2]:
+            zones.append(("down", f.high[k], k))
+        zones = zones[-4:]
+        opened.append(len(zones)), filled.append(len(hit))
+    got = run(df, "fvg_fill", max_zones=4)
+    same(got.value, opened), same(got.filled, filled)
+    assert sum(filled) > 10 and max(opened) == 4
+
+
 def test_first_outputs_and_known_values(spark, walk):
     _, df = walk
     first = {"vix_fix": 39, "alligator": 13, "true_range_money_flow": 22, "klinger": 55, "qqe": 16, "chandelier_exit": 22}

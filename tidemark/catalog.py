@@ -95,6 +95,16 @@ def _rolling_beta(spark, sf_dir):
     return align.rolling_beta(align.series_pairs(event_bars(spark, sf_dir)))
 
 
+@_query(
+    "correlation",
+    f"{_PAIRS}, q AS (SELECT a, b, ts, ca / lag(ca) OVER o - 1 AS x, cb / lag(cb) OVER o - 1 AS y FROM p WINDOW o AS (PARTITION BY a, b ORDER BY ts)), z AS (SELECT * FROM q WHERE x IS NOT NULL), {_window_lists('z', 20)} "
+    f"SELECT a, b, ts, {_r('greatest(-1, least(1, sxy / sqrt(sxx * syy)))')} AS value FROM d WHERE syy > 1e-14",
+)
+def _pair_correlation(spark, sf_dir):
+    """Rolling correlation of simple returns of each pair of series."""
+    return align.rolling_beta(align.series_pairs(event_bars(spark, sf_dir)), 20).select("a", "b", "ts", F.col("correlation").alias("value"))
+
+
 @_query(
     "pair_spread",
     f"{_PAIRS}, z AS (SELECT a, b, ts, ca AS x, cb AS y FROM p), {_window_lists('z', 60)}, h AS (SELECT *, sxy / syy AS g FROM d WHERE syy > 1e-14), "

@@ -214,4 +214,53 @@ def countdown(setup: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.nd
     return out
 
 
-KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown)}
+def filtered_stops(opened: np.ndarray, close: np.ndarray, raw_long: np.ndarray, raw_short: np.ndarray, atr: np.ndarray, mean: np.ndarray, body: float, danger: float, warn: float) -> list[np.ndarray]:
+    """Stop of the direction, long and short stop, distance in ATR to the last stop, and risk state (1 near to 3 far, signed).
+
+    The direction's stop only tightens; it turns on a close beyond the other side's last stop if the bar's body is large
+    enough. A close on the wrong side of a short mean makes a far state a middle one.
+    """
+    side, a, b = 1, NAN, NAN
+    out = _lines(len(close), 5)
+    for k, c in enumerate(close):
+        if math.isnan(raw_long[k]):
+            continue
+        was_a, was_b = (raw_long[k], raw_short[k]) if math.isnan(a) else (a, b)
+        a = max(raw_long[k], was_a) if side > 0 else raw_long[k]
+        b = min(raw_short[k], was_b) if side < 0 else raw_short[k]
+        up, down = c > was_b, c < was_a
+        if up != down and (body <= 0 or abs(c - opened[k]) >= body * atr[k]):
+            side = 1 if up else -1
+        away = abs(c - (was_a if side > 0 else was_b)) / atr[k] if atr[k] else 0.0
+        near = away < max(warn, danger + 0.05) or (mean[k] - c) * side > 0
+        risk = side * (1 if away < danger else 2 if near else 3)
+        for line, v in zip(out, (a if side > 0 else b, a, b, away, risk), strict=True):
+            line[k] = v
+    return out
+
+
+def open_gaps(high: np.ndarray, low: np.ndarray, most: int) -> list[np.ndarray]:
+    """Open three-bar gaps, gap made on the bar (1 rising, -1 falling, 0), gaps filled on it, open rising and open falling ones.
+
+    A gap lies between the extremes of this bar and the one two before; a later bar that trades back to its near edge fills
+    it. The newest `most` open gaps are kept.
+    """
+    held: list[tuple[int, float]] = []  # side and near edge
+    out = _lines(len(high), 5)
+    for k in range(len(high)):
+        left = [(s, edge) for s, edge in held if (low[k] > edge if s > 0 else high[k] < edge)]
+        filled, made = len(held) - len(left), 0
+        if k >= 2 and low[k] > high[k - 2]:
+            made = 1
+            left.append((1, low[k]))
+        elif k >= 2 and high[k] < low[k - 2]:
+            made = -1
+            left.append((-1, high[k]))
+        held = left[-most:]
+        rising = sum(s > 0 for s, _ in held)
+        for line, v in zip(out, (len(held), made, filled, rising, len(held) - rising), strict=True):
+            line[k] = v
+    return out
+
+
+KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown, filtered_stops, open_gaps)}

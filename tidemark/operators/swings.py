@@ -140,3 +140,26 @@ def setup_countdown():
         ["value", "countdown"],
         6,
     )
+
+
+@operator("chfr")
+def adaptive_chandelier(length=30, atr_mult=4.5, body_filter_atr=0.8, danger_dist_atr=0.35, warn_dist_atr=0.75):
+    n = length
+    state = ("filtered_stops", "open,close,a,b,atr,m", (body_filter_atr, danger_dist_atr, warn_dist_atr))
+    lines = ("value", "long_stop", "short_stop", "dist_atr", "risk_state")
+    return op(
+        [
+            {"hh": f"max(close) {w(n)}", "ll": f"min(close) {w(n)}"},
+            {"atr": Fold("rma", "tr", (n,)), "m": Fold("ema", "close", (5,))},
+            {"a": f"hh - {atr_mult!r} * atr", "b": f"ll + {atr_mult!r} * atr"},
+            {c: Fold(*state, k) for k, c in enumerate(lines)},
+        ],
+        list(lines),
+        n,
+    )
+
+
+@operator()
+def fvg_fill(max_zones=20):
+    lines = ("value", "created", "filled", "open_bullish", "open_bearish")
+    return op([{c: Fold("open_gaps", "high,low", (max_zones,), k) for k, c in enumerate(lines)}], list(lines))
