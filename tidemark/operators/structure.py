@@ -126,7 +126,7 @@ def period_midpoint():
 
 
 @operator()
-def opening_range(orb_duration_mins=120):
+def opening_range(orb_duration_mins=30):
     """High and low of each UTC day's first minutes; the running ones while they last."""
     inside = f"hour(ts) * 60 + minute(ts) < {orb_duration_mins}"
     return op(
