@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import finance
+from .functions import contracts, finance
 from .operators import adaptive, averages, oscillators, recursive, structure, swings, volatility  # noqa: F401  they register themselves
 from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
 from .plans import align, crosssection, evaluate, statistics
@@ -371,3 +371,207 @@ def _options(spark, sf_dir):
 def _bundle(spark, sf_dir):
     """Several operators over the same bars in one plan: shared exchange and sort, one grouped call for each fold stage."""
     return apply(event_bars(spark, sf_dir), [build(n) for n in ("sma", "bollinger", "macd", "rsi", "adx", "supertrend")])
+
+
+_YF = {
+    "act/360": "date_diff('day', {a}, {b}) / 360.0::DOUBLE",
+    "act/365": "date_diff('day', {a}, {b}) / 365.0::DOUBLE",
+    "30/360": "((year({b}) - year({a})) * 360 + (month({b}) - month({a})) * 30 + CASE WHEN day({b}) = 31 AND day({a}) >= 30 THEN 30 ELSE day({b}) END - least(day({a}), 30)) / 360.0::DOUBLE",
+    "act/act": "list_sum(list_transform(range(year({a}), year({b}) + 1), lambda y: date_diff('day', greatest({a}, make_date(y, 1, 1)), least({b}, make_date(y + 1, 1, 1))) / date_diff('day', make_date(y, 1, 1), make_date(y + 1, 1, 1))))",
+}
+
+
+def _yf(a: str, b: str, convention: str) -> str:
+    return _YF[convention].format(a=a, b=b)
+
+
+@_query(
+    "year_fractions",
+    f"WITH d AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + (l_partkey % 1500)::INT AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {', '.join(f'{_r(_yf('a', 'b', c))} AS {n}' for c, n in zip(finance.DAY_COUNTS, ('act360', 'act365', 'thirty', 'actual'), strict=True))}, {_r('-(' + _yf('a', 'b', 'act/act') + ')')} AS turned FROM d",
+)
+def _year_fractions(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("a"), F.date_add(F.to_date("l_shipdate"), (F.col("l_partkey") % 1500).cast("int")).alias("b"))
+    figures = [finance.year_fraction(a, b, c).alias(n) for c, n in zip(finance.DAY_COUNTS, ("act360", "act365", "thirty", "actual"), strict=True)]
+    return d.select("l_orderkey", "l_linenumber", *figures, (finance.year_fraction(b, a, "act/act") + 0.0).alias("turned"))
+
+
+@_query(
+    "discount_factors",
+    f"WITH p AS (SELECT p_partkey, -0.02 + p_size / 500 AS r, p_size / 4 AS t FROM part) SELECT p_partkey, {_r('exp(-r * t)')} AS continuous, {_r('pow(1 + r, -t)')} AS annual, {_r('pow(1 + r / 4, -4 * t)')} AS quarterly FROM p",
+)
+def _discounts(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    r, t = -0.02 + F.col("p_size") / 500, F.col("p_size") / 4
+    return part.select("p_partkey", finance.discount_factor(r, t).alias("continuous"), finance.discount_factor(r, t, 1).alias("annual"), finance.discount_factor(r, t, 4).alias("quarterly"))
+
+
+_NODES = [(0.5, 0.02), (1.0, 0.022), (2.0, 0.021), (5.0, 0.028), (10.0, 0.03)]
+_NODE_SQL = "nodes AS (SELECT t AS t0, r AS r0, lead(t) OVER (ORDER BY t) AS t1, lead(r) OVER (ORDER BY t) AS r1 FROM (VALUES (0::DOUBLE, 0.02::DOUBLE), (0.5, 0.02), (1.0, 0.022), (2.0, 0.021), (5.0, 0.028), (10.0, 0.03), (100.0, 0.03)) v(t, r))"
+_ZERO = "(SELECT r0 + ({t} - t0) / (t1 - t0) * (r1 - r0) FROM nodes WHERE t0 <= {t} AND {t} < t1)"
+
+
+@_query(
+    "yield_curve",
+    f"WITH {_NODE_SQL}, p AS (SELECT p_partkey, (p_size / 4)::DOUBLE AS t FROM part), z AS (SELECT p_partkey, t, {_ZERO.format(t='p.t')} AS z, {_ZERO.format(t='(p.t + 1)')} AS z2 FROM p) SELECT p_partkey, {_r('z')} AS zero, {_r('exp(-z * t)')} AS factor, {_r('z2 * (t + 1) - z * t')} AS forward FROM z",
+)
+def _curve(spark, sf_dir):
+    t = F.col("p_size") / 4
+    zero = finance.zero_rate(t, _NODES)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", zero.alias("zero"), finance.discount_factor(zero, t).alias("factor"), finance.forward_rate(t, t + 1, _NODES).alias("forward"))
+
+
+_OPEN = "dayofweek({d}) NOT IN (0, 6) AND {d} <> DATE '2022-03-31'"
+
+
+def _rolled(day: str, sign: str) -> str:
+    days = f"list_transform(range(0, 14), lambda k: ({day} {sign} k::INT)::DATE)"
+    return f"list_filter({days}, lambda x: {_OPEN.format(d='x')})[1]"
+
+
+def _modified(day: str) -> str:
+    return f"CASE WHEN month({_rolled(day, '+')}) = month({day}) THEN {_rolled(day, '+')} ELSE {_rolled(day, '-')} END"
+
+
+_HOLIDAYS = F.array(F.lit("2022-03-31").cast("date"))
+
+
+@_query("business_days", f"WITH d AS (SELECT p_partkey, DATE '2022-03-01' + (p_partkey % 365)::INT AS d FROM part) SELECT p_partkey, {_OPEN.format(d='d')} AS open, {_rolled('d', '+')} AS following, {_rolled('d', '-')} AS preceding, {_modified('d')} AS modified FROM d")
+def _business(spark, sf_dir):
+    d = F.date_add(F.lit("2022-03-01").cast("date"), (F.col("p_partkey") % 365).cast("int"))
+    moves = [finance.adjust_day(d, c, _HOLIDAYS).alias(n) for c, n in (("following", "following"), ("preceding", "preceding"), ("modified_following", "modified"))]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", finance.is_business_day(d, _HOLIDAYS).alias("open"), *moves)
+
+
+def _bonds_of_parts(spark, sf_dir):
+    """Bonds with odd first periods and month ends: p_partkey, issue, maturity, settlement, coupon, y."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    issue = F.date_add(F.lit("2019-03-31").cast("date"), (F.col("p_partkey") % 97).cast("int"))
+    maturity = F.date_add(F.add_months(issue, 30 + F.col("p_size") % 40), (F.col("p_partkey") % 5).cast("int"))
+    settlement = F.date_add(F.lit("2021-01-10").cast("date"), (F.col("p_partkey") % 200).cast("int"))
+    return part.select("p_partkey", issue.alias("issue"), maturity.alias("maturity"), settlement.alias("settlement"), (0.01 + F.col("p_size") / 1000).alias("coupon"), (-0.01 + (F.col("p_partkey") % 70) / 1000).alias("y"))
+
+
+_BONDS = (
+    "WITH i AS (SELECT p_partkey, p_size, p_partkey AS k, DATE '2019-03-31' + (p_partkey % 97)::INT AS issue FROM part), b AS (SELECT p_partkey, issue, (issue + to_months(30 + p_size % 40))::DATE + (k % 5)::INT AS maturity, DATE '2021-01-10' + (k % 200)::INT AS settlement, 0.01 + p_size / 1000 AS coupon, -0.01 + (k % 70) / 1000 AS y FROM i), "
+    "s AS (SELECT b.*, (maturity - to_months(6 * unnest(range(0, 20))::INT))::DATE AS raw FROM b), m AS (SELECT * EXCLUDE (raw), CASE WHEN last_day(maturity) = maturity THEN last_day(raw) ELSE raw END AS d FROM s), "
+    "q AS (SELECT * FROM m WHERE d > issue UNION ALL SELECT *, issue AS d FROM b), "
+)
+
+
+@_query("coupon_schedule", f"{_BONDS} n AS (SELECT p_partkey, d, row_number() OVER (PARTITION BY p_partkey ORDER BY d) - 1 AS period FROM q) SELECT p_partkey, period, d AS boundary, {_modified('d')} AS payment FROM n")
+def _schedule(spark, sf_dir):
+    b = _bonds_of_parts(spark, sf_dir)
+    rows = b.select("p_partkey", F.posexplode(finance.accrual_dates(F.col("issue"), F.col("maturity"), 2)).alias("period", "boundary"))
+    return rows.select("p_partkey", F.col("period").cast("long").alias("period"), "boundary", finance.adjust_day(F.col("boundary"), "modified_following", _HOLIDAYS).alias("payment"))
+
+
+def _valued_bonds(spark, sf_dir):
+    """Those bonds with their flows, accrued interest and values at the yield y."""
+    c = F.col
+    b = _bonds_of_parts(spark, sf_dir).withColumn("accrual", finance.accrual_dates(c("issue"), c("maturity"), 2))
+    b = b.withColumns({"flows": finance.bond_flows(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act", "modified_following", _HOLIDAYS), "accrued": finance.accrued_interest(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act")})
+    return b.withColumn("v", finance.bond_values(c("flows"), c("accrued"), c("y"), 2))
+
+
+@_query(
+    "fixed_rate_bond",
+    f"{_BONDS} n AS (SELECT *, lag(d) OVER (PARTITION BY p_partkey ORDER BY d) AS a FROM q), f AS (SELECT *, 100 * coupon * {_yf('a', 'd', 'act/act')} + CASE WHEN d = maturity THEN 100 ELSE 0 END AS amount, {_modified('d')} AS paid, CASE WHEN a <= settlement AND settlement < d THEN 100 * coupon * {_yf('a', 'settlement', 'act/act')} ELSE 0 END AS acc FROM n WHERE a IS NOT NULL), "
+    f"t AS (SELECT *, CASE WHEN paid > settlement THEN {_yf('settlement', 'paid', 'act/act')} END AS tau FROM f), w AS (SELECT *, CASE WHEN tau IS NULL THEN 0 ELSE amount / pow(1 + y / 2, 2 * tau) END AS pv FROM t), "
+    f"g AS (SELECT p_partkey, any_value(y) AS y, sum(pv) AS dirty, sum(tau * pv) AS weighted, sum(acc) AS accrued FROM w GROUP BY 1) SELECT p_partkey, {_r('dirty')} AS dirty, {_r('dirty - accrued')} AS clean, {_r('accrued')} AS accrued, {_r('weighted / dirty')} AS macaulay, {_r('weighted / dirty / (1 + y / 2)')} AS modified, {_r('weighted / (1 + y / 2) * 0.0001')} AS dv01 FROM g",
+)
+def _bond(spark, sf_dir):
+    return _valued_bonds(spark, sf_dir).select("p_partkey", "v.dirty", "v.clean", "accrued", "v.macaulay", "v.modified", "v.dv01")
+
+
+@_query("yield_to_maturity", f"SELECT p_partkey, {_r('-0.01 + (p_partkey % 70) / 1000')} AS ytm FROM part")
+def _ytm(spark, sf_dir):
+    """Yields found from the clean prices at known yields."""
+    c = F.col
+    return _valued_bonds(spark, sf_dir).select("p_partkey", finance.yield_to_maturity(c("flows"), c("accrued"), c("v.clean"), c("coupon"), 2).alias("ytm"))
+
+
+def _normal(x: str) -> str:
+    """The normal distribution by Simpson's rule from 0, for the check only."""
+    return f"(0.5 + ({x}) / 2400 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 801), lambda j: CASE WHEN j IN (0, 800) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(({x}) * j / 800, 2) / 2))))"
+
+
+def _option_inputs(spark, sf_dir):
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", price.alias("s"), (price * (0.8 + size / 125)).alias("k"), (0.1 + size / 50).alias("t"), F.lit(0.03).alias("r"), F.lit(0.01).alias("q"), (0.1 + (F.col("p_partkey") % 40) / 100).alias("v"))
+
+
+def _greeks_sql(call: bool, dividend: str, rho: str) -> str:
+    """Greeks of calls, or of puts by parity."""
+    turn = lambda of_call, less: of_call if call else f"{of_call} - ({less})"
+    price = turn("s * dq * n1 - k * dr * n2", "s * dq - k * dr")
+    theta = turn("-s * dq * dens * v / (2 * sqrt(t)) - r * k * dr * n2 + q * s * dq * n1", "q * s * dq - r * k * dr")
+    shown = {"price": price, "delta": turn("dq * n1", "dq"), "gamma": "dq * dens / (s * v * sqrt(t))", "vega": "s * dq * sqrt(t) * dens", "theta": theta, "theta_daily": f"({theta}) / 365", "rho": rho.format(price=price), "time_value": f"greatest(({price}) - greatest({'s - k' if call else 'k - s'}, 0), 0)"}
+    return (
+        f"WITH o AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * (0.8 + p_size / 125) AS k, 0.1 + p_size / 50 AS t, 0.03::DOUBLE AS r, {dividend}::DOUBLE AS q, 0.1 + (p_partkey % 40) / 100 AS v FROM part), d AS (SELECT *, (ln(s / k) + (r - q + v * v / 2) * t) / (v * sqrt(t)) AS d1, exp(-q * t) AS dq, exp(-r * t) AS dr FROM o), e AS (SELECT *, d1 - v * sqrt(t) AS d2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS dens FROM d), "
+        f"g AS (SELECT *, {_normal('d1')} AS n1, {_normal('d2')} AS n2 FROM e) SELECT p_partkey, {', '.join(f'{_r(x)} AS {n}' for n, x in shown.items())} FROM g"
+    )
+
+
+_GREEKS = ("price", "delta", "gamma", "vega", "theta", "theta_daily", "rho", "time_value")
+
+
+@_query("black_scholes_call", _greeks_sql(True, "0.01", "k * t * dr * n2"))
+def _bs_call(spark, sf_dir):
+    return finance.option_greeks(_option_inputs(spark, sf_dir), True, *[F.col(n) for n in "sktrqv"]).select("p_partkey", *_GREEKS)
+
+
+@_query("black_scholes_put", _greeks_sql(False, "0.01", "k * t * dr * n2 - k * t * dr"))
+def _bs_put(spark, sf_dir):
+    return finance.option_greeks(_option_inputs(spark, sf_dir), False, *[F.col(n) for n in "sktrqv"]).select("p_partkey", *_GREEKS)
+
+
+@_query("black_76", _greeks_sql(True, "0.03", "-t * ({price})"))
+def _b76(spark, sf_dir):
+    return finance.black_76(_option_inputs(spark, sf_dir), True, *[F.col(n) for n in "sktrv"]).select("p_partkey", *_GREEKS)
+
+
+@_query("implied_volatility", f"SELECT p_partkey, {_r('0.25 + (p_partkey % 40) / 100')} AS of_call, {_r('0.25 + (p_partkey % 40) / 100')} AS of_put, {_r('0')} AS parity FROM part")
+def _implied(spark, sf_dir):
+    """Volatilities found from the prices at known ones, high enough for the prices to tell them to six digits."""
+    s, k, t, r, q, v = (F.col(n) for n in "sktrqv")
+    inputs = _option_inputs(spark, sf_dir).withColumn("v", F.col("v") + 0.15)
+    both = finance.option_greeks(inputs, True, s, k, t, r, q, v).select("p_partkey", *"sktrqv", F.col("price").alias("c"))
+    both = finance.option_greeks(both, False, s, k, t, r, q, v)
+    solved = [finance.implied_volatility(call, F.col(n), s, k, t, r, q).alias(a) for call, n, a in ((True, "c", "of_call"), (False, "price", "of_put"))]
+    return both.select("p_partkey", *solved, finance.parity_gap(F.col("c"), F.col("price"), s, k, t, r, q).alias("parity"))
+
+
+@_query(
+    "option_expiry",
+    "WITH o AS (SELECT p_partkey, p_retailprice AS k, p_size / 2 AS m, unnest(range(0, 9)) AS step FROM part), u AS (SELECT *, k * (0.8 + 0.05 * step) AS u FROM o) "
+    f"SELECT p_partkey, step, {_r('10 * (greatest(u - k, 0) - m)')} AS call_bought, {_r('10 * (m - greatest(k - u, 0))')} AS put_sold, {_r('k + m')} AS call_even, {_r('k - m')} AS put_even, {_r('NULL')} AS call_profit, {_r('10 * m')} AS call_loss, {_r('10 * m')} AS put_profit, {_r('10 * (k - m)')} AS put_loss FROM u",
+)
+def _expiry(spark, sf_dir):
+    k, m, size = F.col("p_retailprice"), F.col("p_size") / 2, F.lit(10.0)
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("step"))
+    u = k * (0.8 + 0.05 * F.col("step"))
+    shown = {f"{side}_{short}": c for side, call in (("call", True), ("put", False)) for short, c in zip(("even", "profit", "loss"), finance.expiry_profile(call, call, k, m, size).values(), strict=True)}
+    return points.select("p_partkey", "step", finance.expiry_result(True, True, k, m, size, u).alias("call_bought"), finance.expiry_result(False, False, k, m, size, u).alias("put_sold"), *[c.alias(n) for n, c in shown.items()])
+
+
+@_query(
+    "contract_values",
+    "WITH x AS (SELECT c_custkey, c_acctbal AS equity, r_name AS cur, CASE WHEN r_regionkey = 0 THEN 1.0::DOUBLE WHEN r_regionkey = 4 THEN NULL WHEN r_regionkey % 2 = 1 THEN 1 + r_regionkey / 10 ELSE 1 / (1 + r_regionkey / 10) END AS fx, 50 + c_custkey % 100 AS entry, 50 + c_custkey % 100 - 2.5 + c_custkey % 6 AS stop FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    "w AS (SELECT *, equity > 0 AND fx IS NOT NULL AS ok, abs(entry - stop) * 5 * fx AS risk, entry * 5 * fx AS unit FROM x), z AS (SELECT *, equity * 0.02 / risk AS wanted, equity * 1.5 / unit AS levered FROM w), y AS (SELECT *, floor(least(wanted, levered, 2000 / unit) / 0.1::DOUBLE + 1e-12) * 0.1::DOUBLE AS whole FROM z), v AS (SELECT *, CASE WHEN whole + 1e-12 < 0.5 THEN 0 ELSE whole END AS size FROM y) "
+    f"SELECT c_custkey, {_r('fx')} AS fx, {_r('3 * entry * 5 * fx')} AS notional, {_r('3 * risk')} AS at_stop, {_r('(stop - entry) * 3 * 5 * fx')} AS result, {_r('0.25 * 5 * fx')} AS tick, {_r('CASE WHEN ok THEN size END')} AS size, {_r('CASE WHEN ok THEN size * risk END')} AS risk_amount, CASE WHEN ok THEN wanted > levered END AS capped_by_leverage, CASE WHEN ok THEN least(wanted, levered) > 2000 / unit END AS capped_by_notional FROM v",
+)
+def _contracts(spark, sf_dir):
+    """Positions in five currencies of which one is the account's, two are quoted against it, one turned round, and one not at all."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    region = read("region")
+    at_home = region.filter("r_regionkey = 0").select(F.col("r_name").alias("home"))
+    rates = region.filter("r_regionkey between 1 and 3").join(F.broadcast(at_home))
+    turned = F.col("r_regionkey") % 2 == 0
+    rates = rates.select(F.when(turned, F.col("home")).otherwise(F.col("r_name")).alias("base"), F.when(turned, F.col("r_name")).otherwise(F.col("home")).alias("quote"), (1 + F.col("r_regionkey") / 10).alias("rate"))
+    held = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(F.broadcast(at_home))
+    held = contracts.with_fx(held, rates, "r_name", "home")
+    entry, fx, five, three = (50 + F.col("c_custkey") % 100).cast("double"), F.col("fx"), F.lit(5.0), F.lit(3.0)
+    stop = entry - 2.5 + F.col("c_custkey") % 6
+    sized = contracts.contract_size(F.col("c_acctbal"), 0.02, entry, stop, five, fx, 1.5, 2000.0, 0.1, 0.5)
+    return held.select("c_custkey", "fx", contracts.notional_value(entry, three, five, fx).alias("notional"), contracts.stop_risk(entry, stop, three, five, fx).alias("at_stop"), contracts.profit(entry, stop, three, F.lit(True), five, fx).alias("result"), contracts.tick_value(F.lit(0.25), five, fx).alias("tick"), *[c.alias(n) for n, c in sized.items()])
