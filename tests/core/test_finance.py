@@ -2,6 +2,9 @@
 
 import datetime as dt
 import math
+import subprocess
+import sys
+from pathlib import Path
 from statistics import NormalDist
 
 import pytest
@@ -134,3 +137,10 @@ def test_rates_turn_round_but_do_not_cross(spark):
     pairs = spark.createDataFrame([("EUR", "USD"), ("USD", "EUR"), ("EUR", "JPY"), ("X", "X"), ("BAD", "USD"), (None, "USD")], "f string, t string")
     got = {(r.f, r.t): r.fx for r in contracts.with_fx(pairs, rates, "f", "t").collect()}
     assert got == {("EUR", "USD"): 1.25, ("USD", "EUR"): 0.8, ("EUR", "JPY"): None, ("X", "X"): 1.0, ("BAD", "USD"): None, (None, "USD"): None}
+
+
+def test_queries_register_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

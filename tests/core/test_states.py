@@ -303,3 +303,40 @@ def test_first_outputs_and_known_values(spark, walk):
 def test_a_bundle_needs_few_exchanges(spark):
     plan = catalog.QUERIES["trend_bundle"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("FlatMapGroupsInPandas [") <= 2
+
+
+def turns_by_rescan(f, distance):
+    """Turns as (bar of the turn, side, confirming bar), each bar's running extreme found anew from the last turn."""
+    found = []
+
+    def running(k, side):
+        x = f.high if side > 0 else -f.low
+        if not found:
+            return max(range(k + 1), key=lambda j: (x[j], -j))
+        turn, _, confirmed = found[-1]
+        start = max(range(turn + 1, confirmed + 1), key=lambda j: (x[j], j * side))
+        later = [j for j in range(confirmed + 1, k + 1) if x[j] > x[start]]
+        return max(later, key=lambda j: (x[j], -j)) if later else start
+
+    for k in range(len(f)):
+        if math.isnan(distance[k]):
+            continue
+        for side in [1, -1] if not found else [-found[-1][1]]:
+            j = running(k, side)
+            price = f.high[j] if side > 0 else f.low[j]
+            if j < k and (f.close[k] <= price - distance[k] if side > 0 else f.close[k] >= price + distance[k]):
+                found.append((j, side, k))
+                break
+    return found
+
+
+def test_threshold_zigzag(walk):
+    f, df = walk
+    before = f.close.shift()
+    tr = np.fmax(f.high - f.low, np.fmax(abs(f.high - before), abs(f.low - before)))
+    want = turns_by_rescan(f, (2.0 * tr.rolling(5).mean()).to_numpy())
+    got = run(df, "threshold_zigzag", length=5, multiple=2.0)
+    shown = [(k - int(got.age[k]), got["pivot"][k], k) for k in range(N) if not np.isnan(got["pivot"][k])]
+    assert len(want) > 10 and [w[2] for w in want] == [s[2] for s in shown] and [w[0] for w in want] == [s[0] for s in shown]
+    assert all(p == (f.high[j] if side > 0 else f.low[j]) for (_, p, _), (j, side, _) in zip(shown, want, strict=True))
+    assert got.direction[want[0][2] - 1] == 0 and all(got.direction[k] == -side for _, side, k in want)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import contracts, finance
 from .operators import adaptive, averages, oscillators, recursive, structure, swings, volatility  # noqa: F401  they register themselves
 from .operators.spec import OFF_TIE, OPERATORS, apply, build, rounded, to_sql
-from .plans import align, crosssection, evaluate, statistics
+from .plans import align, crosssection, evaluate, legs, statistics
 from .sources.bars import EVENT_BARS_SQL, ORDER_BARS_SQL, event_bars, order_bars, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,14 +433,15 @@ def _modified(day: str) -> str:
     return f"CASE WHEN month({_rolled(day, '+')}) = month({day}) THEN {_rolled(day, '+')} ELSE {_rolled(day, '-')} END"
 
 
-_HOLIDAYS = F.array(F.lit("2022-03-31").cast("date"))
+def _holidays():
+    return F.array(F.lit("2022-03-31").cast("date"))
 
 
 @_query("business_days", f"WITH d AS (SELECT p_partkey, DATE '2022-03-01' + (p_partkey % 365)::INT AS d FROM part) SELECT p_partkey, {_OPEN.format(d='d')} AS open, {_rolled('d', '+')} AS following, {_rolled('d', '-')} AS preceding, {_modified('d')} AS modified FROM d")
 def _business(spark, sf_dir):
     d = F.date_add(F.lit("2022-03-01").cast("date"), (F.col("p_partkey") % 365).cast("int"))
-    moves = [finance.adjust_day(d, c, _HOLIDAYS).alias(n) for c, n in (("following", "following"), ("preceding", "preceding"), ("modified_following", "modified"))]
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", finance.is_business_day(d, _HOLIDAYS).alias("open"), *moves)
+    moves = [finance.adjust_day(d, c, _holidays()).alias(n) for c, n in (("following", "following"), ("preceding", "preceding"), ("modified_following", "modified"))]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", finance.is_business_day(d, _holidays()).alias("open"), *moves)
 
 
 def _bonds_of_parts(spark, sf_dir):
@@ -463,14 +464,14 @@ _BONDS = (
 def _schedule(spark, sf_dir):
     b = _bonds_of_parts(spark, sf_dir)
     rows = b.select("p_partkey", F.posexplode(finance.accrual_dates(F.col("issue"), F.col("maturity"), 2)).alias("period", "boundary"))
-    return rows.select("p_partkey", F.col("period").cast("long").alias("period"), "boundary", finance.adjust_day(F.col("boundary"), "modified_following", _HOLIDAYS).alias("payment"))
+    return rows.select("p_partkey", F.col("period").cast("long").alias("period"), "boundary", finance.adjust_day(F.col("boundary"), "modified_following", _holidays()).alias("payment"))
 
 
 def _valued_bonds(spark, sf_dir):
     """Those bonds with their flows, accrued interest and values at the yield y."""
     c = F.col
     b = _bonds_of_parts(spark, sf_dir).withColumn("accrual", finance.accrual_dates(c("issue"), c("maturity"), 2))
-    b = b.withColumns({"flows": finance.bond_flows(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act", "modified_following", _HOLIDAYS), "accrued": finance.accrued_interest(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act")})
+    b = b.withColumns({"flows": finance.bond_flows(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act", "modified_following", _holidays()), "accrued": finance.accrued_interest(c("accrual"), c("settlement"), F.lit(100.0), c("coupon"), "act/act")})
     return b.withColumn("v", finance.bond_values(c("flows"), c("accrued"), c("y"), 2))
 
 
@@ -575,3 +576,32 @@ def _contracts(spark, sf_dir):
     stop = entry - 2.5 + F.col("c_custkey") % 6
     sized = contracts.contract_size(F.col("c_acctbal"), 0.02, entry, stop, five, fx, 1.5, 2000.0, 0.1, 0.5)
     return held.select("c_custkey", "fx", contracts.notional_value(entry, three, five, fx).alias("notional"), contracts.stop_risk(entry, stop, three, five, fx).alias("at_stop"), contracts.profit(entry, stop, three, F.lit(True), five, fx).alias("result"), contracts.tick_value(F.lit(0.25), five, fx).alias("tick"), *[c.alias(n) for n, c in sized.items()])
+
+
+_BAR_LISTS = "l AS (SELECT series, ts, close, list(low) OVER f AS lows, list(high) OVER f AS highs, list(close) OVER f AS closes FROM bars WINDOW f AS (PARTITION BY series ORDER BY ts ROWS {n} PRECEDING))"
+
+
+@_query(
+    "window_legs",
+    f"{_B}, {_BAR_LISTS.format(n=29)}, e AS (SELECT *, list_position(lows, list_min(lows)) AS lo, 31 - list_position(list_reverse(highs), list_max(highs)) AS hi FROM l WHERE len(lows) = 30), g AS (SELECT *, hi > lo AS up, CASE WHEN hi > lo THEN lows[lo] ELSE highs[hi] END AS a, CASE WHEN hi > lo THEN highs[hi] ELSE lows[lo] END AS z FROM e), s AS (SELECT *, CASE WHEN z <> a THEN (z - close) / (z - a) END AS share FROM g) "
+    f"SELECT series, ts, up, {_r('a')} AS leg_start, {_r('z')} AS leg_end, abs(hi - lo)::BIGINT AS leg_bars, {_r('share')} AS share, CASE WHEN share < 0 THEN 'extension' WHEN share < 0.618::DOUBLE THEN 'correction' WHEN share <= 1 THEN 'deep_correction' WHEN share > 1 THEN 'reversal' END AS zone FROM s",
+)
+def _window_legs(spark, sf_dir):
+    return legs.window_legs(event_bars(spark, sf_dir), 30)
+
+
+@_query(
+    "path_efficiency",
+    f"{_B}, {_BAR_LISTS.format(n=19)}, m AS (SELECT *, list_sum(list_transform(range(2, 21), lambda i: abs(closes[i] - closes[i - 1]))) AS path FROM l WHERE len(closes) = 20) SELECT series, ts, {_r('CASE WHEN path > 0 THEN abs(closes[20] - closes[1]) / path ELSE 0 END')} AS efficiency FROM m",
+)
+def _efficiency(spark, sf_dir):
+    return legs.path_efficiency(event_bars(spark, sf_dir), 20)
+
+
+@_query(
+    "swing_sequences",
+    f"{_B}, {_BAR_LISTS.format(n=6)}, p AS (SELECT series, ts, CASE WHEN len(highs) = 7 AND highs[4] > list_max(highs[1:3]) AND highs[4] > list_max(highs[5:7]) THEN highs[4] END AS ph, CASE WHEN len(lows) = 7 AND lows[4] < list_min(lows[1:3]) AND lows[4] < list_min(lows[5:7]) THEN lows[4] END AS pl FROM l), q AS (SELECT *, list(ph) FILTER (ph IS NOT NULL) OVER f AS hs, list(pl) FILTER (pl IS NOT NULL) OVER f AS ls FROM p WINDOW f AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT series, ts, {_r('ph')} AS ph, {_r('pl')} AS pl, CASE WHEN coalesce(len(hs), 0) < 2 OR coalesce(len(ls), 0) < 2 THEN 'unknown' WHEN hs[-1] > hs[-2] AND ls[-1] > ls[-2] THEN 'up' WHEN hs[-1] < hs[-2] AND ls[-1] < ls[-2] THEN 'down' ELSE 'mixed' END AS sequence FROM q",
+)
+def _sequences(spark, sf_dir):
+    return legs.swing_sequences(event_bars(spark, sf_dir), 3)

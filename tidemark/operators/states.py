@@ -263,4 +263,30 @@ def open_gaps(high: np.ndarray, low: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown, filtered_stops, open_gaps)}
+def threshold_turns(close: np.ndarray, high: np.ndarray, low: np.ndarray, distance: np.ndarray) -> list[np.ndarray]:
+    """Direction of the leg (0 before any turn), and on bars that confirm a turn its price and its age in bars.
+
+    The running extreme of the leg is a turn once a later close is `distance` of that bar away from it; bars without a
+    distance only extend it. Until the first turn both extremes run and the high goes first. The next leg starts from the
+    farthest bar after the turn: the earliest of equal lows, the latest of equal highs.
+    """
+    out = _lines(len(close), 3)
+    prices, at, run = {1: high, -1: low}, {1: 0, -1: 0}, 0
+    for k, c in enumerate(close):
+        sides = [s for s in (1, -1) if run in (0, s)]
+        for s in sides:
+            if (prices[s][k] - prices[s][at[s]]) * s > 0:
+                at[s] = k
+        for s in sides if not math.isnan(distance[k]) else []:
+            turn = prices[s][at[s]]
+            if at[s] < k and (c - (turn - s * distance[k])) * s <= 0:
+                out[1][k], out[2][k] = turn, k - at[s]
+                after = prices[-s][at[s] + 1 : k + 1]
+                at[-s] = at[s] + 1 + int(np.argmin(after)) if s > 0 else k - int(np.argmax(after[::-1]))
+                run = -s
+                break
+        out[0][k] = run
+    return out
+
+
+KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown, filtered_stops, open_gaps, threshold_turns)}

@@ -163,3 +163,13 @@ def adaptive_chandelier(length=30, atr_mult=4.5, body_filter_atr=0.8, danger_dis
 def fvg_fill(max_zones=20):
     lines = ("value", "created", "filled", "open_bullish", "open_bearish")
     return op([{c: Fold("open_gaps", "high,low", (max_zones,), k) for k, c in enumerate(lines)}], list(lines))
+
+
+@operator()
+def threshold_zigzag(length=14, multiple=3.0):
+    turns = ("threshold_turns", "close,high,low,distance", ())
+    return op(
+        [{"distance": since(f"{float(multiple)} * avg(tr) {w(length)}", length)}, {"direction": Fold(*turns, 0), "pivot": Fold(*turns, 1), "age": Fold(*turns, 2)}],
+        ["direction", "pivot", "age"],
+        1,
+    )
