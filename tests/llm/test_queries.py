@@ -19,12 +19,15 @@ COLUMNS = {
     "op8": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op10": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op12": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
 }
 
 
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_query(spark, name):
-    table = "pages" if name.startswith("op4") else "documents"
+    table = {"op4": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     rows = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     out = Q.QUERIES[name](spark, FOLDER)
     assert set(COLUMNS[name.split("_")[0]]) <= set(out.columns)
@@ -32,6 +35,8 @@ def test_query(spark, name):
     if name.startswith("op5"):
         assert found.doc_id.nunique() == rows and (found.bins >= found.bound).all()
         assert found.groupby("sequence_id").length.sum().max() <= 1024
+    elif name.startswith("op11"):
+        assert set(found.anchor_id) <= set(range(0, 10**6, 50)) and found["rank"].between(1, 3).all()
     else:
         assert len(found) == rows
     if name.startswith("op2"):
@@ -42,7 +47,7 @@ def test_query(spark, name):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         want = con.execute(Q.SQL[name]).df()
-        key = found.columns[0]
+        key = [c for c in COLUMNS[name.split("_")[0]] if c != "negative_score"]
         assert set(want.columns) == set(found.columns)
         a, b = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (found, want))
         for c in a.columns:
