@@ -69,7 +69,6 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     rows = odd_texts()
     monkeypatch.setattr(suffixdedup, "MAX_BITS", 8)
     monkeypatch.setattr(suffixdedup, "MIN_BITS", 8)
-    monkeypatch.setattr(suffixdedup, "SEGMENT", 8)
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.drop_repeats(docs_of(spark, rows)).collect()]
     assert sorted(found, key=str) == sorted(plain_removal(rows), key=str)
 

@@ -3,10 +3,11 @@
 A byte goes if a string of SPAN bytes that covers it also starts, at any place, in a document with a smaller doc_id. Every such
 window has an anchor, the smallest hash among its GRAM-byte strings, so equal windows have equal anchors. Windows in a row with
 one anchor form a piece. Two Bloom filters, of anchors seen and of anchors seen again, let pass the pieces whose anchor may
-occur in several rows; false positives cost shuffle and change nothing. Equal pieces become one, kept with their smallest
-doc_id, and each bucket of different pieces with one anchor is sorted by a suffix array (`grouping.py`): neighbours in it
-that agree in SPAN bytes show the windows that a smaller document has too. Buckets of more than BUCKET different pieces, such
-as those at the edge of a line found everywhere, are dealt anew by whole windows, each of which is a bucket with one text.
+occur in several rows; false positives cost shuffle and change nothing. Places of equal pieces settle by their smallest doc_id
+alone. Only where different pieces share an anchor do their bytes leave the scan: many such buckets at a time are sorted by one
+suffix array (`grouping.py`), whose neighbours that agree in SPAN bytes show the windows that a smaller document has too.
+Buckets of more than BUCKET different pieces, such as those at the edge of a line found everywhere, are dealt anew by whole
+windows, each of which is a bucket with one text.
 
 Null texts count as empty; texts under SPAN bytes lose nothing. Documents with equal doc_ids take nothing from each other, and
 rows with a null doc_id neither lose nor take anything. Repeated rows get one result each. Long texts take memory in
@@ -26,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import drop_settled, settle, text_bytes
 from .grouping import suffix_array
 
 SPAN, GRAM = 50, 20
 #: A piece has at most so many windows, so constant texts make short pieces too.
 LONGEST = 4096
-#: Different pieces in a bucket that one suffix array takes.
-BUCKET = 2000
+#: Different pieces of one anchor that a suffix array takes, and pieces that one takes on average.
+BUCKET, TOGETHER = 2000, 4096
 #: Bytes of text hashed at once; bits of a filter and of the segments it travels in. A filter has a bit for each byte of text.
 CHUNK = 1 << 18
 MIN_BITS, MAX_BITS, SEGMENT = 1 << 20, 1 << 29, 1 << 19
@@ -104,73 +105,97 @@ def _put(bloom: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> None:
         np.bitwise_or.at(bloom, x >> 3, np.left_shift(np.uint8(1), (x & 7).astype(np.uint8)))
 
 
+SHAPE = "segment long, once binary, again binary"
+
+
+def _segments(once: np.ndarray, again: np.ndarray) -> Iterator[pa.RecordBatch]:
+    size = min(SEGMENT // 8, len(once))
+    for at in range(len(once) // size):
+        a, b = (x[at * size : (at + 1) * size] for x in (once, again))
+        if a.any() or b.any():
+            yield pa.RecordBatch.from_pydict({"segment": [at], "once": [zlib.compress(a.tobytes(), 1)], "again": [zlib.compress(b.tobytes(), 1)]})
+
+
+def _united(parts: DataFrame, tasks: int, bits: int) -> np.ndarray:
+    """The filters of tasks as one: set in one of them, or seen once by two. Segments merge in two steps if there are many."""
+
+    size = min(SEGMENT, bits) // 8
+
+    def merge(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        once, again = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for a, b in zip(frame.once, frame.again, strict=True):
+            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            again |= b | (once & a)
+            once |= a
+        return pd.DataFrame({"segment": [keys[0]], "once": [zlib.compress(once.tobytes(), 1)], "again": [zlib.compress(again.tobytes(), 1)]})
+
+    if tasks > 256:
+        parts = parts.groupBy("segment", F.pmod(F.spark_partition_id(), F.lit(int(tasks**0.5))).alias("part")).applyInPandas(merge, SHAPE)
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.groupBy("segment").applyInPandas(merge, SHAPE).select("segment", "again").toLocalIterator():
+        out[row.segment * size : (row.segment + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.again)), np.uint8)
+    return out
+
+
+def _bits_for(keys: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << int(keys).bit_length()))
+
+
 def seen_again(docs: DataFrame, bits: int) -> np.ndarray:
-    """The filter of anchors that several rows may hold. Tasks' filters travel in compressed segments, empty ones not at all."""
+    """The filter of anchors that several rows may hold."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for _, texts in _chunks(text_bytes(batch.column("text"))):
                 doc, _, _, anchor = anchored(texts)
-                if not len(doc):
-                    continue
-                order = np.lexsort((doc, anchor))
+                order = np.argsort(anchor, kind="stable")  # texts stay in order within an anchor
                 doc, anchor = doc[order], anchor[order]
-                fresh = np.append(True, anchor[1:] != anchor[:-1])
-                other = np.append(False, ~fresh[1:] & (doc[1:] != doc[:-1]))
-                own = _bits(anchor[fresh], bits)
+                same = anchor[1:] == anchor[:-1]
+                own = _bits(anchor[np.append(True, ~same)] if len(anchor) else anchor, bits)
                 known = _has(once, own)
                 _put(again, tuple(x[known] for x in own))
-                _put(again, _bits(anchor[other], bits))
+                _put(again, _bits(anchor[1:][same & (doc[1:] != doc[:-1])], bits))
                 _put(once, own)
-        for at in range(0, bits // SEGMENT):
-            a, b = (x[at * SEGMENT // 8 : (at + 1) * SEGMENT // 8] for x in (once, again))
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"segment": [at], "once": [zlib.compress(a.tobytes(), 1)], "again": [zlib.compress(b.tobytes(), 1)]})
+        yield from _segments(once, again)
 
-    def merge(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        once, again = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
-        for a, b in zip(frame.once, frame.again, strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            again |= b | (once & a)
-            once |= a
-        return pd.DataFrame({"segment": [keys[0]], "once": [zlib.compress(once.tobytes(), 1)], "again": [zlib.compress(again.tobytes(), 1)]})
+    return _united(docs.select("text").mapInArrow(fill, SHAPE), docs.rdd.getNumPartitions(), bits)
 
-    shape = "segment long, once binary, again binary"
-    parts = docs.select("text").mapInArrow(fill, shape)
-    some = F.pmod(F.spark_partition_id(), F.lit(max(1, int(docs.rdd.getNumPartitions() ** 0.5))))  # two steps keep every group small
-    merged = parts.groupBy("segment", some.alias("part")).applyInPandas(merge, shape).groupBy("segment").applyInPandas(merge, shape)
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "again").toLocalIterator():
-        out[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(bytes(row.again)), np.uint8)
-    return out
+
+def _filter_of(anchors: DataFrame, bits: int) -> np.ndarray:
+    """A filter of these anchors."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            _put(own, _bits(batch.column("anchor").to_numpy().view(np.uint64), bits))
+        yield from _segments(np.zeros_like(own), own)
+
+    return _united(anchors.select("anchor").mapInArrow(fill, SHAPE), anchors.rdd.getNumPartitions(), bits)
 
 
-def _pieces(docs: DataFrame, bloom, bits: int, contents: bool) -> DataFrame:
-    """Pieces of `docs` (doc_id, digest, text) that the filter lets pass: each text once for a batch with the smallest and
-    largest doc_id there, or each place that holds one."""
+def _pieces(docs: DataFrame, bloom, contents: bool) -> DataFrame:
+    """Pieces of `docs` (doc_id, digest, text) whose anchors the filter lets pass: their places, or each one's bytes once for
+    a batch. Anchor and hash together name a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = len(bloom.value) * 8
         for batch in batches:
-            ids, digests = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("digest").to_numpy()
+            ids, digests = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("digest").to_numpy(zero_copy_only=False)
             for begin, texts in _chunks(text_bytes(batch.column("text"))):
                 doc, start, end, anchor = anchored(texts)
-                passed = _has(bloom.value, _bits(anchor, bits))
-                doc, start, end, anchor = doc[passed], start[passed], end[passed], anchor[passed]
+                passed = np.flatnonzero(_has(bloom.value, _bits(anchor, bits)))
+                doc, start, end, anchor = doc[passed], start[passed], end[passed], anchor[passed].view(np.int64)
                 cut = [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
-                keys = [xxhash.xxh3_128_digest(x) for x in cut]
-                doc = doc + begin
+                keys = np.array([xxhash.xxh3_64_intdigest(x) for x in cut], np.uint64).view(np.int64)
                 if contents:
-                    found: dict[bytes, list] = {}
-                    for k, x, i, a in zip(keys, cut, ids[doc].tolist(), anchor.view(np.int64).tolist(), strict=True):
-                        known = found.setdefault(k, [a, x, i, i])
-                        known[2], known[3] = min(known[2], i), max(known[3], i)
-                    a, x, low, high = map(list, zip(*found.values(), strict=True)) if found else ([], [], [], [])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(list(found), pa.binary()), pa.array(x, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["anchor", "piece", "content", "low", "high"])
+                    _, first = np.unique(keys, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(keys[first]), pa.array([cut[k] for k in first], pa.binary())], ["anchor", "piece", "content"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids[doc], pa.int64()), pa.array(digests[doc], pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["piece", "doc_id", "digest", "first", "last"])
+                    doc = doc + begin
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys), pa.array(ids[doc], pa.int64()), pa.array(digests[doc], pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["anchor", "piece", "doc_id", "digest", "first", "last"])
 
-    return docs.mapInArrow(run, "anchor long, piece binary, content binary, low long, high long" if contents else "piece binary, doc_id long, digest long, first int, last int")
+    return docs.mapInArrow(run, "anchor long, piece long, content binary" if contents else "anchor long, piece long, doc_id long, digest long, first int, last int")
 
 
 def _merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,20 +239,21 @@ def _may_repeat(contents: list[bytes]) -> list[int]:
     return [k for k, w in enumerate(windows) if not twice.isdisjoint(w)]
 
 
-def _sort_bucket(key, table):
+def _sort_buckets(key, table):
+    """Many buckets at once: windows of different anchors differ, so they do not disturb each other."""
     contents, low = table.column("content").to_pylist(), table.column("low").to_numpy()
     some = _may_repeat(contents)
     found = repeats([contents[k] for k in some], low[some]) if len(some) > 1 else []
-    at = [some[k] for k, _, _ in found]
-    return pa.table({"piece": table.column("piece").take(pa.array(at, pa.int64())), "a": pa.array([a for _, a, _ in found], pa.int32()), "b": pa.array([b for _, _, b in found], pa.int32())})
+    at = pa.array([some[k] for k, _, _ in found], pa.int64())
+    return pa.table({"anchor": table.column("anchor").take(at), "piece": table.column("piece").take(at), "a": pa.array([a for _, a, _ in found], pa.int32()), "b": pa.array([b for _, _, b in found], pa.int32())})
 
 
 def _by_windows(many: DataFrame) -> DataFrame:
     """The same spans for pieces of crowded buckets: each window is a key, taken with its smallest doc_id."""
     at = F.explode(F.sequence(F.lit(1), F.octet_length("content") - (SPAN - 1))).alias("at")
-    windows = many.select("piece", "low", "content", at).select("piece", "low", F.col("at") - 1, F.expr(f"substring(content, at, {SPAN})").alias("window")).toDF("piece", "low", "a", "window")
+    windows = many.select("anchor", "piece", "low", "content", at).select("anchor", "piece", "low", (F.col("at") - 1).alias("a"), F.expr(f"substring(content, at, {SPAN})").alias("window"))
     least = windows.groupBy("window").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most").drop("most")
-    return windows.join(least, "window").filter("low > least").select("piece", F.col("a").cast("int"), (F.col("a") + SPAN).cast("int").alias("b"))
+    return windows.join(least, "window").filter("low > least").select("anchor", "piece", F.col("a").cast("int"), (F.col("a") + SPAN).cast("int").alias("b"))
 
 
 def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -235,21 +261,26 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << int(size).bit_length()))
-    bloom = spark.sparkContext.broadcast(seen_again(docs, bits))
-    contents = _pieces(docs, bloom, bits, True).groupBy("anchor", "piece", "content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    bloom = spark.sparkContext.broadcast(seen_again(docs, _bits_for(size)))
+    places = settle(_pieces(docs, bloom, False), "places")
+    pieces = settle(places.groupBy("anchor", "piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "pieces")
+    crowds = settle(pieces.groupBy("anchor").count().filter("count > 1"), "crowds")
+    extent = crowds.agg(F.count("*").alias("anchors"), F.sum("count").alias("pieces")).first()
+    known = spark.sparkContext.broadcast(_filter_of(crowds, _bits_for(16 * extent["anchors"])))
+    contents = _pieces(docs, known, True).groupBy("anchor", "piece").agg(F.first("content").alias("content"))
+    contents = contents.join(pieces.select("anchor", "piece", "low"), ["anchor", "piece"]).join(crowds, "anchor")
     contents = settle(contents, "contents")
-    crowd = contents.groupBy("anchor").count().filter("count > 1")
-    several = contents.join(crowd, "anchor").select("anchor", "piece", "content", "low", "count")
-    sorted_ = several.filter(F.col("count") <= bucket).groupBy("anchor").applyInArrow(_sort_bucket, "piece binary, a int, b int")
-    inner = settle(sorted_.union(_by_windows(several.filter(F.col("count") > bucket))), "inner-spans")
-    inner = inner.groupBy("piece").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    useful = contents.select("piece", "low", "high").join(inner, "piece", "left").filter("low < high OR inner IS NOT NULL").select("piece", "low", "inner")
-    places = _pieces(docs, bloom, bits, False).join(useful, "piece")
+    parts = max(1, -(-(extent["pieces"] or 0) // TOGETHER))
+    small = contents.filter(F.col("count") <= bucket).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("part"))
+    small = small.applyInArrow(_sort_buckets, "anchor long, piece long, a int, b int")
+    inner = small.union(_by_windows(contents.filter(F.col("count") > bucket))).groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
+    useful = pieces.join(inner, ["anchor", "piece"], "left").filter("low < high OR inner IS NOT NULL").drop("high")
     whole = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     part = F.transform("inner", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"]).alias("b")))
-    spans = places.select("doc_id", "digest", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)).alias("span"))
-    return spans.groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans"))
+    spans = places.join(useful, ["anchor", "piece"]).select("doc_id", "digest", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)).alias("span"))
+    spans = settle(spans.groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans")), "spans")
+    drop_settled(spark, places, pieces, crowds, contents)
+    return spans
 
 
 def _without(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
