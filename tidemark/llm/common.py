@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,12 @@ def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its finished plans: only then are their shuffle files removed, else at the next of its half-hourly turns."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sheltered(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """`docs` with the columns not needed under names that no step uses, and a function that gives them their names back.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, settle, text_bytes
+from .common import drop_settled, release_shuffles, settle, text_bytes
 from .grouping import suffix_array
 
 SPAN, GRAM = 50, 20
@@ -264,22 +264,29 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     bloom = spark.sparkContext.broadcast(seen_again(docs, _bits_for(size)))
     places = settle(_pieces(docs, bloom, False), "places")
     pieces = settle(places.groupBy("anchor", "piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "pieces")
+    release_shuffles(spark)
     crowds = settle(pieces.groupBy("anchor").count().filter("count > 1"), "crowds")
     extent = crowds.agg(F.count("*").alias("anchors"), F.sum("count").alias("pieces")).first()
     known = spark.sparkContext.broadcast(_filter_of(crowds, _bits_for(16 * extent["anchors"])))
     contents = _pieces(docs, known, True).groupBy("anchor", "piece").agg(F.first("content").alias("content"))
     contents = contents.join(pieces.select("anchor", "piece", "low"), ["anchor", "piece"]).join(crowds, "anchor")
     contents = settle(contents, "contents")
+    release_shuffles(spark)
     parts = max(1, -(-(extent["pieces"] or 0) // TOGETHER))
     small = contents.filter(F.col("count") <= bucket).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("part"))
     small = small.applyInArrow(_sort_buckets, "anchor long, piece long, a int, b int")
     inner = small.union(_by_windows(contents.filter(F.col("count") > bucket))).groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    useful = pieces.join(inner, ["anchor", "piece"], "left").filter("low < high OR inner IS NOT NULL").drop("high")
+    useful = settle(pieces.join(inner, ["anchor", "piece"], "left").filter("low < high OR inner IS NOT NULL").drop("high"), "useful")
+    drop_settled(spark, pieces, crowds, contents)
+    del inner, small, pieces, crowds, contents
+    release_shuffles(spark)
     whole = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     part = F.transform("inner", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"]).alias("b")))
     spans = places.join(useful, ["anchor", "piece"]).select("doc_id", "digest", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)).alias("span"))
     spans = settle(spans.groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans")), "spans")
-    drop_settled(spark, places, pieces, crowds, contents)
+    drop_settled(spark, places, useful)
+    del places, useful
+    release_shuffles(spark)
     return spans
 
 
