@@ -34,7 +34,7 @@ SPAN, GRAM = 50, 20
 #: A piece has at most so many windows, so constant texts make short pieces too.
 LONGEST = 4096
 #: Different pieces of one anchor that a suffix array takes, and pieces that one takes on average.
-BUCKET, TOGETHER = 2000, 4096
+BUCKET, TOGETHER = 20_000, 4096
 #: Bytes of text hashed at once; bits of a filter and of the segments it travels in. A filter has a bit for each byte of text.
 CHUNK = 1 << 18
 MIN_BITS, MAX_BITS, SEGMENT = 1 << 20, 1 << 29, 1 << 19
@@ -228,23 +228,44 @@ def repeats(contents: list[bytes], low: np.ndarray) -> list[tuple[int, int, int]
     return out
 
 
-def _may_repeat(contents: list[bytes]) -> list[int]:
-    """Contents with a window that another content may have: only these need sorting."""
-    windows = [{hash(c[i : i + SPAN]) for i in range(len(c) - SPAN + 1)} for c in contents]
+def _shared_parts(contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """(content, first, end): maximal parts of each content whose windows another content may have; the rest needs no sorting."""
+    windows = [[hash(c[i : i + SPAN]) for i in range(len(c) - SPAN + 1)] for c in contents]
     seen: set[int] = set()
     twice: set[int] = set()
-    for w in windows:
+    for w in map(set, windows):
         twice |= seen & w
         seen |= w
-    return [k for k, w in enumerate(windows) if not twice.isdisjoint(w)]
+    for k, w in enumerate(windows):
+        if twice.isdisjoint(w):
+            continue
+        begin = None
+        for i, x in enumerate([*w, None]):
+            if x is not None and x in twice:
+                begin = i if begin is None else begin
+            elif begin is not None:
+                yield k, begin, i - 1 + SPAN
+                begin = None
 
 
 def _sort_buckets(key, table):
-    """Many buckets at once: windows of different anchors differ, so they do not disturb each other."""
-    contents, low = table.column("content").to_pylist(), table.column("low").to_numpy()
-    some = _may_repeat(contents)
-    found = repeats([contents[k] for k in some], low[some]) if len(some) > 1 else []
-    at = pa.array([some[k] for k, _, _ in found], pa.int64())
+    """Many buckets at once: windows of different anchors differ, so they do not disturb each other. Equal parts are one text."""
+    contents, low = table.column("content").to_pylist(), table.column("low").to_pylist()
+    parts = list(_shared_parts(contents))
+    least: dict[bytes, int] = {}
+    for k, a, b in parts:
+        text = contents[k][a:b]
+        least[text] = min(low[k], least.get(text, low[k]))
+    inside: dict[bytes, list] = {text: [] for text in least}
+    if len(least) > 1:
+        texts = list(least)
+        for k, a, b in repeats(texts, np.array(list(least.values()))):
+            inside[texts[k]].append((a, b))
+    found = []
+    for k, a, b in parts:
+        text = contents[k][a:b]
+        found += [(k, a, b)] if low[k] > least[text] else [(k, a + x, a + y) for x, y in inside[text]]
+    at = pa.array([k for k, _, _ in found], pa.int64())
     return pa.table({"anchor": table.column("anchor").take(at), "piece": table.column("piece").take(at), "a": pa.array([a for _, a, _ in found], pa.int32()), "b": pa.array([b for _, _, b in found], pa.int32())})
 
 
@@ -304,7 +325,9 @@ def _without(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 def drop_repeats(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and `kept`, the bytes that stay (not always valid UTF-8)."""
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    digest = F.xxhash64("text") if twice else F.lit(0).cast("long")  # tells texts of one doc_id apart
+    narrow = docs.select("doc_id", digest.alias("digest"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
