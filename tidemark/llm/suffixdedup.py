@@ -249,22 +249,31 @@ def _shared_parts(contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
 
 
 def _sort_buckets(key, table):
-    """Many buckets at once: windows of different anchors differ, so they do not disturb each other. Equal parts are one text."""
-    contents, low = table.column("content").to_pylist(), table.column("low").to_pylist()
+    """Spans of the pieces of many buckets. Equal parts of a bucket are one text; buckets with several texts go into suffix
+    arrays of a few thousand bytes each, where windows of different anchors differ and do not disturb each other."""
+    contents, low, anchor = (table.column(c).to_pylist() for c in ("content", "low", "anchor"))
     parts = list(_shared_parts(contents))
-    least: dict[bytes, int] = {}
+    buckets: dict[int, dict[bytes, int]] = {}
     for k, a, b in parts:
-        text = contents[k][a:b]
+        least, text = buckets.setdefault(anchor[k], {}), contents[k][a:b]
         least[text] = min(low[k], least.get(text, low[k]))
-    inside: dict[bytes, list] = {text: [] for text in least}
-    if len(least) > 1:
-        texts = list(least)
-        for k, a, b in repeats(texts, np.array(list(least.values()))):
-            inside[texts[k]].append((a, b))
+    inside: dict[bytes, list] = {}  # a text has windows of one anchor only
+    texts: list[bytes] = []
+    lows: list[int] = []
+    size = 0
+    for least in [*(x for x in buckets.values() if len(x) > 1), None]:
+        if texts and (least is None or size > 4096):
+            for k, a, b in repeats(texts, np.array(lows)):
+                inside.setdefault(texts[k], []).append((a, b))
+            texts, lows, size = [], [], 0
+        for text, first in (least or {}).items():
+            texts.append(text)
+            lows.append(first)
+            size += len(text)
     found = []
     for k, a, b in parts:
         text = contents[k][a:b]
-        found += [(k, a, b)] if low[k] > least[text] else [(k, a + x, a + y) for x, y in inside[text]]
+        found += [(k, a, b)] if low[k] > buckets[anchor[k]][text] else [(k, a + x, a + y) for x, y in inside.get(text, ())]
     at = pa.array([k for k, _, _ in found], pa.int64())
     return pa.table({"anchor": table.column("anchor").take(at), "piece": table.column("piece").take(at), "a": pa.array([a for _, a, _ in found], pa.int32()), "b": pa.array([b for _, _, b in found], pa.int32())})
 
