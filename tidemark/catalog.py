@@ -605,3 +605,6 @@ def _efficiency(spark, sf_dir):
 )
 def _sequences(spark, sf_dir):
     return legs.swing_sequences(event_bars(spark, sf_dir), 3)
+
+
+from . import catalog_models  # noqa: E402,F401  its queries register themselves
