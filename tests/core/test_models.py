@@ -304,3 +304,75 @@ def test_empty_bars(spark):
     _, bars = walk(spark, 1, 1)
     none = bars.filter(F.lit(False))
     assert zones.order_blocks(none).collect() == zones.support_resistance(none).collect() == zones.lifecycle(zones.pivot_zones(none), none).collect() == []
+
+
+def plain_divergences(rows, left, right, least, most, prior, source, anchor):
+    """rows: (ts, high, low, osc) of one series."""
+    live, out, known = [r for r in rows if r[3] is not None], [], {"low": [], "high": []}
+    for k in range(left + right, len(live)):
+        win, at = live[k - left - right : k + 1], k - right
+        c = live[at]
+        for side, col, sign in (("low", 2, -1), ("high", 1, 1)):
+            line = col if source == "price" else 3
+            if not all(sign * r[line] < sign * c[line] for r in win if r is not c):
+                continue
+            osc = sign * max(sign * r[3] for r in win) if source == "price" and anchor == "extreme" else c[3]
+            now, best = (at, c[0], c[col], osc), None
+            for p in known[side][-prior:]:
+                gap, up, oup = at - p[0], now[2] - p[2], osc - p[3]
+                if not least <= gap <= most or not up * oup < 0:
+                    continue
+                size = min((abs(up) / max(abs(p[2]), 1e-9) + abs(oup) / max(abs(p[3]), 1e-9)) / 2, 1)
+                span = max(most - least, 1)
+                q = 0.6 * size + 0.4 * (1 - min(abs(gap - least - span / 2) / max(span / 2, 1), 1))
+                if best is None or q >= best[-1]:
+                    best = (("regular" if up * sign > 0 else "hidden") + ("_bullish" if side == "low" else "_bearish"), p[1], c[0], live[k][0], p[2], c[col], gap, q)
+            if best:
+                out.append(best)
+            known[side].append(now)
+    return out
+
+
+@pytest.mark.parametrize(("source", "anchor"), [("price", "pivot"), ("price", "extreme"), ("oscillator", "pivot")])
+def test_divergences_equal_a_plain_engine(spark, source, anchor):
+    from tidemark.plans import divergence
+
+    rows, _ = walk(spark, 400, 31)
+    draw, osc = random.Random(6), []
+    for k, r in enumerate(rows):
+        osc.append((r[0], r[1], r[3], r[4], None if k % 400 < 15 or k % 97 == 0 else 50 + r[5] / 10 + draw.gauss(0, 3)))
+    df = spark.createDataFrame(osc, "series string, ts timestamp_ntz, high double, low double, osc double")
+    found = divergence.divergences(df, 3, 2, 4, 60, 4, source, anchor).collect()
+    assert {r.kind for r in found} == {"regular_bullish", "regular_bearish", "hidden_bullish", "hidden_bearish"}
+    for name in "ab":
+        want = plain_divergences([r[1:] for r in osc if r[0] == name], 3, 2, 4, 60, 4, source, anchor)
+        got = [(r.kind, r.previous_ts, r.pivot_ts, r.confirmed_ts, r.previous_price, r.pivot_price, r.bars_between, r.quality) for r in found if r.series == name]
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got), sorted(want), strict=True):
+            assert a[:7] == b[:7] and abs(a[7] - b[7]) < 1e-12
+
+
+def test_divergence_of_two_lows_by_hand(spark):
+    from tidemark.plans import divergence
+
+    points = [(10.0, 50.0), (8.0, 20.0), (11.0, 40.0), (7.0, 30.0), (12.0, 60.0)]
+    rows = [("a", DAY + dt.timedelta(hours=k), p + 1, p, o) for k, (p, o) in enumerate(points)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, high double, low double, osc double")
+    (event,) = divergence.divergences(df, 1, 1, 1, 10, 5).filter("kind LIKE '%bullish'").collect()
+    assert (event.kind, event.previous_price, event.pivot_price, event.bars_between, event.confirmed_ts) == ("regular_bullish", 8.0, 7.0, 2, rows[4][1])
+
+
+def test_zone_rejections_by_hand():
+    from tidemark.operators.states import rejected_zones
+
+    nan = float("nan")
+    # two lows near 10 make a zone; bar 3 dips under it and closes inside, bar 4 closes far below and ends it
+    low, close = np.array([10.0, 10.1, 11.0, 9.8, 8.0, 9.9]), np.array([11.0, 11.0, 12.0, 10.5, 8.5, 10.5])
+    out = rejected_zones(np.full(6, 13.0), low, close, np.full(6, nan), np.array([10.0, 10.1, nan, nan, nan, nan]), np.full(6, 1.0), 0.25, 2.0, 2, 40)
+    assert out[0].tolist() == [0, 0, 0, 1, 0, 0] and out[1][3] == 9.8 and out[2][3] == 0.4 and out[3].tolist() == [0, 1, 1, 1, 0, 0]
+    # a zone above, pierced and closed under; wider than allowed, two pivots stay two zones
+    high = np.array([20.0, 20.2, 19.0, 20.5])
+    bear = rejected_zones(high, np.full(4, 17.0), np.array([19.0, 19.0, 18.0, 19.5]), np.array([20.0, 20.2, nan, nan]), np.full(4, nan), np.full(4, 1.0), 0.25, 2.0, 2, 40)
+    assert bear[0].tolist() == [0, 0, 0, -1] and bear[1][3] == 20.5
+    wide = rejected_zones(high, np.full(4, 17.0), np.full(4, 18.0), np.array([20.0, 20.2, nan, nan]), np.full(4, nan), np.full(4, 1.0), 0.25, 0.1, 1, 40)
+    assert wide[3].tolist() == [1, 2, 2, 2]

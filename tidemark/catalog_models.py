@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import _B, _query, _r
-from .plans import align, evaluate, models, outcomes, resampling, zones
+from .catalog import _B, _HOURLY, _query, _r
+from .operators.spec import OFF_TIE, apply, build, to_sql
+from .plans import alerts, align, divergence, evaluate, models, outcomes, pnf, resampling, sessions, zones
 from .sources.bars import event_bars
 
 _W = "(PARTITION BY series ORDER BY ts)"
@@ -163,3 +164,120 @@ def _zone_lifecycle(spark, sf_dir):
 )
 def _zone_merge(spark, sf_dir):
     return zones.merge_zones(zones.pivot_zones(event_bars(spark, sf_dir)), 0.01)
+
+
+# -- divergences ----------------------------------------------------------------------------------------------------------
+
+
+def _divergence_sql(left: int, right: int, least: int, most: int, prior: int, by_price: bool, oscillator: str) -> str:
+    """Pivots of either side, each with its last `prior` predecessors; the best pair of each."""
+    span = most - least
+    sides = []
+    for side, line, best, sign in (("low", "low", "min", "<"), ("high", "high", "max", ">")):
+        src = line if by_price else "osc"
+        sides.append(
+            f"SELECT '{side}' AS side, series, ts AS confirmed_ts, lag(ts, {right}) OVER {_W} AS pivot_ts, i - {right} AS spot, lag({line}, {right}) OVER {_W} AS price, lag(osc, {right}) OVER {_W} AS o, i > {left + right} AND lag({src}, {right}) OVER {_W} {sign} {best}({src}) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {left + right} PRECEDING AND {right + 1} PRECEDING) "
+            f"AND lag({src}, {right}) OVER {_W} {sign} {best}({src}) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {right - 1} PRECEDING AND CURRENT ROW) AS ok FROM live"
+        )
+    return (
+        f"WITH bars AS ({_HOURLY}), ov AS ({to_sql(build(oscillator), _HOURLY, 13)}), live AS (SELECT bars.series, bars.ts, high, low, value - {OFF_TIE!r} AS osc, row_number() OVER (PARTITION BY bars.series ORDER BY bars.ts) AS i FROM bars JOIN ov ON ov.series = bars.series AND ov.ts = bars.ts WHERE value IS NOT NULL), "
+        f"n AS ({' UNION ALL '.join(sides)}), nn AS (SELECT *, row_number() OVER (PARTITION BY series, side ORDER BY spot) AS k FROM n WHERE ok), "
+        "pr AS (SELECT b.*, a.pivot_ts AS previous_ts, a.price AS pp, a.o AS po, b.spot - a.spot AS gap, b.k - a.k AS back, CASE WHEN (b.price > a.price AND b.o < a.o) OR (b.price < a.price AND b.o > a.o) THEN CASE WHEN (b.side = 'low') = (b.price < a.price) THEN 'regular' ELSE 'hidden' END END AS kind "
+        f"FROM nn b JOIN nn a ON a.series = b.series AND a.side = b.side AND a.k < b.k AND a.k >= b.k - {prior}), "
+        f"q AS (SELECT *, 0.6::DOUBLE * least((abs(price - pp) / greatest(abs(pp), 1e-9) + abs(o - po) / greatest(abs(po), 1e-9)) / 2, 1.0) + 0.4::DOUBLE * (1 - least(abs(gap - {least + span / 2}::DOUBLE) / {max(span / 2, 1.0)}::DOUBLE, 1.0)) AS quality FROM pr WHERE kind IS NOT NULL AND gap BETWEEN {least} AND {most}), "
+        "w AS (SELECT *, row_number() OVER (PARTITION BY series, side, spot ORDER BY quality DESC, back) AS place FROM q) "
+        f"SELECT series, kind || CASE WHEN side = 'low' THEN '_bullish' ELSE '_bearish' END AS kind, previous_ts, pivot_ts, confirmed_ts, {_r('pp')} AS previous_price, {_r('price')} AS pivot_price, {_r('po')} AS previous_osc, {_r('o')} AS pivot_osc, gap AS bars_between, {_r('quality')} AS quality FROM w WHERE place = 1"
+    )
+
+
+def _divergence_query(name: str, oscillator: str, source: str, left: int, right: int, least: int, most: int, prior: int, sql: bool) -> None:
+    @_query(name, _divergence_sql(left, right, least, most, prior, source == "price", oscillator) if sql else None)
+    def run(spark, sf_dir):
+        rows = divergence.with_oscillator(event_bars(spark, sf_dir), oscillator)
+        return divergence.divergences(rows, left, right, least, most, prior, source)
+
+
+for _name in divergence.OSCILLATORS:
+    _divergence_query("pivot_divergence" if _name == "rsi" else f"{_name}_pivot_divergence", _name, "price", 7, 7, 10, 120, 5, build(_name).has_sql)
+    _divergence_query("oscillator_pivot_divergence" if _name == "rsi" else f"{_name}_divergence", _name, "oscillator", 5, 5, 5, 60, 1, build(_name).has_sql)
+
+
+@_query("divergence_bars", None)
+def _divergence_bars(spark, sf_dir):
+    """Every bar with the event it confirms; the events themselves have SQL above."""
+    return divergence.divergence_bars(event_bars(spark, sf_dir))
+
+
+# -- point and figure, sessions, alerts -----------------------------------------------------------------------------------
+
+_BOXES = (
+    f"WITH RECURSIVE {_B.removeprefix('WITH ')}, nb AS (SELECT series, row_number() OVER {_W} AS i, floor(close / 5 + 1e-9)::BIGINT AS up, ceil(close / 5 - 1e-9)::BIGINT AS down FROM bars), "
+    "pf(series, i, side, col, top, bottom, a, z, changed) AS (SELECT series, i, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, up, down, 0 FROM nb WHERE i = 1 UNION ALL "
+    "SELECT series, i, CASE WHEN act = 1 THEN CASE WHEN up > a THEN 1 ELSE -1 END WHEN act = 3 THEN -side ELSE side END, CASE WHEN act IN (1, 3) THEN col + 1 ELSE col END, "
+    "CASE act WHEN 1 THEN CASE WHEN up > a THEN up ELSE z END WHEN 2 THEN CASE WHEN side = 1 THEN up ELSE top END WHEN 3 THEN CASE WHEN side = 1 THEN top - 1 ELSE up END ELSE top END, "
+    "CASE act WHEN 1 THEN CASE WHEN up > a THEN a ELSE down END WHEN 2 THEN CASE WHEN side = 1 THEN bottom ELSE down END WHEN 3 THEN CASE WHEN side = 1 THEN down ELSE bottom + 1 END ELSE bottom END, "
+    "CASE WHEN side = 0 AND act = 0 THEN greatest(a, up) ELSE a END, CASE WHEN side = 0 AND act = 0 THEN least(z, down) ELSE z END, (act > 0)::INT "
+    "FROM (SELECT nb.series, nb.i, nb.up, nb.down, side, col, top, bottom, a, z, CASE WHEN side = 0 THEN CASE WHEN (nb.up > a) <> (nb.down < z) THEN 1 ELSE 0 END "
+    "WHEN (side = 1 AND nb.up > top) OR (side = -1 AND nb.down < bottom) THEN 2 WHEN (side = 1 AND nb.down <= top - 3) OR (side = -1 AND nb.up >= bottom + 3) THEN 3 ELSE 0 END AS act FROM pf JOIN nb ON nb.series = pf.series AND nb.i = pf.i + 1)), "
+    "ch AS (SELECT series, col AS nth, arg_max(side, i) AS direction, arg_max(top, i) AS top, arg_max(bottom, i) AS bottom, min(i) - 1 AS first_bar, max(i) - 1 AS last_bar FROM pf WHERE changed = 1 GROUP BY series, col)"
+)
+
+
+@_query("pnf_columns", f"{_BOXES} SELECT series, nth, direction, {_r('5 * top')} AS top, {_r('5 * bottom')} AS bottom, top - bottom + 1 AS boxes, first_bar, last_bar FROM ch")
+def _pnf_columns(spark, sf_dir):
+    return pnf.columns(event_bars(spark, sf_dir), 5.0)
+
+
+@_query(
+    "pnf_counts",
+    f"{_BOXES}, w AS (SELECT series, nth AS first, nth + 4 AS last FROM ch), e AS (SELECT w.*, b.direction AS d, CASE WHEN b.direction < 0 THEN b.bottom ELSE b.top END AS line FROM w JOIN ch b ON b.series = w.series AND b.nth = w.last), "
+    "s AS (SELECT e.series, e.first, e.last, d, line, count(*) AS n, count(*) FILTER (c.bottom <= line AND c.top >= line) AS m, CASE WHEN d < 0 THEN min(c.bottom) ELSE max(c.top) END AS x FROM e JOIN ch c ON c.series = e.series AND c.nth BETWEEN e.first AND e.last GROUP BY 1, 2, 3, 4, 5) "
+    f"SELECT series, first, last, -d AS direction, {_r('5 * line')} AS count_line, {_r('5 * x')} AS extreme, n AS columns, m AS columns_on_line, {_r('15 * n')} AS effect, {_r('15 * m')} AS effect_on_line, {_r('5 * x - d * 15 * n')} AS target_from_extreme, {_r('5 * line - d * 15 * n')} AS target_from_line FROM s",
+)
+def _pnf_counts(spark, sf_dir):
+    """Counts over every five columns of the chart."""
+    chart = pnf.columns(event_bars(spark, sf_dir), 5.0)
+    return pnf.horizontal_counts(chart, chart.select("series", F.col("nth").alias("first"), (F.col("nth") + 4).alias("last")), 5.0)
+
+
+@_query(
+    "trading_sessions",
+    f"{_B}, l AS (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS here FROM bars), s AS (SELECT *, CASE WHEN here::TIME >= TIME '18:00' THEN here::DATE WHEN here::TIME < TIME '03:00' THEN here::DATE - 1 END AS day FROM l), "
+    f"o AS (SELECT *, timezone('UTC', timezone('America/New_York', day + INTERVAL 18 HOUR)) AS session FROM s), h AS (SELECT *, last_value(session IGNORE NULLS) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS held FROM o), "
+    f"g AS (SELECT *, lag(held) OVER {_W} AS was, coalesce(session IS NOT NULL AND ts >= session AND ts < session + INTERVAL 120 MINUTE, false) AS inside FROM h) "
+    f"SELECT series, ts, session, session IS NOT NULL AS in_session, session IS NOT NULL AND (was IS NULL OR was <> held) AS new_session, inside AS in_opening, {_r('max(CASE WHEN inside THEN high END) OVER f')} AS opening_high, {_r('min(CASE WHEN inside THEN low END) OVER f')} AS opening_low, "
+    f"{_r('CASE WHEN session IS NOT NULL AND sum(volume) OVER v > 0 THEN sum((high + low + close) / 3 * volume) OVER v / sum(volume) OVER v END')} AS vwap FROM g WINDOW f AS (PARTITION BY series, held ORDER BY ts ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY series, session ORDER BY ts ROWS UNBOUNDED PRECEDING)",
+)
+def _trading_sessions(spark, sf_dir):
+    """Evening sessions of New York, over midnight and the change of its clocks, with opening range and mean price."""
+    rows = sessions.with_sessions(event_bars(spark, sf_dir), "18:00", "03:00", "America/New_York", 120)
+    return rows.select("series", "ts", "session", "in_session", "new_session", "in_opening", "opening_high", "opening_low").join(sessions.session_vwap(rows).drop("session"), ["series", "ts"])
+
+
+@_query(
+    "exchange_calendar",
+    "WITH l AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey % 1440) AS ts FROM orders), h AS (SELECT *, timezone('Europe/Berlin', timezone('UTC', ts)) AS local_ts FROM l), d AS (SELECT *, month(local_ts) = 1 AND day(local_ts) = 1 AS is_holiday, day(local_ts) = 31 AS early, local_ts::TIME AS t FROM h) "
+    "SELECT o_orderkey, ts, local_ts, is_holiday, NOT is_holiday AND CASE WHEN early THEN t >= TIME '09:00' AND t < TIME '12:00' ELSE (t >= TIME '09:00' AND t < TIME '13:00') OR (t >= TIME '14:00' AND t < TIME '17:30') END AS is_open FROM d",
+)
+def _exchange_calendar(spark, sf_dir):
+    """Orders against a calendar of two segments in Berlin, closed on New Year's Day, closing early on every 31st."""
+    ts = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.col("o_orderdate"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", ts.alias("ts"))
+    days = rows.select(F.to_date(sessions.local_time(F.col("ts"), "Europe/Berlin")).alias("day")).distinct()
+    holidays = days.filter((F.month("day") == 1) & (F.dayofmonth("day") == 1))
+    early = days.filter(F.dayofmonth("day") == 31).withColumn("close", F.lit("12:00"))
+    return sessions.with_calendar(rows, [("09:00", "13:00"), ("14:00", "17:30")], "Europe/Berlin", holidays, early)
+
+
+@_query("alert_events", None)
+def _alert_events(spark, sf_dir):
+    """Every rule's events over the hourly bars; ids are a function of the event, so a rerun repeats them."""
+    bars = event_bars(spark, sf_dir)
+    tables = {
+        "zone_rejection": apply(bars, [build("zone_rejection")]),
+        "order_block": zones.order_blocks(bars),
+        "divergence": divergence.divergence_bars(bars),
+        "point_and_figure": apply(bars, [build("point_and_figure", box_size=5.0)]),
+    }
+    found = [alerts.events(rows, alerts.RULES[name], name, "1h") for name, rows in tables.items()]
+    return alerts.unique(found[0].union(found[1]).union(found[2]).union(found[3]))

@@ -289,4 +289,67 @@ def threshold_turns(close: np.ndarray, high: np.ndarray, low: np.ndarray, distan
     return out
 
 
-KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown, filtered_stops, open_gaps, threshold_turns)}
+def rejected_zones(high: np.ndarray, low: np.ndarray, close: np.ndarray, high_pivot: np.ndarray, low_pivot: np.ndarray, atr: np.ndarray, tolerance: float, width: float, touches: int, most: int) -> list[np.ndarray]:
+    """Event (1 a failed break below, -1 above), its wick and strength, and the number of zones with enough touches.
+
+    Zones come from pivots: one within `tolerance` mean ranges of a zone of its kind joins the oldest such zone that stays
+    within `width` of them. A bar that pierces a zone and closes back inside is rejected by it; if zones of both kinds reject
+    it, none counts. A close a fifth of the range beyond a zone ends it, as does a newer one when `most` are held. `atr` is
+    the value before the bar.
+    """
+    out = _lines(len(close), 4)
+    zones: list[list] = []  # [kind, bottom, top, touches], 1 support, -1 resistance
+    for k in range(len(close)):
+        event, wick, force = 0.0, NAN, 0.0
+        if not math.isnan(atr[k]):
+            hits = {s: max((z[3] for z in zones if z[0] == s and z[3] >= touches and ((low[k] < z[1] < close[k]) if s == 1 else (high[k] > z[2] > close[k]))), default=0) for s in (1, -1)}
+            if bool(hits[1]) != bool(hits[-1]):
+                event = 1.0 if hits[1] else -1.0
+                wick, force = (low if hits[1] else high)[k], min(max(hits.values()) / 5, 1.0)
+            zones = [z for z in zones if (close[k] >= z[1] - 0.2 * atr[k] if z[0] == 1 else close[k] <= z[2] + 0.2 * atr[k])]
+            for s, p in ((-1, high_pivot[k]), (1, low_pivot[k])):
+                if math.isnan(p):
+                    continue
+                for z in zones:
+                    if z[0] == s and z[1] - tolerance * atr[k] <= p <= z[2] + tolerance * atr[k] and max(z[2], p) - min(z[1], p) <= width * atr[k]:
+                        z[1], z[2], z[3] = min(z[1], p), max(z[2], p), z[3] + 1
+                        break
+                else:
+                    zones = [*zones[1:], [s, p, p, 1]] if len(zones) == most else [*zones, [s, p, p, 1]]
+        out[0][k], out[1][k], out[2][k], out[3][k] = event, wick, force, sum(z[3] >= touches for z in zones)
+    return out
+
+
+def box_columns(high: np.ndarray, low: np.ndarray, box: float, reversal: int) -> list[np.ndarray]:
+    """Number, direction (1 up, -1 down), top, bottom and boxes of the present column, whether the bar changed it, opened it.
+
+    Highs count down and lows up to the next line of the grid. A bar first extends the column in its direction; else it opens
+    one the other way if it reaches `reversal` boxes back from the end. Before the first column the first bar's boxes widen
+    until a bar leaves them on one side only.
+    """
+    out = _lines(len(high), 7)
+    side = column = top = bottom = 0
+    held = None
+    for k in range(len(high)):
+        changed = opened = 0
+        if math.isfinite(high[k]) and math.isfinite(low[k]):
+            up, down = math.floor(high[k] / box + 1e-9), math.ceil(low[k] / box - 1e-9)
+            if not side:
+                above, below = held is not None and up > held[0], held is not None and down < held[1]
+                if above != below:
+                    side, changed, opened, column = (1 if above else -1), 1, 1, 1
+                    top, bottom = (up, held[0]) if above else (held[1], down)
+                else:
+                    held = (up, down) if held is None else (max(up, held[0]), min(down, held[1]))
+            elif (up > top) if side == 1 else (down < bottom):
+                changed, top, bottom = 1, (up if side == 1 else top), (bottom if side == 1 else down)
+            elif (down <= top - reversal) if side == 1 else (up >= bottom + reversal):
+                top, bottom = (top - 1, down) if side == 1 else (up, bottom + 1)
+                side, changed, opened, column = -side, 1, 1, column + 1
+        out[0][k], out[1][k], out[5][k], out[6][k] = column, side, changed, opened
+        if side:
+            out[2][k], out[3][k], out[4][k] = top * box, bottom * box, top - bottom + 1
+    return out
+
+
+KERNELS = {f.__name__: f for f in (zigzag_legs, pivot_score, structure_breaks, level_sweeps, band_trail, stop_side, smoothed_place, weighted_mean, half_trend, countdown, filtered_stops, open_gaps, threshold_turns, rejected_zones, box_columns)}

@@ -173,3 +173,27 @@ def threshold_zigzag(length=14, multiple=3.0):
         ["direction", "pivot", "age"],
         1,
     )
+
+
+@operator()
+def zone_rejection(pivot_len=5, atr_len=14, tolerance_atr=0.25, max_width_atr=2.0, min_touches=2):
+    zones = ("rejected_zones", "high,low,close,ph,pl,atr_before", (tolerance_atr, max_width_atr, min_touches, 40))
+    names = ("event", "spike", "force", "count")
+    return op(
+        [
+            {**pivots(pivot_len, pivot_len, True), "atr": Fold("rma", "tr", (atr_len,))},
+            {"atr_before": f"lag(atr, 1) {P}"},
+            {c: Fold(*zones, k) for k, c in enumerate(names)},
+            {"value": since("event", atr_len), "wick": "spike", "strength": since("force", atr_len), "zones": since("count", atr_len)},
+        ],
+        ["value", "wick", "strength", "zones"],
+        atr_len,
+    )
+
+
+@operator("pnf")
+def point_and_figure(box_size=1.0, reversal=3, method=0.0):
+    """`method` 0 reads closes, 1 highs and lows."""
+    boxes = ("box_columns", "high,low" if method else "close,close", (box_size, reversal))
+    names = ("column", "value", "top", "bottom", "boxes", "changed", "opened")
+    return op([{c: Fold(*boxes, k) for k, c in enumerate(names)}], ["value", *(n for n in names if n != "value")], 1)
