@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import _B, _HOURLY, _query, _r
+from .functions import curves
 from .operators.spec import OFF_TIE, apply, build, to_sql
 from .plans import alerts, align, divergence, evaluate, models, outcomes, pnf, resampling, sessions, zones
 from .sources.bars import event_bars
@@ -281,3 +282,69 @@ def _alert_events(spark, sf_dir):
     }
     found = [alerts.events(rows, alerts.RULES[name], name, "1h") for name, rows in tables.items()]
     return alerts.unique(found[0].union(found[1]).union(found[2]).union(found[3]))
+
+
+# -- calibration by chunks, curves and surfaces ---------------------------------------------------------------------------
+
+
+@_query(
+    "calibration_chunks",
+    f"{_FORECASTS}, g AS (SELECT *, avg(rose::INT) OVER (PARTITION BY p) AS rate, row_number() OVER (ORDER BY p) - 1 AS k, count(*) OVER () AS n FROM fc) "
+    f"SELECT k // ((n + 6) // 7) AS chunk, {_r('avg(p)')} AS forecast, {_r('avg(rate)')} AS win_rate, count(*) AS n FROM g GROUP BY 1",
+)
+def _calibration_chunks(spark, sf_dir):
+    rows = models.rank_forecasts(event_bars(spark, sf_dir))
+    return evaluate.calibration_chunks(rows.select("p", F.col("rose").alias("won")), 7)
+
+
+@_query(
+    "calibration_metrics",
+    f"{_FORECASTS}, c AS (SELECT greatest(1e-15, least(1 - 1e-15, p)) AS q, p, rose::INT AS y FROM fc), b AS (SELECT least(floor(p * 10), 9) AS bin, sum(p) AS f, sum(y) AS y FROM c GROUP BY 1), "
+    "m AS (SELECT avg(pow(q - y, 2)) AS brier, avg(pow(0.45::DOUBLE - y, 2)) AS base, avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)) AS loss, count(*) AS n FROM c) "
+    f"SELECT {_r('brier')} AS brier, {_r('base')} AS baseline_brier, {_r('1 - brier / base')} AS skill, {_r('loss')} AS log_loss, {_r('(SELECT sum(abs(f - y)) FROM b) / n')} AS ece, n FROM m",
+)
+def _calibration_metrics(spark, sf_dir):
+    rows = models.rank_forecasts(event_bars(spark, sf_dir))
+    return evaluate.calibration_metrics(rows.select("p", F.col("rose").alias("won")), 0.45)
+
+
+_TENORS = (1, 2, 3, 5, 7, 10)
+
+
+def _quotes(spark, sf_dir):
+    """A curve for each supplier: half-year zero rates and par swaps of six tenors, paying once, twice or four times a year."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("curve"))
+    base = 0.01 + F.col("curve") % 40 / 1000.0
+    each = s.withColumn("years", F.explode(F.array(F.lit(0), *map(F.lit, _TENORS))))
+    reference = F.to_date(F.lit("2024-01-31"))
+    zero = F.col("years") == 0
+    return each.select("curve", reference.alias("reference"), F.add_months(reference, F.when(zero, 6).otherwise(F.col("years") * 12 + F.col("curve").cast("int") % 3)).alias("maturity"), F.when(zero, "zero").otherwise("swap").alias("kind"), (base + F.col("years") * 0.001).alias("rate"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("curve") % 3 + 1).cast("int")).alias("frequency"), "years")
+
+
+@_query("curve_bootstrap", f"SELECT s_suppkey AS curve, years, {_r('0.01 + (s_suppkey % 40) / 1000 + years * 0.001::DOUBLE')} AS par_rate FROM supplier, (SELECT unnest([1, 2, 3, 5, 7, 10]) AS years)")
+def _curve_bootstrap(spark, sf_dir):
+    """Every swap priced on the curve solved from it must give its quote back, which is what the SQL says."""
+    quotes = _quotes(spark, sf_dir)
+    solved = curves.bootstrap(quotes)
+    swaps = quotes.filter("kind = 'swap'").join(solved, ["curve", "reference"])
+    periods = curves.swap_periods(F.col("reference"), F.col("maturity"), F.col("frequency"), "act/365")
+    return swaps.select("curve", F.col("years").cast("int").alias("years"), curves.par_rate(F.col("nodes"), periods).alias("par_rate"))
+
+
+@_query(
+    "volatility_lookup",
+    "WITH g AS (SELECT n_nationkey AS k, t, strike, 0.15::DOUBLE + n_nationkey / 200 + 0.02::DOUBLE * t + pow((strike - 100) / 200, 2) AS vol FROM nation, (SELECT unnest([0.25, 0.5, 1.0, 2.0])::DOUBLE AS t), (SELECT unnest([60.0, 80.0, 100.0, 120.0, 150.0])::DOUBLE AS strike)), "
+    "x AS (SELECT c_custkey, c_nationkey AS k, (c_custkey % 26)::DOUBLE / 10 AS t, (45 + c_custkey % 121)::DOUBLE AS s FROM customer), y AS (SELECT *, least(greatest(t, 0.25), 2) AS tt, least(greatest(s, 60), 150) AS ss FROM x), "
+    "e AS (SELECT y.*, (SELECT max(t) FROM g WHERE g.t <= tt) AS t0, (SELECT min(t) FROM g WHERE g.t >= tt) AS t1, (SELECT max(strike) FROM g WHERE strike <= ss) AS s0, (SELECT min(strike) FROM g WHERE strike >= ss) AS s1 FROM y), "
+    "w AS (SELECT e.*, CASE WHEN t1 > t0 THEN (tt - t0) / (t1 - t0) ELSE 0 END AS tw, CASE WHEN s1 > s0 THEN (ss - s0) / (s1 - s0) ELSE 0 END AS sw, a.vol AS v00, b.vol AS v01, c.vol AS v10, d.vol AS v11 FROM e JOIN g a ON a.k = e.k AND a.t = t0 AND a.strike = s0 JOIN g b ON b.k = e.k AND b.t = t0 AND b.strike = s1 JOIN g c ON c.k = e.k AND c.t = t1 AND c.strike = s0 JOIN g d ON d.k = e.k AND d.t = t1 AND d.strike = s1) "
+    f"SELECT c_custkey, {_r('CASE WHEN t <= 2.25 AND s >= 51 AND s <= 159 THEN (1 - tw) * ((1 - sw) * v00 + sw * v01) + tw * ((1 - sw) * v10 + sw * v11) END')} AS volatility FROM w",
+)
+def _volatility_lookup(spark, sf_dir):
+    """A surface for each nation, looked up by its customers inside and outside its validity."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    points = read("nation").withColumn("t", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0))))).withColumn("strike", F.explode(F.array(*map(F.lit, (60.0, 80.0, 100.0, 120.0, 150.0)))))
+    vol = 0.15 + F.col("n_nationkey") / 200 + 0.02 * F.col("t") + F.pow((F.col("strike") - 100) / 200, 2)
+    made = curves.surfaces(points.select(F.col("n_nationkey").alias("c_nationkey"), "t", "strike", vol.alias("vol")), ["c_nationkey"])
+    found = read("customer").join(made, "c_nationkey")
+    years, strike = (F.col("c_custkey") % 26).cast("double") / 10, (45 + F.col("c_custkey") % 121).cast("double")
+    return found.select("c_custkey", curves.volatility_at(F.col("maturities"), F.col("strikes"), F.col("grid"), years, strike).alias("volatility"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import oscillators, recursive  # noqa: F401  their operators register themselves
 from ..operators.spec import apply, build
 
 OSCILLATORS = ("rsi", "wavetrend", "stoch_rsi", "williams_r", "cci")

@@ -79,3 +79,33 @@ def phase_survival(bars: DataFrame) -> DataFrame:
     up = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
     keep = F.when(F.col("ends") == F.col("at_risk"), 0.0).otherwise(F.exp(F.sum(F.log(F.when(F.col("ends") < F.col("at_risk"), 1 - F.col("ends") / F.col("at_risk")))).over(up)))
     return at_risk.select("age", "ends", "at_risk", keep.alias("survival"))
+
+
+def calibration_chunks(records: DataFrame, buckets: int = 10) -> DataFrame:
+    """(chunk, forecast, win_rate, n): records (p, won) in order of forecast, cut into chunks of ceil(n / buckets).
+
+    Equal forecasts are one row of counts first, spread over the chunks they reach into with their own win rate, so the
+    result does not hang on the order of ties and no task sorts single records.
+    """
+    same = records.filter("p IS NOT NULL AND won IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("won").cast("double")).alias("wins"))
+    total = same.agg(F.sum("n")).first()[0] or 0
+    size = max(1, -(-total // max(1, min(buckets, total or 1))))
+    upto = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))  # one row for each different forecast
+    placed = same.withColumn("z", upto).withColumn("a", F.col("z") - F.col("n"))
+    parts = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("z") - 1) / size))))
+    part = F.least(F.col("z"), (F.col("chunk") + 1) * size) - F.greatest(F.col("a"), F.col("chunk") * size)
+    parts = parts.withColumn("part", part)
+    return parts.groupBy("chunk").agg((F.sum(F.col("p") * F.col("part")) / F.sum("part")).alias("forecast"), (F.sum(F.col("wins") / F.col("n") * F.col("part")) / F.sum("part")).alias("win_rate"), F.sum("part").alias("n"))
+
+
+def calibration_metrics(records: DataFrame, baseline: float, bins: int = 10) -> DataFrame:
+    """brier, baseline_brier, skill, log_loss, ece and n of records (p, won) against a constant forecast; no row for none."""
+    b = min(max(baseline, 1e-6), 1 - 1e-6)
+    y = F.col("won").cast("double")
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), "p"))
+    flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "p"))
+    rows = records.filter("p IS NOT NULL AND won IS NOT NULL").select(F.least(F.floor(flat * bins), F.lit(bins - 1)).alias("bin"), F.pow(p - y, 2).alias("e"), F.pow(b - y, 2).alias("e0"), (-F.log(F.when(F.col("won"), p).otherwise(1 - p))).alias("l"), flat.alias("f"), y.alias("y"))
+    each = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("e", "e0", "l", "f", "y")])
+    n = F.sum("n")
+    brier, base = F.sum("e") / n, F.sum("e0") / n
+    return each.agg(brier.alias("brier"), base.alias("baseline_brier"), F.when(base > 1e-12, 1 - brier / base).otherwise(0.0).alias("skill"), (F.sum("l") / n).alias("log_loss"), (F.sum(F.abs(F.col("f") - F.col("y"))) / n).alias("ece"), n.alias("n")).filter("n IS NOT NULL")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import swings  # noqa: F401  its operators register themselves
 from ..operators.spec import apply, build
 
 
