@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -57,6 +58,7 @@ def release_shuffles(spark: SparkSession) -> None:
     """Have the driver collect its finished plans: only then are their shuffle files removed, else at the next of its half-hourly turns."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner has a thread of its own
 
 
 def sheltered(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
