@@ -74,26 +74,36 @@ def test_disclosing_terms(spark):
 
 
 def term_rule(texts, generalise=0.7, remove=0.9):
-    """The terms of each text by plain counting, with their actions."""
+    """The terms of each text by plain counting over all other texts, with their actions."""
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
     plain = [blank(t) for t in texts]
-    terms = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in plain]
-    with_term = Counter(w for t in texts for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
-    entities = [{m.group().lower() for m in re.finditer(PATTERNS["email"], t)} for t in texts]
-    with_entity, both = Counter(e for x in entities for e in x), Counter((e, w) for x, ws in zip(entities, terms) for e in x for w in ws)
-    n, out = len(texts), []
+    terms, whole = [words(t) for t in plain], [words(t) for t in texts]
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    name = {"email": str.lower, "ip": str.lower, "card": digits, "phone": digits}
+    pool = {"email": lambda v: v.lower().rpartition("@")[2], "ip": lambda v: ".".join(v.split(".")[:3]), "card": lambda v: digits(v)[:6], "phone": lambda v: digits(v)[:5]}
+    values = [[(k, t[a:b]) for k, found in spans(t).items() for a, b in found] for t in texts]
+    entities = [{(k, name[k](v)) for k, v in x} | {("pool", k, pool[k](v)) for k, v in x} for x in values]
+    with_term, with_entity = Counter(w for x in whole for w in x), Counter(e for x in entities for e in x)
+    both = Counter((e, w) for x, ws in zip(entities, terms) for e in x for w in ws)
+    n, out = len(texts) - 1, []
     for x, t in zip(entities, plain):
-        spans = set()
+        marks = []
         for m in re.finditer(r"[^\W\d_]{3,}", t):
             w = m.group().lower()
-            shares = [math.log(n * (both[e, w] + 0.5) / ((with_entity[e] + 0.5) * (with_term[w] + 0.5))) / math.log(n / (with_entity[e] + 0.5)) + 1e-12 for e in x]
-            if shares and max(shares) >= generalise:
-                spans.add((m.start(), m.end(), 2 if max(shares) >= remove else 1))
-        out.append(sorted(spans))
+            shares = [0.0]
+            for e in x:
+                if both[e, w] > 1 and n > with_entity[e] - 0.5:
+                    shares.append(math.log(n * (both[e, w] - 0.5) / ((with_entity[e] - 0.5) * (with_term[w] - 0.5))) / math.log(n / (with_entity[e] - 0.5)) + 1e-12)
+            if max(shares) >= generalise:
+                marks.append((m.start(), m.end(), 2 if max(shares) >= remove else 1))
+        out.append(marks)
     return out
 
 
 def blank(text):
-    return re.sub(PATTERNS["email"], lambda m: " " * len(m.group()), text)
+    for a, b in sorted(x for found in spans(text).values() for x in found):
+        text = text[:a] + " " * (b - a) + text[b:]
+    return text
 
 
 def test_terms_of_rare_entities_in_whole_texts(spark):
@@ -104,13 +114,31 @@ def test_terms_of_rare_entities_in_whole_texts(spark):
     texts = [" ".join(r.choices(vocabulary, weights=range(300, 0, -1), k=60)) for _ in range(150)]
     for i in range(40):
         texts[i] += f" \U0001f600 mail p{i % 17}@x.org or q{i}@y.org"
-    texts[0] = "(Zanzibar) office " + texts[0] + " and zanzibar again"
-    texts[1] = "“Łódź-Mombasa” " + "the road goes on " * 40 + texts[1]
+    for i in range(40, 60):
+        texts[i] = f"\ufeffcall +44 20 7946 0{i % 6}18, host 10.1.{i % 5}.{i}, card 4111 1111 1111 1111 " + texts[i]
+    for i in (0, 17, 34):
+        texts[i] = "(Zanzibar) office " + texts[i] + " and zanzibar again"
+    texts[1] = "“Łódź-Mombasa” " + "the road goes on " * 400 + texts[1]
+    texts[35] += " mombasa"  # another address of the same domain
+    texts[2] += " loneword"
     want = term_rule(texts)
     got = {x.doc_id: [tuple(s) for s in x._term] for x in detect(frame(spark, texts)).collect()}
     assert got == dict(enumerate(want)) and {a for x in want for _, _, a in x} == {1, 2}
     clean = {x.doc_id: x.text for x in sanitise(frame(spark, texts)).collect()}
     assert "anzibar" not in clean[0] and "Mombasa" not in clean[1] and clean[60] == texts[60]
+    assert "loneword" in clean[2] and clean[40].startswith("\ufeff") and "[PHONE]" in clean[40]  # one document is no evidence about itself
+
+
+def test_sanitising_is_linear_in_a_text(spark):
+    from tidemark.llm.pii import detect, sanitise
+
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(30_000)]
+    text = "a@b.org " + " ".join(words) + " c@d.org " * 3000
+    rows = frame(spark, [text, text, "plain words"])
+    assert [len(r._term) for r in detect(rows).orderBy("doc_id").collect()] == [len(x) for x in term_rule([text, text, "plain words"])]
+    many = frame(spark, [text, text] + [f"plain words {i}" for i in range(200)])
+    clean = {r.doc_id: r.text for r in sanitise(many).collect()}
+    assert clean[0] == clean[1] and clean[0].split() == ["[EMAIL]"] * 3001 and clean[9] == "plain words 7"
 
 
 # lines
