@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .catalog import _B, _HOURLY, _query, _r
 from .functions import curves
 from .operators.spec import OFF_TIE, apply, build, to_sql
-from .plans import alerts, align, divergence, evaluate, models, outcomes, pnf, resampling, sessions, zones
-from .sources.bars import event_bars
+from .plans import alerts, align, divergence, evaluate, models, outcomes, patterns, pnf, resampling, sessions, zones
+from .sources.bars import ORDER_BARS_SQL, event_bars, order_bars
 
 _W = "(PARTITION BY series ORDER BY ts)"
 
@@ -348,3 +348,69 @@ def _volatility_lookup(spark, sf_dir):
     found = read("customer").join(made, "c_nationkey")
     years, strike = (F.col("c_custkey") % 26).cast("double") / 10, (45 + F.col("c_custkey") % 121).cast("double")
     return found.select("c_custkey", curves.volatility_at(F.col("maturities"), F.col("strikes"), F.col("grid"), years, strike).alias("volatility"))
+
+
+# -- swing nodes and ratio patterns ---------------------------------------------------------------------------------------
+
+_MEAN_BARS = (
+    f"raw AS ({ORDER_BARS_SQL}), bars AS (SELECT series, ts, round(avg(high) OVER f, 4) AS high, round(avg(low) OVER f, 4) AS low, round(avg(close) OVER f, 4) AS close FROM raw WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 9 PRECEDING))"
+)
+
+
+def _mean_bars(spark, sf_dir):
+    """Daily bars as means of ten, as single days jump too far for patterns of many legs."""
+    last = Window.partitionBy("series").orderBy("ts").rowsBetween(-9, 0)
+    return order_bars(spark, sf_dir).select("series", "ts", *[F.round(F.avg(c).over(last), 4).alias(c) for c in ("high", "low", "close")])
+
+
+_SWING_NODES = (
+    f"WITH RECURSIVE {_MEAN_BARS}, nb AS (SELECT series, ts, high, low, close, row_number() OVER {_W} AS i FROM bars), "
+    f"pv AS (SELECT series, i AS found_at, ts AS found_ts, i - 3 AS spot, lag(ts, 3) OVER {_W} AS node_ts, CASE WHEN lag(high, 3) OVER {_W} >= max(high) OVER f THEN lag(high, 3) OVER {_W} END AS h, CASE WHEN lag(low, 3) OVER {_W} <= min(low) OVER f THEN lag(low, 3) OVER {_W} END AS l FROM nb WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 6 PRECEDING)), "
+    "pk AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY spot) AS k FROM pv WHERE spot > 3 AND (h IS NOT NULL OR l IS NOT NULL)), "
+    # the running node before the k-th pivot's other side is looked at (mp, mat, mts), then after it
+    "st AS (SELECT series, 0::BIGINT AS k, 0 AS side, NULL::DOUBLE AS p, NULL::BIGINT AS spot, NULL::TIMESTAMP AS node_ts, NULL::BIGINT AS turned, false AS fixes, NULL::DOUBLE AS mp, NULL::BIGINT AS mat, NULL::TIMESTAMP AS mts, NULL::BIGINT AS found_at, NULL::TIMESTAMP AS found_ts FROM (SELECT DISTINCT series FROM pk) UNION ALL "
+    "SELECT series, k, CASE WHEN fixes THEN -side WHEN side <> 0 THEN side WHEN h IS NOT NULL AND l IS NOT NULL THEN 0 WHEN h IS NOT NULL THEN 1 ELSE -1 END, CASE WHEN fixes THEN other WHEN side <> 0 THEN mp WHEN h IS NULL OR l IS NULL THEN coalesce(h, l) END, "
+    "CASE WHEN fixes OR side = 0 THEN pat ELSE mat END, CASE WHEN fixes OR side = 0 THEN pts ELSE mts END, CASE WHEN fixes THEN pat ELSE turned END, fixes, mp, mat, mts, found_at, found_ts "
+    "FROM (SELECT *, side <> 0 AND other IS NOT NULL AND side * (mp - other) > 0 AND side * (mp - other) / abs(mp) >= 0.01::DOUBLE AND (turned IS NULL OR pat >= turned + 2) AS fixes "
+    "FROM (SELECT s.series, pk.k, s.side, s.turned, h, l, pk.spot AS pat, pk.node_ts AS pts, pk.found_at, pk.found_ts, CASE s.side WHEN 1 THEN l WHEN -1 THEN h END AS other, "
+    "CASE WHEN s.side = 1 AND h > p THEN h WHEN s.side = -1 AND l < p THEN l ELSE p END AS mp, CASE WHEN s.side = 1 AND h > p OR s.side = -1 AND l < p THEN pk.spot ELSE s.spot END AS mat, CASE WHEN s.side = 1 AND h > p OR s.side = -1 AND l < p THEN pk.node_ts ELSE s.node_ts END AS mts "
+    "FROM st s JOIN pk ON pk.series = s.series AND pk.k = s.k + 1))), "
+    "nd AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY k) AS nth, (-side)::INT AS side, mp AS price, mat AS spot, mts AS node_ts, found_at, found_ts FROM st WHERE fixes)"
+)
+_FIT = "VALUES " + ", ".join("(" + ", ".join([f"'{row[0]}'", *(f"{v!r}::DOUBLE" for v in row[1:])]) + ")" for row in patterns.HARMONIC_RATIOS)
+
+
+def _harmonic_sql(complete: bool) -> str:
+    back = 4 if complete else 3
+    lags = ", ".join(f"lag(price, {back - k}) OVER n AS {p}" for k, p in enumerate("xabcd"[: back + 1]))
+    shares = ["abs(b - a) / abs(a - x) AS b_share", "abs(c - b) / abs(b - a) AS c_share", "abs(d - a) / abs(a - x) AS d_share", "abs(d - c) / abs(c - b) AS cd_share"][: 4 if complete else 2]
+    fits = " AND ".join(f"{n}_share >= {n}_min - 0.03::DOUBLE AND {n}_share <= {n}_max + 0.03::DOUBLE" for n in (("b", "c", "d", "cd") if complete else ("b", "c")))
+    shown = ", ".join(f"{_r(c)} AS {c}" for c in [*"xabcd"[: back + 1], *[s.rpartition(" ")[2] for s in shares], "zone_low", "zone_high"])
+    reached = "last_at" if complete else "(SELECT min(i) FROM nb WHERE nb.series = w.series AND i > last_at AND i <= coalesce(until, i) AND CASE WHEN bullish THEN low <= zone_high ELSE high >= zone_low END)"
+    seen = "last_ts" if complete else "(SELECT ts FROM nb WHERE nb.series = y.series AND i = reached)"
+    return (
+        f"{_SWING_NODES}, q AS (SELECT series, lag(node_ts, {back}) OVER n AS x_ts, node_ts AS last_ts, spot AS last_at, found_at, found_ts, lead(found_at, 3) OVER n AS until, lag(side, {back}) OVER n = -1 AS bullish, {lags} FROM nd WINDOW n AS (PARTITION BY series ORDER BY nth)), "
+        f"r AS (SELECT *, {', '.join(shares)} FROM q WHERE x <> a AND a <> b AND b <> c), t AS (SELECT * FROM r, ({_FIT}) AS ratio(pattern, b_min, b_max, c_min, c_max, d_min, d_max, cd_min, cd_max) WHERE {fits}), "
+        "u AS (SELECT *, a - (d_min + d_max) / 2 * (a - x) AS e1, c - (cd_min + cd_max) / 2 * (c - b) AS e2, c + (b - a) AS e3, 0.005::DOUBLE * abs(a - x) AS thin FROM t), v AS (SELECT *, least(e1, e2, e3) AS lo, greatest(e1, e2, e3) AS hi FROM u), "
+        "w AS (SELECT *, CASE WHEN hi - lo < thin THEN (hi + lo) / 2 - thin / 2 ELSE lo END AS zone_low, CASE WHEN hi - lo < thin THEN (hi + lo) / 2 + thin / 2 ELSE hi END AS zone_high FROM v), "
+        f"y AS (SELECT *, {reached} AS reached FROM w), g AS (SELECT *, {seen} AS reached_ts, (SELECT arg_min(struct_pack(ts := ts, turned := (close > zone_high) = bullish), i) FROM nb WHERE nb.series = y.series AND i >= reached AND i > last_at AND i <= coalesce(until, i) "
+        "AND CASE WHEN bullish THEN close < zone_low OR close > zone_high AND i > reached ELSE close > zone_high OR close < zone_low AND i > reached END) AS fate FROM y) "
+        f"SELECT series, pattern, bullish, x_ts, last_ts, last_at, found_at, found_ts, until, {shown}, CASE WHEN fate.turned THEN 'confirmed' WHEN NOT fate.turned THEN 'invalidated' WHEN until IS NOT NULL THEN 'dropped' WHEN reached IS NOT NULL THEN 'complete' ELSE 'candidate' END AS state, reached_ts, CASE WHEN fate IS NOT NULL THEN greatest(fate.ts, found_ts) END AS decided_ts FROM g"
+    )
+
+
+@_query("swing_nodes", f"{_SWING_NODES} SELECT series, nth, side, {_r('price')} AS price, spot AS \"at\", node_ts, found_at, found_ts FROM nd")
+def _swing_nodes(spark, sf_dir):
+    return patterns.swing_nodes(_mean_bars(spark, sf_dir))
+
+
+@_query("harmonic_patterns", _harmonic_sql(True))
+def _harmonic_patterns(spark, sf_dir):
+    """Five-point patterns of all series with their zones and fates."""
+    return patterns.harmonic_patterns(_mean_bars(spark, sf_dir))
+
+
+@_query("harmonic_projections", _harmonic_sql(False))
+def _harmonic_projections(spark, sf_dir):
+    """Patterns that lack their last point, the zone in which it is expected, and what became of them."""
+    return patterns.harmonic_patterns(_mean_bars(spark, sf_dir), complete=False)
