@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import _B, _HOURLY, _query, _r
 from .functions import curves
 from .operators.spec import OFF_TIE, apply, build, to_sql
-from .plans import alerts, align, divergence, evaluate, models, outcomes, patterns, pnf, resampling, sessions, zones
+from .plans import alerts, align, divergence, evaluate, models, outcomes, patterns, pnf, profiles, resampling, sessions, zones
 from .sources.bars import ORDER_BARS_SQL, event_bars, order_bars
 
 _W = "(PARTITION BY series ORDER BY ts)"
@@ -414,3 +414,27 @@ def _harmonic_patterns(spark, sf_dir):
 def _harmonic_projections(spark, sf_dir):
     """Patterns that lack their last point, the zone in which it is expected, and what became of them."""
     return patterns.harmonic_patterns(_mean_bars(spark, sf_dir), complete=False)
+
+
+# -- profiles -------------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "money_flow_profile",
+    f"WITH RECURSIVE {_B.removeprefix('WITH ')}, nb AS (SELECT *, row_number() OVER {_W} AS i, min(low) OVER f AS p, (max(high) OVER f - min(low) OVER f) / 25 AS s FROM bars WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 199 PRECEDING)), "
+    "x AS (SELECT a.series, a.i, a.p, a.s, r, CASE WHEN b.volume > 0 THEN b.volume ELSE 1 END * greatest(0, least(b.high, a.p + r * a.s + a.s) - greatest(b.low, a.p + r * a.s)) / (b.high - b.low) * (a.p + (r + 0.5::DOUBLE) * a.s) AS t, greatest(0, least(1, (b.close - b.low) / (b.high - b.low))) AS k "
+    "FROM nb a JOIN nb b ON b.series = a.series AND b.i <= a.i AND b.i > a.i - 200 AND b.high > b.low, range(25) AS bin(r) WHERE a.i > 1 AND a.s > 0), "
+    "y AS (SELECT series, i, r, sum(t) AS t, sum(t * k) AS b FROM x GROUP BY ALL), "
+    "l AS (SELECT series, i, list(t ORDER BY r) AS t, max(struct_pack(t := t, r := r)).r AS poc, max(struct_pack(d := abs(2 * b - t), r := -r)).r * -1 AS tilted, sum(t) AS total, sum(b) AS b FROM y GROUP BY ALL HAVING max(t) > 0), "
+    "va AS (SELECT series, i, t, total, poc AS lo, poc AS hi, t[poc + 1] AS held FROM l UNION ALL SELECT series, i, t, total, CASE WHEN dn >= up THEN lo - 1 ELSE lo END, CASE WHEN dn >= up THEN hi ELSE hi + 1 END, held + greatest(dn, up) "
+    "FROM (SELECT *, CASE WHEN lo > 0 THEN t[lo] ELSE -1 END AS dn, CASE WHEN hi < 24 THEN t[hi + 2] ELSE -1 END AS up FROM va WHERE held < 0.7::DOUBLE * total) WHERE greatest(dn, up) >= 0), "
+    "e AS (SELECT series, i, min(lo) AS lo, max(hi) AS hi FROM va GROUP BY ALL), "
+    "m AS (SELECT nb.series, nb.ts, nb.i, close, p + (poc + 0.5::DOUBLE) * s AS value, p + (hi + 1) * s AS vah, p + lo * s AS val, p + (tilted + 0.5::DOUBLE) * s AS delta_poc, b / total * 100 AS bull_pct FROM nb LEFT JOIN l USING (series, i) LEFT JOIN e USING (series, i)), "
+    "z AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN struct_pack(c := close, h := vah, l := val, b := bull_pct) END IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM m), "
+    "u AS (SELECT *, CASE WHEN value IS NOT NULL THEN coalesce(w.c <= w.h AND close > vah, false) END AS ou, CASE WHEN value IS NOT NULL THEN coalesce(w.c >= w.l AND close < val, false) END AS un FROM z) "
+    f"SELECT series, ts, {_r('value')} AS value, {_r('vah')} AS vah, {_r('val')} AS val, {_r('delta_poc')} AS delta_poc, {_r('bull_pct')} AS bull_pct, ou AS bull_value_area_break, un AS bear_value_area_break, "
+    "CASE WHEN value IS NOT NULL THEN coalesce(w.b <= 50 AND bull_pct > 50, false) END AS bull_bias, CASE WHEN value IS NOT NULL THEN coalesce(w.b >= 50 AND bull_pct < 50, false) END AS bear_bias, "
+    f"{_r('CASE WHEN ou THEN least(1, (close - vah) / (vah - val)) WHEN un THEN least(1, (val - close) / (vah - val)) END')} AS strength FROM u",
+)
+def _money_flow_profile(spark, sf_dir):
+    return profiles.money_flow_profile(event_bars(spark, sf_dir))
