@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import _B, _HOURLY, _query, _r
 from .functions import curves
 from .operators.spec import OFF_TIE, apply, build, to_sql
-from .plans import alerts, align, divergence, evaluate, models, outcomes, patterns, pnf, profiles, resampling, sessions, zones
+from .plans import alerts, align, divergence, evaluate, models, outcomes, patterns, pnf, profiles, resampling, sessions, shapes, zones
 from .sources.bars import ORDER_BARS_SQL, event_bars, order_bars
 
 _W = "(PARTITION BY series ORDER BY ts)"
@@ -416,6 +416,102 @@ def _harmonic_projections(spark, sf_dir):
     return patterns.harmonic_patterns(_mean_bars(spark, sf_dir), complete=False)
 
 
+# -- chart shapes ---------------------------------------------------------------------------------------------------------
+
+
+def _shape_sql() -> str:
+    """Every shape between the nodes: `up` and `down` as price and slope at the last node's time."""
+    lags = ", ".join(f"lag(price, {k}) OVER n AS p{k}, lag(epoch(node_ts), {k}) OVER n AS t{k}, lag(node_ts, {k}) OVER n AS n{k}, lag(nth, {k}) OVER n AS k{k}" for k in range(5))
+    m = lambda i, j: f"((p{j} - p{i}) / (t{j} - t{i}))"
+    at = lambda i, j, k: f"(p{i} + {m(i, j)} * (t{k} - t{i}))"
+    near = lambda a, b, s: f"abs(p{a} - p{b}) <= 0.02::DOUBLE * abs(p{s})"
+    fit = lambda a, b, s: f"greatest(0, 1 - abs(p{a} - p{b}) / (0.02::DOUBLE * abs(p{s})))"
+
+    def shape(nodes, kind, holds, goodness, bias, up, down, goal=("NULL", "NULL")):
+        """Lines are (price at t0, slope) in SQL."""
+        lines = ", ".join(f"({c})::DOUBLE AS {n}" for n, c in zip(("up_p", "up_m", "down_p", "down_m", "goal_p", "goal_m"), (*up, *down, *goal)))
+        return f"SELECT series, k0, k{nodes - 1} AS first_nth, n{nodes - 1} AS first_ts, n0, t0, last_at, found_at, found_ts, until, {kind} AS kind, {nodes} AS nodes, ({goodness})::DOUBLE AS fit, ({bias})::INT AS bias, {lines} FROM nl WHERE p{nodes - 1} IS NOT NULL AND {holds}"
+
+    flat = lambda p: (f"p{p}" if isinstance(p, int) else p, "0")
+    either = lambda high, low: tuple(f"CASE WHEN side = 1 THEN {h} ELSE {lo} END" for h, lo in zip(high, low))
+    even, odd = (at(2, 0, 0), m(2, 0)), (at(3, 1, 0), m(3, 1))
+    hi_s, lo_s = either((at(2, 0, 3), at(3, 1, 3)), (at(3, 1, 3), at(2, 0, 3)))
+    (hi_e, hi_m), (lo_e, lo_m) = either(even, odd), either(odd, even)
+    wide = f"SELECT *, {hi_s} AS hs, {lo_s} AS ls, {hi_e} AS he, {hi_m} AS hm, {lo_e} AS le, {lo_m} AS lm FROM nl WHERE p3 IS NOT NULL"
+    kinds = (
+        "CASE WHEN he - le > hs - ls THEN CASE WHEN abs(he - hs) / (hs - ls) >= 0.015 AND abs(le - ls) / (hs - ls) >= 0.015 AND hm > 0 AND lm < 0 THEN 'broadening' END WHEN he - le < hs - ls THEN CASE WHEN hm > 0 AND lm > 0 THEN 'rising_wedge' WHEN hm < 0 AND lm < 0 THEN 'falling_wedge' "
+        "WHEN abs(he - hs) / (hs - ls) < 0.015 AND lm > 0 THEN 'ascending_triangle' WHEN abs(le - ls) / (hs - ls) < 0.015 AND hm < 0 THEN 'descending_triangle' WHEN hm <= 0 AND lm >= 0 THEN 'triangle' END END"
+    )
+    channels = shape(4, kinds, "hs > ls AND he > le", "1 - least(hs - ls, he - le) / greatest(hs - ls, he - le)", "0", ("he", "hm"), ("le", "lm")).replace("FROM nl", f"FROM ({wide})")
+    steep, across = f"{m(3, 1)} - {m(4, 2)}", f"p0 - {at(4, 2, 0)}"
+    waves = f"CASE WHEN side = 1 THEN p2 > p4 AND p1 < p4 AND p1 > p3 AND {steep} > 0 AND {across} > 0 ELSE p2 < p4 AND p1 > p4 AND p1 < p3 AND {steep} < 0 AND {across} < 0 END"
+    apart = lambda k: f"(-side * ({at(3, 1, k)} - {at(4, 2, k)}))"
+    gap = lambda k: f"(-side * ({at(3, 1, k)} - {at(2, 0, k)}))"
+    flag = f"CASE WHEN side = 1 THEN p1 > p3 AND p0 > p2 AND greatest(p0, p2) - p3 <= (p4 - p3) / 2 ELSE p1 < p3 AND p0 < p2 AND p3 - least(p0, p2) <= (p3 - p4) / 2 END AND {gap(3)} > 0 AND {gap(0)} > 0 AND abs({gap(0)} - {gap(3)}) / {gap(3)} <= 0.25"
+    parts = [channels]
+    for side, name in ((1, ("double_top", "triple_top", "head_and_shoulders", "inverse_cup_and_handle")), (-1, ("double_bottom", "triple_bottom", "inverse_head_and_shoulders", "cup_and_handle"))):
+        best, other, more = ("greatest", "least", ">") if side == 1 else ("least", "greatest", "<")
+        lines = lambda neck, end: (end, neck) if side == 1 else (neck, end)  # noqa: E731,B023
+        mine = f"side = {side} AND "
+        parts += [
+            shape(3, "'reversal_123'", f"{mine}p0 {more} p2", "least(1, abs(p0 - p2) / abs(p2))", str(side), *(((flat(0), flat(1))) if side == 1 else (flat(1), flat(0)))),
+            shape(3, f"'{name[0]}'", f"{mine}{near(2, 0, 2)} AND NOT {near(2, 1, 2)}", fit(2, 0, 2), str(-side), *lines(flat(1), flat(f"{best}(p0, p2)"))),
+            shape(5, f"'{name[1]}'", f"{mine}{near(4, 2, 4)} AND {near(4, 0, 4)} AND NOT {near(4, 3, 4)}", f"{fit(4, 2, 4)} * {fit(4, 0, 4)}", str(-side), *lines(flat(f"{other}(p1, p3)"), flat(f"{best}(p0, p2, p4)"))),
+            shape(5, f"'{name[2]}'", f"{mine}p2 {more} p4 AND p2 {more} p0 AND {near(4, 0, 2)} AND {near(3, 1, 2)}", f"{fit(4, 0, 2)} * {fit(3, 1, 2)}", str(-side), *lines(odd, flat(2))),
+            shape(4, f"'{name[3]}'", f"{mine}{near(3, 1, 3)} AND NOT {near(3, 2, 3)} AND NOT p0 {more} (p1 + p2) / 2 AND 2 * (t0 - t1) <= t1 - t3", fit(3, 1, 3), str(-side), *((flat(0), flat(1)) if side == 1 else (flat(1), flat(0)))),
+            shape(5, "'wolfe_wave'", f"{mine}{waves}", f"greatest(0, least(1, 1 - {apart(0)} / greatest({apart(4)}, 1e-9)))", str(-side), flat(0), flat(0), (at(4, 1, 0), m(4, 1))),
+            shape(5, "'flag'", f"{mine}{flag}", f"1 - abs({gap(0)} - {gap(3)}) / {gap(3)} / 0.25", str(-side), *((even, odd) if side == 1 else (odd, even))),
+        ]
+    return f"nl AS (SELECT series, side, spot AS last_at, found_at, found_ts, lead(found_at, 3) OVER n AS until, {lags} FROM nd WINDOW n AS (PARTITION BY series ORDER BY nth)), sh AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE kind IS NOT NULL)"
+
+
+def _outcome_sql(shapes_of: str) -> str:
+    """The first deciding bar by a scan of all bars from the last node to `until`."""
+    x = "(epoch(nb.ts) - t0)"
+    up, down, goal = (f"({n}_p + {n}_m * {x})" for n in ("up", "down", "goal"))
+    rises, falls = f"(close > {up} AND coalesce(close <= {goal}, true))", f"(close < {down} AND coalesce(close >= {goal}, true))"
+    won, lost = f"(bias >= 0 AND {rises} OR bias <= 0 AND {falls})", f"(bias > 0 AND close < {down} OR bias < 0 AND close > {up})"
+    risen = f"(bias > 0 OR bias = 0 AND {rises})"
+    return (
+        f"dc AS (SELECT q.*, (SELECT arg_min(struct_pack(ts := nb.ts, won := {won}, bull := {risen}, lvl := CASE WHEN {risen} THEN {up} ELSE {down} END, goal := {goal}), nb.i) FROM nb WHERE nb.series = q.series AND nb.i > last_at AND nb.i <= coalesce(until, nb.i) AND ({won} OR {lost})) AS fate FROM {shapes_of} q) "
+        "SELECT series, first_nth, k0 AS last_nth, first_ts, n0 AS last_ts, kind, nodes, " + _r("fit") + " AS fit, CASE WHEN fate.won THEN 'confirmed' WHEN NOT fate.won THEN 'invalidated' WHEN until IS NOT NULL THEN 'dropped' ELSE 'forming' END AS state, "
+        "CASE WHEN fate.won THEN fate.bull WHEN bias <> 0 THEN bias > 0 END AS bullish, " + _r("CASE WHEN fate.won THEN fate.lvl END") + " AS level, " + _r("CASE WHEN fate.won THEN fate.goal END") + " AS goal_price, CASE WHEN fate IS NOT NULL THEN greatest(fate.ts, found_ts) END AS decided_ts FROM dc"
+    )
+
+
+_SHOWN = ("series", "first_nth", "last_nth", "first_ts", "last_ts", "kind", "nodes", "fit", "state", "bullish", "level", "goal_price", "decided_ts")
+
+
+@_query("chart_patterns", f"{_SWING_NODES}, {_shape_sql()}, {_outcome_sql('sh')}")
+def _chart_patterns(spark, sf_dir):
+    """Every chart shape of every series with its outcome."""
+    return shapes.chart_patterns(_mean_bars(spark, sf_dir)).select(*_SHOWN)
+
+
+@_query(
+    "chart_patterns_apart",
+    f"{_SWING_NODES}, {_shape_sql()}, rk AS (SELECT series, kind, k0, first_nth, row_number() OVER (PARTITION BY series, kind ORDER BY fit DESC, k0) AS k FROM sh), "
+    "ch AS (SELECT DISTINCT series, kind, 0::BIGINT AS k, []::STRUCT(a BIGINT, b BIGINT)[] AS kept FROM rk UNION ALL SELECT ch.series, ch.kind, rk.k, CASE WHEN len(list_filter(kept, lambda x: x.a <= rk.k0 AND rk.first_nth <= x.b)) = 0 THEN list_append(kept, {'a': first_nth, 'b': k0}) ELSE kept END FROM ch JOIN rk ON rk.series = ch.series AND rk.kind = ch.kind AND rk.k = ch.k + 1), "
+    f"kp AS (SELECT series, kind, unnest(arg_max(kept, k)).b AS k0 FROM ch GROUP BY 1, 2), ap AS (SELECT sh.* FROM sh SEMI JOIN kp USING (series, kind, k0)), {_outcome_sql('ap')}",
+)
+def _chart_patterns_apart(spark, sf_dir):
+    """Of shapes of one kind that share nodes, only the best."""
+    return shapes.chart_patterns(_mean_bars(spark, sf_dir), apart=True).select(*_SHOWN)
+
+
+@_query(
+    "fitted_lines",
+    f"{_SWING_NODES}, e AS (SELECT series, side, arg_min(struct_pack(t := node_ts, p := price), nth) AS a, arg_max(struct_pack(t := node_ts, p := price), nth) AS b, count(*) AS touches FROM nd GROUP BY 1, 2 HAVING count(*) > 1), f AS (SELECT *, (b.p - a.p) / (epoch(b.t) - epoch(a.t)) AS m FROM e) "
+    "SELECT series, side, a.t AS first_ts, round(a.p + 1e-9, 3) AS first_price, b.t AS last_ts, round(b.p + 1e-9, 3) AS last_price, round(m * 86400 + 1e-9, 3) AS slope, touches, least(1, (touches - 2) / 4 + 0.5)::DOUBLE AS fit FROM f "
+    "WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.series = f.series AND nd.side = f.side AND nd.side * (price - (a.p + m * (epoch(node_ts) - epoch(a.t))) * (1 + nd.side * 0.8::DOUBLE)) > 0)",
+)
+def _fitted_lines(spark, sf_dir):
+    """Lines over all highs and under all lows of a series; at 80 percent, as the prices jump by half."""
+    cut = lambda c: F.round(F.col(c) + 1e-9, 3).alias(c)
+    found = shapes.fitted_lines(patterns.swing_nodes(_mean_bars(spark, sf_dir)), 80.0).withColumn("slope", F.col("slope") * 86400)
+    return found.select("series", "side", "first_ts", cut("first_price"), "last_ts", cut("last_price"), cut("slope"), "touches", "fit")
+
+
 # -- profiles -------------------------------------------------------------------------------------------------------------
 
 
