@@ -534,3 +534,80 @@ def _fitted_lines(spark, sf_dir):
 )
 def _money_flow_profile(spark, sf_dir):
     return profiles.money_flow_profile(event_bars(spark, sf_dir))
+
+
+_NODE_BINS = (
+    f"WITH RECURSIVE {_B.removeprefix('WITH ')}, nb AS (SELECT *, row_number() OVER {_W} AS i, min(low) OVER f AS p, (max(high) OVER f - min(low) OVER f) / 30 AS s, max(high) OVER f - min(low) OVER f AS span, min(ts) OVER f AS from_ts, CASE WHEN volume > 0 THEN volume ELSE high - low END AS size, CASE WHEN volume > 0 AND high > low THEN least(1, greatest(0, (close - low) / (high - low))) ELSE 0.5 END AS bought FROM bars WINDOW f AS (PARTITION BY series ORDER BY ts ROWS 69 PRECEDING)), "
+    "x AS (SELECT a.series, a.i, b.i AS j, b.size, b.bought, least(29, floor((b.low - a.p) / a.s))::BIGINT AS lo, least(29, floor((b.high - a.p) / a.s))::BIGINT AS hi FROM nb a JOIN nb b ON b.series = a.series AND b.i <= a.i AND b.i > a.i - 70 WHERE a.i >= 70 AND a.span >= 1e-8), "
+    "y AS (SELECT series, i, r, coalesce(sum(size / (hi - lo + 1) ORDER BY j) FILTER (r >= lo AND r <= hi), 0) AS v, coalesce(sum(size / (hi - lo + 1) * (2 * bought - 1) ORDER BY j) FILTER (r >= lo AND r <= hi), 0) AS d FROM x, range(30) AS bin(r) GROUP BY ALL), "
+    "l AS (SELECT series, i, list(v ORDER BY r) AS v, max(struct_pack(v := v, r := -r)).r * -1 AS poc, sum(v ORDER BY r) AS total, sum(d ORDER BY r) AS delta FROM y GROUP BY ALL), "
+    "kc AS (SELECT series, i, r, v, total, CASE WHEN v >= total / 30 * 1.5 THEN 1 WHEN v <= total / 30 * 0.5 THEN -1 ELSE 0 END AS c FROM y JOIN (SELECT series, i, total FROM l) USING (series, i)), "
+    "ki AS (SELECT *, sum(turn) OVER (PARTITION BY series, i ORDER BY r) AS run FROM (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY series, i ORDER BY r) THEN 0 ELSE 1 END AS turn FROM kc)), "
+    "zn AS (SELECT series, i, c, min(r) AS a, max(r) + 1 AS b, sum(v) / any_value(total) AS strength FROM ki WHERE c <> 0 GROUP BY series, i, c, run)"
+)
+
+
+@_query(
+    "extended_volume_profile",
+    f"{_NODE_BINS}, va AS (SELECT series, i, v, total, poc AS lo, poc AS hi, v[poc + 1] AS held FROM l UNION ALL SELECT series, i, v, total, CASE WHEN up >= dn THEN lo ELSE lo - 1 END, CASE WHEN up >= dn THEN hi + 1 ELSE hi END, held + greatest(dn, up) "
+    "FROM (SELECT *, CASE WHEN lo > 0 THEN v[lo] ELSE -1 END AS dn, CASE WHEN hi < 29 THEN v[hi + 2] ELSE -1 END AS up FROM va WHERE held < 0.7::DOUBLE * total) WHERE greatest(dn, up) >= 0), "
+    "e AS (SELECT series, i, min(lo) AS lo, max(hi) AS hi FROM va GROUP BY ALL), zc AS (SELECT series, i, count(*) FILTER (c = 1) AS high_zones, count(*) FILTER (c = -1) AS low_zones FROM zn GROUP BY ALL) "
+    f"SELECT series, ts, {_r('p + (poc + 0.5::DOUBLE) * s')} AS value, {_r('p + (hi + 1) * s')} AS vah, {_r('p + lo * s')} AS val, CASE WHEN poc IS NOT NULL THEN from_ts END AS from_ts, {_r('delta')} AS delta, CASE WHEN poc IS NOT NULL THEN coalesce(high_zones, 0) END AS high_zones, CASE WHEN poc IS NOT NULL THEN coalesce(low_zones, 0) END AS low_zones "
+    "FROM nb LEFT JOIN l USING (series, i) LEFT JOIN e USING (series, i) LEFT JOIN zc USING (series, i)",
+)
+def _extended_volume_profile(spark, sf_dir):
+    found = profiles.extended_profile(event_bars(spark, sf_dir))
+    zones_of = lambda kind: F.when(F.col("zones").isNotNull(), F.size(F.filter("zones", lambda z: z["kind"] == kind))).cast("long")
+    return found.select("series", "ts", "value", "vah", "val", "from_ts", F.aggregate("deltas", F.lit(0.0), lambda a, x: a + x).alias("delta"), zones_of("hvn_zone").alias("high_zones"), zones_of("lvn_zone").alias("low_zones"))
+
+
+@_query(
+    "volume_node_zones",
+    f"{_NODE_BINS} SELECT series, ts, from_ts, CASE WHEN c = 1 THEN 'hvn_zone' ELSE 'lvn_zone' END AS kind, {_r('p + a * s')} AS bottom, {_r('p + b * s')} AS top, {_r('strength')} AS strength FROM zn JOIN nb USING (series, i)",
+)
+def _volume_node_zones(spark, sf_dir):
+    """Runs of bins with much or little volume, for each bar's window."""
+    each = profiles.extended_profile(event_bars(spark, sf_dir)).select("series", "ts", "from_ts", F.explode_outer("zones").alias("z")).filter("z IS NOT NULL")
+    return each.select("series", "ts", "from_ts", "z.*")
+
+
+_BIN_LIVES = (
+    f"{_B}, gr AS (SELECT series, ts, row_number() OVER {_W} AS j, floor(low)::BIGINT AS lo, floor(high)::BIGINT AS hi, (CASE WHEN volume > 0 THEN volume ELSE high - low END) / (floor(high) - floor(low) + 1) AS each FROM bars), "
+    "tc AS (SELECT series, ts, j, each, unnest(range(lo, hi + 1)) AS bin FROM gr)"
+)
+_PERSISTENT = (
+    f"{_BIN_LIVES}, wb AS (SELECT a.series, a.j AS i, b.bin, count(*) AS touches, sum(b.each ORDER BY b.j) AS v, max(b.ts) AS last_ts FROM gr a JOIN tc b ON b.series = a.series AND b.j <= a.j AND b.j > a.j - 70 WHERE a.j >= 70 GROUP BY 1, 2, 3), "
+    "md AS (SELECT series, i, median(v / touches) AS m FROM wb GROUP BY 1, 2), th AS (SELECT series, i, any_value(m) + 2.5 * 1.482602218505602::DOUBLE * median(abs(v / touches - m)) AS least, max(struct_pack(v := v, b := -bin)).b * -1 AS poc, count(*) AS n FROM wb JOIN md USING (series, i) GROUP BY 1, 2)"
+)
+
+
+@_query(
+    "persistent_volume_profile",
+    f"{_PERSISTENT}, ab AS (SELECT series, i, count(*) AS n_absorbing FROM wb JOIN th USING (series, i) WHERE v / touches > least GROUP BY 1, 2) SELECT th.series, ts, {_r('poc + 0.5::DOUBLE')} AS value, n AS n_bins, {_r('least')} AS threshold, coalesce(n_absorbing, 0) AS n_absorbing FROM th JOIN gr ON gr.series = th.series AND gr.j = i LEFT JOIN ab ON ab.series = th.series AND ab.i = th.i",
+)
+def _persistent_volume_profile(spark, sf_dir):
+    found = profiles.persistent_profile(event_bars(spark, sf_dir))
+    return found.select("series", "ts", "value", "n_bins", "threshold", F.aggregate("absorbing", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_absorbing"))
+
+
+_LIVES = "lv AS (SELECT *, sum(CASE WHEN j - before <= 70 THEN 0 ELSE 1 END) OVER (PARTITION BY series, bin ORDER BY j) AS life FROM (SELECT *, lag(j) OVER (PARTITION BY series, bin ORDER BY j) AS before FROM tc)), lf AS (SELECT series, bin, life, min(ts) AS born_ts, max(ts) AS last_ts, max(j) AS last_j, count(*) AS touches, sum(each) AS volume FROM lv GROUP BY 1, 2, 3)"
+
+
+@_query(
+    "price_bin_lives",
+    f"{_BIN_LIVES}, {_LIVES} SELECT lf.series, bin, bin::DOUBLE AS bottom, bin + 1.0::DOUBLE AS top, born_ts, last_ts, touches, {_r('volume')} AS volume, gr.ts AS expired_ts FROM lf LEFT JOIN gr ON gr.series = lf.series AND gr.j = last_j + 70",
+)
+def _price_bin_lives(spark, sf_dir):
+    """Bins of one unit of price from their first touch until no bar of the last 70 touches them."""
+    return profiles.bin_lives(event_bars(spark, sf_dir))
+
+
+@_query(
+    "absorption_zones",
+    f"{_PERSISTENT}, {_LIVES} SELECT wb.series, gr.ts, wb.bin::DOUBLE AS bottom, wb.bin + 1.0::DOUBLE AS top, {_r('least(v / wb.touches, 1)')} AS strength, wb.touches, lf.born_ts AS from_ts, wb.last_ts FROM wb JOIN th USING (series, i) JOIN gr ON gr.series = wb.series AND gr.j = wb.i JOIN lv ON lv.series = wb.series AND lv.bin = wb.bin AND lv.ts = wb.last_ts JOIN lf ON lf.series = lv.series AND lf.bin = lv.bin AND lf.life = lv.life WHERE v / wb.touches > th.least",
+)
+def _absorption_zones(spark, sf_dir):
+    """Bins whose volume for each touch stands out, bar by bar."""
+    bars = event_bars(spark, sf_dir)
+    found = profiles.absorption_zones(profiles.persistent_profile(bars), profiles.bin_lives(bars))
+    return found.withColumn("touches", F.col("touches").cast("long"))

@@ -10,19 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once: a column used inside a lambda may be worked out anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _value_area(flow: Column, poc: Column, wanted: Column, rows: int, tie_up: bool = False) -> Column:
     """struct<lo, hi, held>: bins around `poc`, grown by the neighbour with more flow (the lower on a tie, or the upper) until they hold `wanted`."""
-    start = F.struct(poc.alias("lo"), poc.alias("hi"), F.get(flow, poc).alias("held"))
 
-    def grow(s: Column, _: Column) -> Column:
-        below = F.when(s["lo"] > 0, F.get(flow, s["lo"] - 1)).otherwise(-1.0)
-        above = F.when(s["hi"] < rows - 1, F.get(flow, s["hi"] + 1)).otherwise(-1.0)
-        grows = (s["held"] < wanted) & (F.greatest(below, above) >= 0)
-        first = below > above if tie_up else below >= above
-        down, up = grows & first, grows & ~first
-        return F.struct((s["lo"] - down.cast("int")).alias("lo"), (s["hi"] + up.cast("int")).alias("hi"), (s["held"] + F.when(down, below).when(up, above).otherwise(0.0)).alias("held"))
+    def of(area: Column) -> Column:
+        flow = area["flow"]
+        start = F.struct(area["poc"].alias("lo"), area["poc"].alias("hi"), F.get(flow, area["poc"]).alias("held"))
+
+        def grow(s: Column, _: Column) -> Column:
+            below = F.when(s["lo"] > 0, F.get(flow, s["lo"] - 1)).otherwise(-1.0)
+            above = F.when(s["hi"] < rows - 1, F.get(flow, s["hi"] + 1)).otherwise(-1.0)
+            grows = (s["held"] < area["wanted"]) & (F.greatest(below, above) >= 0)
+            first = below > above if tie_up else below >= above
+            down, up = grows & first, grows & ~first
+            return F.struct((s["lo"] - down.cast("int")).alias("lo"), (s["hi"] + up.cast("int")).alias("hi"), (s["held"] + F.when(down, below).when(up, above).otherwise(0.0)).alias("held"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rows)), start, grow)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rows)), start, grow)
+
+    return _bound(F.struct(flow.alias("flow"), poc.alias("poc"), wanted.alias("wanted")), of)
 
 
 def money_flow_profile(bars: DataFrame, lookback: int = 200, rows: int = 25, va_pct: float = 0.7) -> DataFrame:
@@ -81,11 +91,6 @@ def money_flow_profile(bars: DataFrame, lookback: int = 200, rows: int = 25, va_
     )
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with the value worked out once: a column used inside a lambda may be worked out anew for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _sized(bars: DataFrame) -> DataFrame:
     """`bars` with size (the range where there is no volume) and bought, the share of it by where the close lies in the range."""
     span = F.col("high") - F.col("low")
@@ -112,35 +117,39 @@ def extended_profile(bars: DataFrame, lookback: int = 70, rows: int = 30, high_n
         lo, hi = bin_of(b["low"]), bin_of(b["high"])
         return F.struct(lo.alias("lo"), hi.alias("hi"), (b["size"] / (hi - lo + 1)).alias("each"), b["bought"].alias("bought"))
 
-    placed = cut.select("series", "ts", "from_ts", "bottom", "height", F.when(F.col("height").isNotNull(), F.transform("bars", place)).alias("bars"))
-
-    def of_bin(r: Column) -> Column:
+    def of_bin(placed: Column, r: Column) -> Column:
         def add(acc: Column, b: Column) -> Column:
             inside = F.when((b["lo"] <= r) & (b["hi"] >= r), b["each"]).otherwise(0.0)
             return F.struct((acc["volume"] + inside).alias("volume"), (acc["delta"] + inside * (2 * b["bought"] - 1)).alias("delta"))
 
-        return F.aggregate("bars", F.struct(F.lit(0.0).alias("volume"), F.lit(0.0).alias("delta")), add)
+        return F.aggregate(placed, F.struct(F.lit(0.0).alias("volume"), F.lit(0.0).alias("delta")), add)
 
-    binned = placed.withColumn("bins", F.when(F.col("bars").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), of_bin))).select(
-        "series", "ts", "from_ts", "bottom", "height", F.col("bins.volume").alias("volumes"), F.col("bins.delta").alias("deltas")
-    )
+    places = F.sequence(F.lit(0), F.lit(rows - 1))
+    bins = F.when(F.col("height").isNotNull(), _bound(F.transform("bars", place), lambda placed: F.transform(places, lambda r: of_bin(placed, r))))
+    binned = cut.select("series", "ts", "from_ts", "bottom", "height", bins.alias("bins")).select("series", "ts", "from_ts", "bottom", "height", F.col("bins.volume").alias("volumes"), F.col("bins.delta").alias("deltas"))
     total = F.aggregate("volumes", F.lit(0.0), lambda a, x: a + x)
     poc = (F.array_position("volumes", F.array_max("volumes")) - 1).cast("int")
     summed = binned.withColumns({"total": total, "poc": poc})
-    mean = F.col("total") / rows
-    classes = F.transform("volumes", lambda v: F.when(v >= mean * high_node, 1).when(v <= mean * low_node, -1).otherwise(0))
-    area = summed.withColumns({"area": F.when(F.col("poc").isNotNull(), _value_area(F.col("volumes"), F.col("poc"), F.col("total") * va_pct, rows, tie_up=True)), "classes": classes})
+    area = summed.withColumn("area", F.when(F.col("poc").isNotNull(), _value_area(F.col("volumes"), F.col("poc"), F.col("total") * va_pct, rows, tie_up=True)))
     at = lambda k: F.col("bottom") + k * F.col("height")
-    places = F.sequence(F.lit(0), F.lit(rows - 1))
-    of = lambda k: F.get("classes", k)
-    begins = F.filter(places, lambda k: (of(k) != 0) & ((k == 0) | (of(k - 1) != of(k))))
 
-    def zone(k: Column) -> Column:
-        end = F.coalesce(F.array_min(F.filter(places, lambda j: (j > k) & (of(j) != of(k)))), F.lit(rows))
-        held = F.aggregate(F.slice("volumes", k + 1, end - k), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(F.when(of(k) > 0, "hvn_zone").otherwise("lvn_zone").alias("kind"), at(k).alias("bottom"), at(end).alias("top"), F.when(F.col("total") > 0, held / F.col("total")).otherwise(0.0).alias("strength"))
+    def zones_of(whole: Column) -> Column:
+        volumes, mean, bottom, height = whole["volumes"], whole["total"] / rows, whole["bottom"], whole["height"]
+
+        def runs(classes: Column) -> Column:
+            of = lambda k: F.get(classes, k)
+
+            def zone(k: Column) -> Column:
+                end = F.coalesce(F.array_min(F.filter(places, lambda j: (j > k) & (of(j) != of(k)))), F.lit(rows))
+                held = F.aggregate(F.slice(volumes, k + 1, end - k), F.lit(0.0), lambda a, x: a + x)
+                kind = F.when(of(k) > 0, "hvn_zone").otherwise("lvn_zone")
+                return F.struct(kind.alias("kind"), (bottom + k * height).alias("bottom"), (bottom + end * height).alias("top"), F.when(mean > 0, held / whole["total"]).otherwise(0.0).alias("strength"))
+
+            return F.transform(F.filter(places, lambda k: (of(k) != 0) & ((k == 0) | (of(k - 1) != of(k)))), zone)
+
+        return _bound(F.transform(volumes, lambda v: F.when(v >= mean * high_node, 1).when(v <= mean * low_node, -1).otherwise(0)), runs)
 
-    zones = F.when(F.col("poc").isNotNull(), F.transform(begins, zone))
+    zones = F.when(F.col("poc").isNotNull(), _bound(F.struct("volumes", "total", "bottom", "height"), zones_of))
     return area.select("series", "ts", at(F.col("poc") + 0.5).alias("value"), at(F.col("area.hi") + 1).alias("vah"), at(F.col("area.lo")).alias("val"), F.when(F.col("height").isNotNull(), F.col("from_ts")).alias("from_ts"), "bottom", "height", "volumes", "deltas", zones.alias("zones"))
 
 
@@ -212,7 +221,7 @@ def bin_lives(bars: DataFrame, lookback: int = 70, width: float = 1.0, widest: i
 def absorption_zones(profile: DataFrame, lives: DataFrame, width: float = 1.0) -> DataFrame:
     """(series, ts, bottom, top, strength, touches, from_ts, last_ts): a row for each absorbing bin of each bar of persistent_profile,
     strength its volume for each touch up to 1, from_ts when the bin was made."""
-    each = profile.select("series", "ts", F.explode("absorbing").alias("s")).select("series", "ts", F.explode(F.sequence("s.first", "s.last")).alias("bin"), "s.touches", (F.col("s.volume") / F.col("s.touches")).alias("rate"), "s.last_ts")
+    each = profile.select("series", "ts", F.explode_outer("absorbing").alias("s")).filter("s IS NOT NULL").select("series", "ts", F.explode(F.sequence("s.first", "s.last")).alias("bin"), "s.touches", (F.col("s.volume") / F.col("s.touches")).alias("rate"), "s.last_ts")
     made = lives.select("series", "bin", "born_ts", F.col("expired_ts").alias("gone_ts"))
     met = each.join(made, ["series", "bin"]).filter((F.col("born_ts") <= F.col("ts")) & (F.col("gone_ts").isNull() | (F.col("ts") < F.col("gone_ts"))))
     return met.select("series", "ts", (F.col("bin") * width).alias("bottom"), ((F.col("bin") + 1) * width).alias("top"), F.least(F.col("rate"), F.lit(1.0)).alias("strength"), "touches", F.col("born_ts").alias("from_ts"), "last_ts")
