@@ -17,22 +17,17 @@ def _bound(value: Column, body) -> Column:
 
 def _value_area(flow: Column, poc: Column, wanted: Column, rows: int, tie_up: bool = False) -> Column:
     """struct<lo, hi, held>: bins around `poc`, grown by the neighbour with more flow (the lower on a tie, or the upper) until they hold `wanted`."""
+    start = F.struct(poc.alias("lo"), poc.alias("hi"), F.get(flow, poc).alias("held"))
 
-    def of(area: Column) -> Column:
-        flow = area["flow"]
-        start = F.struct(area["poc"].alias("lo"), area["poc"].alias("hi"), F.get(flow, area["poc"]).alias("held"))
+    def grow(s: Column, _: Column) -> Column:
+        below = F.when(s["lo"] > 0, F.get(flow, s["lo"] - 1)).otherwise(-1.0)
+        above = F.when(s["hi"] < rows - 1, F.get(flow, s["hi"] + 1)).otherwise(-1.0)
+        grows = (s["held"] < wanted) & (F.greatest(below, above) >= 0)
+        first = below > above if tie_up else below >= above
+        down, up = grows & first, grows & ~first
+        return F.struct((s["lo"] - down.cast("int")).alias("lo"), (s["hi"] + up.cast("int")).alias("hi"), (s["held"] + F.when(down, below).when(up, above).otherwise(0.0)).alias("held"))
 
-        def grow(s: Column, _: Column) -> Column:
-            below = F.when(s["lo"] > 0, F.get(flow, s["lo"] - 1)).otherwise(-1.0)
-            above = F.when(s["hi"] < rows - 1, F.get(flow, s["hi"] + 1)).otherwise(-1.0)
-            grows = (s["held"] < area["wanted"]) & (F.greatest(below, above) >= 0)
-            first = below > above if tie_up else below >= above
-            down, up = grows & first, grows & ~first
-            return F.struct((s["lo"] - down.cast("int")).alias("lo"), (s["hi"] + up.cast("int")).alias("hi"), (s["held"] + F.when(down, below).when(up, above).otherwise(0.0)).alias("held"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rows)), start, grow)
-
-    return _bound(F.struct(flow.alias("flow"), poc.alias("poc"), wanted.alias("wanted")), of)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rows)), start, grow)
 
 
 def money_flow_profile(bars: DataFrame, lookback: int = 200, rows: int = 25, va_pct: float = 0.7) -> DataFrame:
@@ -130,7 +125,7 @@ def extended_profile(bars: DataFrame, lookback: int = 70, rows: int = 30, high_n
     total = F.aggregate("volumes", F.lit(0.0), lambda a, x: a + x)
     poc = (F.array_position("volumes", F.array_max("volumes")) - 1).cast("int")
     summed = binned.withColumns({"total": total, "poc": poc})
-    area = summed.withColumn("area", F.when(F.col("poc").isNotNull(), _value_area(F.col("volumes"), F.col("poc"), F.col("total") * va_pct, rows, tie_up=True)))
+    area = summed.withColumn("area", F.when(F.col("poc").isNotNull(), _bound(F.struct(F.col("volumes").alias("flow"), F.col("poc").alias("poc"), (F.col("total") * va_pct).alias("wanted")), lambda a: _value_area(a["flow"], a["poc"], a["wanted"], rows, tie_up=True))))
     at = lambda k: F.col("bottom") + k * F.col("height")
 
     def zones_of(whole: Column) -> Column:
