@@ -171,7 +171,7 @@ def _zone_merge(spark, sf_dir):
 
 
 def _divergence_sql(left: int, right: int, least: int, most: int, prior: int, by_price: bool, oscillator: str) -> str:
-    """Pivots of either side, each with its last `prior` predecessors; the best pair of each."""
+    """Pivots of either side, each with its last `prior` predecessors; the best pair of each. Oscillators count to DIGITS digits."""
     span = most - least
     sides = []
     for side, line, best, sign in (("low", "low", "min", "<"), ("high", "high", "max", ">")):
@@ -181,7 +181,7 @@ def _divergence_sql(left: int, right: int, least: int, most: int, prior: int, by
             f"AND lag({src}, {right}) OVER {_W} {sign} {best}({src}) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {right - 1} PRECEDING AND CURRENT ROW) AS ok FROM live"
         )
     return (
-        f"WITH bars AS ({_HOURLY}), ov AS ({to_sql(build(oscillator), _HOURLY, 13)}), live AS (SELECT bars.series, bars.ts, high, low, value - {OFF_TIE!r} AS osc, row_number() OVER (PARTITION BY bars.series ORDER BY bars.ts) AS i FROM bars JOIN ov ON ov.series = bars.series AND ov.ts = bars.ts WHERE value IS NOT NULL), "
+        f"WITH bars AS ({_HOURLY}), ov AS ({to_sql(build(oscillator), _HOURLY, 13)}), live AS (SELECT bars.series, bars.ts, high, low, round(value - {OFF_TIE!r}, {divergence.DIGITS}) AS osc, row_number() OVER (PARTITION BY bars.series ORDER BY bars.ts) AS i FROM bars JOIN ov ON ov.series = bars.series AND ov.ts = bars.ts WHERE value IS NOT NULL), "
         f"n AS ({' UNION ALL '.join(sides)}), nn AS (SELECT *, row_number() OVER (PARTITION BY series, side ORDER BY spot) AS k FROM n WHERE ok), "
         "pr AS (SELECT b.*, a.pivot_ts AS previous_ts, a.price AS pp, a.o AS po, b.spot - a.spot AS gap, b.k - a.k AS back, CASE WHEN (b.price > a.price AND b.o < a.o) OR (b.price < a.price AND b.o > a.o) THEN CASE WHEN (b.side = 'low') = (b.price < a.price) THEN 'regular' ELSE 'hidden' END END AS kind "
         f"FROM nn b JOIN nn a ON a.series = b.series AND a.side = b.side AND a.k < b.k AND a.k >= b.k - {prior}), "

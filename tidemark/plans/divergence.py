@@ -12,13 +12,15 @@ from ..operators import oscillators, recursive  # noqa: F401  their operators re
 from ..operators.spec import apply, build
 
 OSCILLATORS = ("rsi", "wavetrend", "stoch_rsi", "williams_r", "cci")
+#: Their values count to so many digits, so that equal ones tie whatever the last bits of sums in another order.
+DIGITS = 9
 
 
 def with_oscillator(bars: DataFrame, name: str = "rsi") -> DataFrame:
-    """(series, ts, high, low, osc): the value of one of OSCILLATORS with its usual parameters."""
+    """(series, ts, high, low, osc): the value of one of OSCILLATORS with its usual parameters, to DIGITS digits."""
     if name not in OSCILLATORS:
         raise ValueError(f"oscillator must be one of {OSCILLATORS}")
-    return apply(bars, [build(name)], ["series", "ts", "high", "low"]).select("series", "ts", "high", "low", F.col("value").alias("osc"))
+    return apply(bars, [build(name)], ["series", "ts", "high", "low"]).select("series", "ts", "high", "low", F.round("value", DIGITS).alias("osc"))
 
 
 def quality(before: Column, now: Column, osc_before: Column, osc: Column, between: Column, least: int, most: int) -> Column:
