@@ -181,3 +181,15 @@ def test_empty_tables(spark):
     assert merkle.manifest(none, merkle.lowered_third()).collect() == []
     assert suffixdedup.drop_repeats(none).collect() == []
     assert mined(spark, [(50, [0.1], 1)]) == []
+
+
+def test_filters_leave_the_machines(spark, monkeypatch):
+    """Each machine keeps a copy of a broadcast on its disk until it is destroyed."""
+    from pyspark.core.broadcast import Broadcast
+
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: (gone.append(self), destroy(self, *a, **k))[1])
+    text = "a passage of more than fifty bytes that stands in several of these documents"
+    rows = [(k, f"{k} {text} {k * k}" if k else text, "en", "s") for k in range(6)]
+    found = {r.doc_id: r.n_removed for r in suffixdedup.drop_repeats(docs_of(spark, rows)).collect()}
+    assert len(gone) == 2 and found[0] == 0 and all(found[k] >= len(text) for k in range(1, 6))

@@ -55,10 +55,15 @@ def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its finished plans: only then are their shuffle files removed, else at the next of its half-hourly turns."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner has a thread of its own
+    """Have the driver collect its finished plans: only then are their shuffle files removed, else at the next of its half-hourly turns.
+
+    Python lets go of the driver's objects in a thread of its own, and so does the cleaner its work: both get time.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def sheltered(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
@@ -80,11 +85,22 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows of a batch whose texts are Python objects at one time.
+ROWS = 1000
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, without copies: what a task makes of a batch is as small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to one batch (or None)."""
+    """mapInArrow with a function from one batch, of ROWS rows at most, to one batch (or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out = fn(batch)
             if out is not None:
                 yield out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, release_shuffles, settle, text_bytes
+from .common import drop_settled, in_parts, release_shuffles, settle, text_bytes
 from .grouping import suffix_array
 
 SPAN, GRAM = 50, 20
@@ -146,7 +146,7 @@ def seen_again(docs: DataFrame, bits: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in in_parts(batches):
             for _, texts in _chunks(text_bytes(batch.column("text"))):
                 doc, _, _, anchor = anchored(texts)
                 order = np.argsort(anchor, kind="stable")  # texts stay in order within an anchor
@@ -180,7 +180,7 @@ def _pieces(docs: DataFrame, bloom, contents: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = len(bloom.value) * 8
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, digests = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("digest").to_numpy(zero_copy_only=False)
             for begin, texts in _chunks(text_bytes(batch.column("text"))):
                 doc, start, end, anchor = anchored(texts)
@@ -198,6 +198,16 @@ def _pieces(docs: DataFrame, bloom, contents: bool) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, piece long, content binary" if contents else "anchor long, piece long, doc_id long, digest long, first int, last int")
 
 
+def _passed(pieces: DataFrame, bloom) -> DataFrame:
+    """The rows whose anchors the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(bloom.value, _bits(batch.column("anchor").to_numpy().view(np.uint64), len(bloom.value) * 8))))
+
+    return pieces.mapInArrow(run, pieces.schema)
+
+
 def _merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the bytes covered by windows of that length at these ascending starts."""
     new = np.append(True, starts[1:] > starts[:-1] + length)
@@ -293,14 +303,17 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bloom = spark.sparkContext.broadcast(seen_again(docs, _bits_for(size)))
     places = settle(_pieces(docs, bloom, False), "places")
+    bloom.destroy()  # each machine has a copy on its disk
     pieces = settle(places.groupBy("anchor", "piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "pieces")
     release_shuffles(spark)
     crowds = settle(pieces.groupBy("anchor").count().filter("count > 1"), "crowds")
     extent = crowds.agg(F.count("*").alias("anchors"), F.sum("count").alias("pieces")).first()
     known = spark.sparkContext.broadcast(_filter_of(crowds, _bits_for(16 * extent["anchors"])))
     contents = _pieces(docs, known, True).groupBy("anchor", "piece").agg(F.first("content").alias("content"))
-    contents = contents.join(pieces.select("anchor", "piece", "low"), ["anchor", "piece"]).join(crowds, "anchor")
-    contents = settle(contents, "contents")
+    crowded = _passed(pieces.select("anchor", "piece", "low"), known).join(crowds, "anchor")  # few of all pieces, so bytes shuffle once
+    contents = settle(contents.join(crowded, ["anchor", "piece"]).select("anchor", "piece", "content", "low", "count"), "contents")
+    known.destroy()
+    del crowded
     release_shuffles(spark)
     parts = max(1, -(-(extent["pieces"] or 0) // TOGETHER))
     small = contents.filter(F.col("count") <= bucket).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("part"))
@@ -339,7 +352,7 @@ def drop_repeats(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     narrow = docs.select("doc_id", digest.alias("digest"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = text_bytes(batch.column("text"))
             done = [_without(t, s or []) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
             numbers = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [g for _, g, _ in done], [r for _, _, r in done])]
