@@ -95,3 +95,17 @@ def test_odd_sketch_keeps_pairs_at_the_threshold():
         b = np.concatenate([common, rng.integers(0, 2**63, 75, dtype=np.uint64)])
         x, y = (np.frombuffer(M.odd_sketch(M.signature(s)), np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= most
+
+
+def test_tasks_hold_few_texts_and_words_at_a_time(spark):
+    """Workers live on through the steps of a pipeline, so what each of them keeps adds up in an executor."""
+    import pyarrow as pa
+
+    from tidemark.llm import common, minhash
+
+    def run(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    sizes = [r.n for r in common.map_batches(spark.range(5000).coalesce(1), run, "n long").collect()]
+    assert max(sizes) <= common.ROWS and sum(sizes) == 5000
+    assert minhash._words.limit <= 60_000

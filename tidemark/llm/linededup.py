@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, lookup_join, settle, shared_dir, sheltered, text_bytes
+from .common import ASCII_SPACE, in_parts, lookup_join, settle, shared_dir, sheltered, text_bytes
 
 HASHES = 4
 #: Bits for each expected key, and the bounds of a filter: 128 KB to 32 MB. A filter that more keys fill up suspects more lines; the result stays exact.
@@ -69,7 +69,7 @@ def seen_twice(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in in_parts(batches):
             keys = [k for text in text_bytes(batch.column(0)) for k in dict.fromkeys(key_digests(text, min_chars)) if k]
             if not keys:
                 continue
@@ -110,7 +110,7 @@ def _suspects(docs: DataFrame, bloom, min_chars: int) -> DataFrame:
     """(doc_id, key): one row for each row of `docs` (doc_id, text) and suspected key of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [(row, k) for row, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for k in dict.fromkeys(key_digests(text, min_chars)) if k]
             if found:
                 ids, keys = zip(*found, strict=True)
@@ -169,7 +169,7 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     """(row, key) for each distinct key of each row (row long, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out = [(row, k) for row, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for k in dict.fromkeys(key_digests(text, min_chars)) if k]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["row", "key"])
 
@@ -202,7 +202,7 @@ def _rewrite(docs: DataFrame, sets, min_chars: int, spare_whole: bool = False) -
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts, lines, dropped, shas = [], [], [], []
             valid = batch.column(at).is_valid().to_pylist()
             for text, present, gone in zip(text_bytes(batch.column(at)), valid, sets(batch, names), strict=True):

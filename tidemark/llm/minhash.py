@@ -18,7 +18,8 @@ _B = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _W = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 2048
-_words: Memo = Memo(xxhash.xxh3_64_intdigest, 400_000, 64)
+#: Workers live on through later steps and keep this: about 20 MB each.
+_words: Memo = Memo(xxhash.xxh3_64_intdigest, 60_000, 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
