@@ -144,3 +144,19 @@ def test_queries_register_without_a_session():
     root = Path(__file__).resolve().parents[2]
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("name", ["fixed_rate_bond", "yield_to_maturity", "coupon_schedule"])
+def test_bonds_are_dealt_over_all_cores(spark, name):
+    """The table's file has one row group, so one task would have all of them."""
+    from tidemark import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_rolled_day_is_searched_once_in_each_direction(spark):
+    days = F.array(F.lit("2022-03-31").cast("date"))
+    column = finance.adjust_day(F.col("d"), "modified_following", days)
+    assert str(column).count("sequence") == 2
+    rows = spark.sql("SELECT explode(array(DATE'2022-03-31', DATE'2022-04-02', DATE'2022-04-30', CAST(NULL AS DATE))) AS d").select("d", column.alias("m")).collect()
+    assert [str(r.m) for r in rows] == ["2022-03-30", "2022-04-04", "2022-04-29", "None"]

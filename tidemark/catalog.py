@@ -445,8 +445,11 @@ def _business(spark, sf_dir):
 
 
 def _bonds_of_parts(spark, sf_dir):
-    """Bonds with odd first periods and month ends: p_partkey, issue, maturity, settlement, coupon, y."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Bonds with odd first periods and month ends: p_partkey, issue, maturity, settlement, coupon, y.
+
+    The table is narrow and the work on a row long, so rows are dealt over all cores however few row groups the file has.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     issue = F.date_add(F.lit("2019-03-31").cast("date"), (F.col("p_partkey") % 97).cast("int"))
     maturity = F.date_add(F.add_months(issue, 30 + F.col("p_size") % 40), (F.col("p_partkey") % 5).cast("int"))
     settlement = F.date_add(F.lit("2021-01-10").cast("date"), (F.col("p_partkey") % 200).cast("int"))
