@@ -134,7 +134,8 @@ def adjust_day(day: Column, convention: str, holidays: Column) -> Column:
         return F.coalesce(F.get(F.filter(days, lambda d: is_business_day(d, holidays)), F.lit(0)), F.date_add(day, 14 * sign))
 
     if convention == "modified_following":
-        return F.when(F.trunc(roll(1), "month") == F.trunc(day, "month"), roll(1)).otherwise(roll(-1))
+        ahead = F.array(roll(1))  # bound, so that it is searched once
+        return F.get(F.transform(ahead, lambda d: F.when(F.trunc(d, "month") == F.trunc(day, "month"), d).otherwise(roll(-1))), F.lit(0))
     return {"unadjusted": lambda: day, "following": lambda: roll(1), "preceding": lambda: roll(-1)}[convention]()
 
 
